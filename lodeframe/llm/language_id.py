@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 from lodeframe.llm.base import crc_fold, small_batches, table, texts_of
 
 #: Labelled rows sampled per language, and bytes of dictionary made from them: the bounds of what is learnt from.
-SAMPLE_ROWS = 240
-DICTIONARY_BYTES = 64 << 10
-#: Bytes of each of the four evenly spaced slices that a sampled text contributes.
-SLICE_CHARS = 400
+SAMPLE_ROWS = 400
+DICTIONARY_BYTES = 96 << 10
+#: Characters of each of the four evenly spaced slices that a sampled text contributes.
+SLICE_CHARS = 250
 BLOCK_BYTES = 2048
-LEVEL = 3
+#: Short matches matter most: syllables and word endings, not phrases, tell languages apart.
+SEARCH = zstandard.ZstdCompressionParameters.from_level(
+    3, strategy=zstandard.STRATEGY_GREEDY, min_match=4, search_log=4, hash_log=16, chain_log=16, window_log=18, write_checksum=False, write_content_size=False, write_dict_id=False
+)
 #: Margin of the second best over the best, as a share of the best, below which a decision isn't confident.
 NARROW = 0.01
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
@@ -63,8 +66,8 @@ def compressors(learnt: tuple[tuple[str, bytes], ...]) -> list[tuple[str, zstand
     made = []
     for lang, content in learnt:
         words = zstandard.ZstdCompressionDict(content.ljust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        words.precompute_compress(level=LEVEL)
-        made.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_checksum=False, write_content_size=False, write_dict_id=False)))
+        words.precompute_compress(compression_params=SEARCH)
+        made.append((lang, zstandard.ZstdCompressor(dict_data=words, compression_params=SEARCH)))
     return made
 
 
