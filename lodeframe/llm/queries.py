@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodeframe.llm.decontaminate import op3_decontaminate
 from lodeframe.llm.language_id import op5_language_id
 from lodeframe.llm.ngram_join import op2_ngram_jaccard_join
 from lodeframe.llm.token_count import op4_token_count
@@ -13,6 +14,7 @@ from lodeframe.llm.url_filter import op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_decontaminate": op3_decontaminate,
     "op4_token_count": op4_token_count,
     "op5_language_id": op5_language_id,
     "op9_url_filter": op9_url_filter,
