@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodeframe.llm.decontaminate import op3_decontaminate
 from lodeframe.llm.language_id import op5_language_id
 from lodeframe.llm.ngram_join import op2_ngram_jaccard_join
+from lodeframe.llm.pack import op7_pack
 from lodeframe.llm.token_count import op4_token_count
 from lodeframe.llm.url_filter import op9_url_filter
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_token_count": op4_token_count,
     "op5_language_id": op5_language_id,
+    "op7_pack": op7_pack,
     "op9_url_filter": op9_url_filter,
 }
 

@@ -145,7 +145,7 @@ def set_keys(flat: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return per_unit(mix(flat ^ U(0xA24BAED4963EE407)), first).view(np.int64), per_unit(mix(flat + U(0x9FB21C651E98DF25)), first).view(np.int64)
 
 
-def ragged(first: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Indices of several runs start..start+size, one after the other."""
     ends = np.cumsum(size)
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)

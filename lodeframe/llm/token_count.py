@@ -42,79 +42,117 @@ def byte_alphabet() -> dict[int, str]:
     return chars
 
 
+class PairTable:
+    """A hash map from pairs of symbols to ranks in flat arrays, for vectorised lookups."""
+
+    def __init__(self, keys: np.ndarray):
+        self.levels = []
+        left, bits = np.arange(len(keys)), 18
+        while len(left):
+            slot = self.slot(keys[left], bits, len(self.levels))
+            rank = np.full(1 << bits, -1, np.int64)
+            rank[slot] = left  # of keys with one slot the last stays, the others go to the next level
+            self.levels.append((bits, rank))
+            left = left[rank[slot] != left]
+            bits = max(8, int(2 * len(left)).bit_length())
+        self.keys = keys
+
+    @staticmethod
+    def slot(keys: np.ndarray, bits: int, level: int) -> np.ndarray:
+        odd = np.uint64((0x9E3779B97F4A7C15 + 0x632BE59BD9B4E01A * level) % (1 << 64))
+        return ((keys.astype(np.uint64) * odd) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def ranks(self, wanted: np.ndarray, none: int) -> np.ndarray:
+        """Index of each wanted key, or none."""
+        out = np.full(len(wanted), none, np.int64)
+        open_ = np.arange(len(wanted))
+        for level, (bits, rank) in enumerate(self.levels):
+            found = rank[self.slot(wanted[open_], bits, level)]
+            hit = (found >= 0) & (self.keys[found] == wanted[open_])
+            out[open_[hit]] = found[hit]
+            open_ = open_[~hit & (found >= 0)]
+            if not len(open_):
+                break
+        return out
+
+
 class Merger:
-    """Merge ranks of a byte-level vocabulary, ready for vectorised lookups."""
+    """Merge ranks of a byte-level vocabulary, applied to many sequences at once."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, vocab = spec["model"], spec["model"]["vocab"]
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
-        self.byte_ids = np.array([vocab[c] for _, c in sorted(byte_alphabet().items())], np.int64)
+        chars = [c for _, c in sorted(byte_alphabet().items())]
+        suffix = model.get("end_of_word_suffix") or ""
+        self.byte_ids = np.array([vocab[c] for c in chars], np.int64)
+        self.last_ids = np.array([vocab[c + suffix] for c in chars], np.int64)
         self.width = 1 << int(max(vocab.values())).bit_length()
-        rows = []
-        for rank, pair in enumerate(model["merges"]):
+        keys, made = [], []
+        for pair in model["merges"]:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            rows.append((vocab[left] * self.width + vocab[right], rank, vocab[left + right]))
-        rows.sort()
-        self.keys, self.ranks, self.made = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-        self.none = len(rows)
+            keys.append(vocab[left] * self.width + vocab[right])
+            made.append(vocab[left + right])
+        self.keys, self.made, self.none = np.array(keys, np.int64), np.array(made, np.int64), len(keys)
+        self.table = PairTable(self.keys)
         self.by_pair = None
         split = "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))
         self.special = regex.compile(split) if split else None
         self.pattern = regex.compile(PRE_TOKEN)
         self.memo: dict[str, int] = {}
 
-    def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (self.none: not a pair) and index of adjacent symbols."""
-        wanted = left * self.width + right
-        at = np.searchsorted(self.keys, wanted)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == wanted, self.ranks[at], self.none), at
-
-    def count_words(self, words: list[str]) -> np.ndarray:
-        """Surviving symbols of each pre-token."""
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Surviving symbols of all words, one after the other, and how many each word has."""
         raw = [w.encode("utf-8") for w in words]
-        lengths = np.array([len(r) for r in raw], np.int64)
-        counts = lengths.copy()
-        for i in np.flatnonzero(lengths > LONG):
-            counts[i] = self.count_long(raw[i])
-        ids = np.flatnonzero((lengths > 1) & (lengths <= LONG))
-        if not len(ids):
-            return counts
-        symbols = self.byte_ids[np.frombuffer(b"".join(raw[i] for i in ids), np.uint8)]
-        sizes = lengths[ids]
+        counts = np.array([len(r) for r in raw], np.int64)
+        long = np.flatnonzero(counts > LONG).tolist()
+        done = [(np.full(0, 0), np.zeros(0, np.int64))]
+        for i in long:
+            kept = self.merge_long(raw[i])
+            done.append((np.full(len(kept), i), kept))
+            counts[i] = len(kept)
+        ids = np.flatnonzero((counts > 0) & (np.array([len(r) for r in raw], np.int64) <= LONG)) if long else np.flatnonzero(counts)
+        sizes = counts[ids]
+        data = np.frombuffer(b"".join(raw[i] for i in ids) if len(ids) < len(raw) else b"".join(raw), np.uint8)
+        symbols = self.byte_ids[data]
+        symbols[np.cumsum(sizes) - 1] = self.last_ids[data[np.cumsum(sizes) - 1]]
         while len(ids):
             starts = np.cumsum(sizes) - sizes
             seq = np.repeat(np.arange(len(ids)), sizes)
             rank = np.full(len(symbols), self.none, np.int64)
-            at = np.zeros(len(symbols), np.int64)
-            rank[:-1], at[:-1] = self.lookup(symbols[:-1], symbols[1:])
+            rank[:-1] = self.table.ranks(symbols[:-1] * self.width + symbols[1:], self.none)
             rank[starts + sizes - 1] = self.none  # no pair reaches into the next sequence
             low = np.minimum.reduceat(rank, starts)
-            counts[ids] = sizes
-            hit = (rank == low[seq]) & (rank < self.none)
+            live = low < self.none
+            if not live.all():
+                out = ~live[seq]
+                done.append((ids[seq[out]], symbols[out]))
+                symbols, rank = symbols[~out], rank[~out]
+                ids, sizes, low = ids[live], sizes[live], low[live]
+                if not len(ids):
+                    break
+                seq = np.repeat(np.arange(len(ids)), sizes)
             # occurrences that overlap (a run of one symbol): every second one, from the left
-            spots = np.flatnonzero(hit)
-            if len(spots):
-                fresh = np.r_[True, np.diff(spots) != 1]
-                first = np.maximum.accumulate(np.where(fresh, np.arange(len(spots)), 0))
-                spots = spots[(np.arange(len(spots)) - first) % 2 == 0]
-            symbols[spots] = self.made[at[spots]]
+            spots = np.flatnonzero(rank == low[seq])
+            fresh = np.r_[True, np.diff(spots) != 1]
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(spots)), 0))
+            spots = spots[(np.arange(len(spots)) - first) % 2 == 0]
+            symbols[spots] = self.made[rank[spots]]
             keep = np.ones(len(symbols), bool)
             keep[spots + 1] = False
+            symbols = symbols[keep]
             sizes = sizes - np.bincount(seq[spots], minlength=len(ids))
             counts[ids] = sizes
-            live = (low < self.none) & (sizes > 1)
-            symbols = symbols[keep & live[seq]]
-            ids, sizes = ids[live], sizes[live]
-        return counts
+        owner, kept = (np.concatenate(x) for x in zip(*done, strict=True))
+        return kept[np.argsort(owner, kind="stable")], counts
 
-    def count_long(self, raw: bytes) -> int:
+    def merge_long(self, raw: bytes) -> np.ndarray:
         """The same merges by (rank, place) from a heap, for one very long sequence."""
         if self.by_pair is None:
-            self.by_pair = {k: (r, m) for k, r, m in zip(self.keys.tolist(), self.ranks.tolist(), self.made.tolist(), strict=True)}
-        sym = self.byte_ids[np.frombuffer(raw, np.uint8)].tolist()
+            self.by_pair = {k: (r, m) for r, (k, m) in enumerate(zip(self.keys.tolist(), self.made.tolist(), strict=True))}
+        data = np.frombuffer(raw, np.uint8)
+        sym = [*self.byte_ids[data[:-1]].tolist(), int(self.last_ids[data[-1]])]
         n = len(sym)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
@@ -128,7 +166,7 @@ class Merger:
         for i in range(n - 1):
             push(i)
         heapq.heapify(heap)
-        ready, alive = True, n
+        ready = True
         while heap:
             _, i, left, right, made = heapq.heappop(heap)
             j = after[i]
@@ -138,11 +176,10 @@ class Merger:
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
-            alive -= 1
             push(i)
             if before[i] >= 0:
                 push(before[i])
-        return alive
+        return np.array([x for x in sym if x >= 0], np.int64)
 
     def count_texts(self, texts: list[str]) -> list[int]:
         """Tokens of each text; a special token's own string counts as one token, as the library does by default."""
@@ -154,7 +191,7 @@ class Merger:
             extra.append(len(cut) - 1)
         fresh = list({w for words in found for w in words if w not in memo})
         if fresh:
-            new = dict(zip(fresh, self.count_words(fresh).tolist(), strict=True))
+            new = dict(zip(fresh, self.merge(fresh)[1].tolist(), strict=True))
             if len(memo) + len(new) > MEMO:
                 old = memo
                 memo = self.memo = {w: old[w] for words in found for w in words if w in old}
