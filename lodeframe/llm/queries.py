@@ -10,6 +10,7 @@ from lodeframe.llm.decontaminate import op3_decontaminate
 from lodeframe.llm.language_id import op5_language_id
 from lodeframe.llm.ngram_join import op2_ngram_jaccard_join
 from lodeframe.llm.pack import op7_pack
+from lodeframe.llm.pii import op6_pii
 from lodeframe.llm.quality import op8_quality
 from lodeframe.llm.token_count import op4_token_count
 from lodeframe.llm.url_filter import op9_url_filter
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_token_count": op4_token_count,
     "op5_language_id": op5_language_id,
+    "op6_pii": op6_pii,
     "op7_pack": op7_pack,
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
