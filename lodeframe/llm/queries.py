@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodeframe.llm.ann import op10_nearest_neighbours
 from lodeframe.llm.decontaminate import op3_decontaminate
 from lodeframe.llm.language_id import op5_language_id
 from lodeframe.llm.ngram_join import op2_ngram_jaccard_join
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pack": op7_pack,
     "op8_quality": op8_quality,
     "op9_url_filter": op9_url_filter,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {}
