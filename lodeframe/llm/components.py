@@ -1,9 +1,10 @@
 """Connected components, and links found without spelling out all pairs of a dense group.
 
-Candidates come as rows (bucket, salt, id, n): two ids that share a bucket are candidates. First every id of a bucket is
-tried against the bucket's smallest id only, which is linear in the rows, and components are formed from what holds. Then
-only ids of different components that share a bucket are tried pair by pair, so that nothing is missed: a pair inside one
-component can't change the components.
+Candidates come as rows (bucket, id): two ids that share a bucket are candidates. First every id of a bucket is tried
+against the bucket's hub only, which is linear in the rows, and components are formed from what holds. Then only ids of
+different components that share a bucket are tried pair by pair, so that nothing is missed: a pair inside one component
+can't change the components. Bounds on what two ids can share are part of the join's condition, so that pairs they exclude
+aren't made.
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm.base import Kept
 
-#: Parts into which a bucket that may be very large is dealt.
-SALTS = 64
 #: Alternations after which the label graph must be stable (it halves chains every time).
 MAX_ROUNDS = 60
 
@@ -52,38 +51,40 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> Kept:
     return out
 
 
-def salted(id_col: str, hot: str, salts: int = SALTS):
-    """0 for ordinary buckets, else a part by the id's hash (1 to salts)."""
-    return F.when(F.col(hot), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int") + 1).otherwise(F.lit(0))
-
-
-def linked(rows: DataFrame, close, verify: Callable[[DataFrame], DataFrame]) -> Kept:
+def linked(rows: DataFrame, possible: Callable, verify: Callable[[DataFrame], DataFrame]) -> Kept:
     """Components of all true links between ids that share a bucket.
 
-    rows: (bucket long, salt int, id long, n int). close(n1, n2): a column, whether sizes n1 and n2 allow a link.
-    verify: takes distinct pairs (a < b), returns those that are links. Returns (id, component) as components() does.
+    rows: (bucket long, hot boolean, id long, n int, e int); hot marks buckets that many rows are known to share.
+    possible(x, y, c): a column, whether the ids of x and y can be a link if they share c buckets at most; x("n"), x("e")
+    and x("s") give an id's values, where s counts its buckets that any other id shares too.
+    verify: takes distinct pairs (a, b), returns those that are links. Returns (id, component) as components() does.
     """
-    place = Window.partitionBy("bucket", "salt")
-    grouped = rows.select("*", F.min(F.struct("id", "n")).over(place).alias("low"), F.max("id").over(place).alias("high"))
-    shared = Kept(
-        grouped.filter("salt > 0 or low.id < high").select("bucket", "salt", "id", "n", F.col("low.id").alias("low"), F.col("low.n").alias("low_n")),
-        "shared",
-    )
-    stars = shared.df.filter("id <> low").filter(close(F.col("n"), F.col("low_n"))).select(F.col("low").alias("a"), F.col("id").alias("b"))
-    lows = shared.df.filter("salt > 0").select("bucket", "low", "low_n").distinct()
-    lowest = lows.groupBy("bucket").agg(F.min(F.struct("low", "low_n")).alias("x"))
-    tied = lows.join(lowest, "bucket").filter("low <> x.low").filter(close(F.col("low_n"), F.col("x.low_n"))).select(F.col("x.low").alias("a"), F.col("low").alias("b"))
-    tried = Kept(stars.unionByName(tied).distinct(), "tried")
+    alone = Window.partitionBy("bucket")
+    cold = rows.filter("not hot").withColumn("lo", F.min("id").over(alone)).withColumn("hi", F.max("id").over(alone)).filter("lo < hi")
+    met = Kept(cold.unionByName(rows.filter("hot"), allowMissingColumns=True).select("bucket", "id", "n", "e"), "shared")
+    shared = Kept(met.df.join(met.df.groupBy("id").agg(F.count("*").cast("int").alias("s")), "id"), "shared")
+    met.drop()
+    side = lambda name: lambda column: F.col(f"{name}.{column}")
+
+    # The hub of a bucket is the id with the smallest part of its own: what the others were copied from, if anything is.
+    hub = F.min_by(F.struct("id", "n", "e", "s"), F.struct(F.col("n") / F.col("s"), F.col("id"))).alias("hub")
+    hubs = shared.df.groupBy("bucket").agg(hub)
+    stars = shared.df.alias("x").join(hubs, "bucket").filter("x.id <> hub.id")
+    stars = stars.filter(possible(side("x"), side("hub"), F.least("x.s", "hub.s"))).select(F.col("hub.id").alias("a"), F.col("x.id").alias("b"))
+    tried = Kept(stars.distinct(), "tried")
     first = Kept(verify(tried.df), "linked")
     label = components(first.df)
 
-    at = shared.df.select("bucket", "id", "n").join(label.df, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
+    at = shared.df.join(label.df, "id", "left").select("bucket", "id", "n", "e", "s", F.coalesce("component", "id").alias("c"))
     split = at.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
     rest = Kept(at.join(split, "bucket"), "rest")
-    x, y = rest.df.alias("x"), rest.df.alias("y")
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & close(F.col("x.n"), F.col("y.n")))
-    pairs = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = Kept(pairs.join(tried.df, ["a", "b"], "left_anti"), "tried")
+    x, y = side("x"), side("y")
+    apart = (x("bucket") == y("bucket")) & (x("c") < y("c")) & possible(x, y, F.least(x("s"), y("s")))
+    across = rest.df.alias("x").join(rest.df.alias("y"), apart)
+    ends = [F.struct(F.col(f"{k}.n").alias("n"), F.col(f"{k}.e").alias("e")) for k in "xy"]
+    pairs = across.groupBy(x("id").alias("a"), y("id").alias("b")).agg(F.count("*").alias("c"), F.first(ends[0]).alias("x"), F.first(ends[1]).alias("y"))
+    again = tried.df.select("a", "b").unionByName(tried.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = Kept(pairs.filter(possible(x, y, F.col("c"))).select("a", "b").join(again, ["a", "b"], "left_anti"), "tried")
     second = Kept(verify(more.df), "linked")
     out = components(label.df.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second.df.select("a", "b")))
     for t in (shared, tried, first, label, rest, more, second):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.llm.base import Kept, bytes_of, checked_broadcast, offsets_of, passes, small_batches, table, texts_of
-from lodeframe.llm.components import linked, salted
+from lodeframe.llm.components import linked
 from lodeframe.llm.shingles import U, Words, mix, seeds, set_keys, shingles
 
 WORDS = 5
@@ -29,7 +29,8 @@ SIMILAR = (80, 100)
 #: Counters of the sketch: a fixed size, whatever the corpus.
 COUNTERS = 1 << 20
 BLOCKS = 16
-#: An n-gram's bucket is dealt into parts if its counter holds this many and HOT_OVER times the mean.
+#: An n-gram counts as hot (surely shared, so its rows need not be brought together to see that) from this count on, if
+#: that's HOT_OVER times the mean as well.
 HOT_COUNT, HOT_OVER = 1024, 4
 #: Orders beside the first that candidates have to pass.
 FURTHER_ORDERS = 2
@@ -98,7 +99,8 @@ def frequency_classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, k: int, counts: np.ndarray, similar: tuple[int, int]) -> DataFrame:
-    """(id, h1, h2, n, cold, hot): the prefix n-grams under the first order, for every row with any."""
+    """(id, h1, h2, n, e, cold, hot): the prefix n-grams under the first order, for every row with any; e is the place in
+    the order of the prefix's last element (its upper 31 bits)."""
     classes, is_hot = frequency_classes(counts)
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((classes, is_hot))
@@ -113,10 +115,12 @@ def prefixes(docs: DataFrame, k: int, counts: np.ndarray, similar: tuple[int, in
                 order = (classes[slot].astype(U) << U(58)) | (mix(flat * by) >> U(6))
                 size = np.diff(first)
                 rows = np.flatnonzero(size)
-                picked = []
+                picked, last = [], []
                 for i, j in zip(first[:-1][rows].tolist(), first[1:][rows].tolist(), strict=True):
                     p = prefix_size(j - i, similar)
-                    picked.append(np.argpartition(order[i:j], p - 1)[:p] + i)
+                    best = np.argpartition(order[i:j], p - 1)[:p] + i
+                    picked.append(best)
+                    last.append(int(order[best[-1]] >> U(33)))
                 at = np.concatenate(picked) if picked else np.zeros(0, np.int64)
                 owner = np.repeat(np.arange(len(rows)), [len(x) for x in picked])
                 hot = is_hot[slot[at]]
@@ -126,10 +130,29 @@ def prefixes(docs: DataFrame, k: int, counts: np.ndarray, similar: tuple[int, in
                     lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[at[chosen]].view(np.int64), pa.int64())))
                 h1, h2 = set_keys(flat, first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows + a)), *(pa.array(c[rows].astype(np.int64)) for c in (h1, h2, size)), *lists], ["id", "h1", "h2", "n", "cold", "hot"]
+                    [batch.column(0).take(pa.array(rows + a)), *(pa.array(c[rows].astype(np.int64)) for c in (h1, h2, size)), pa.array(last, pa.int32()), *lists],
+                    ["id", "h1", "h2", "n", "e", "cold", "hot"],
                 )
 
-    return docs.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n bigint, cold array<bigint>, hot array<bigint>")
+    return docs.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n bigint, e int, cold array<bigint>, hot array<bigint>")
+
+
+def can_link(similar: tuple[int, int]):
+    """Whether two sets can be similar, by sizes n, prefix ends e, and at most c shared prefix elements.
+
+    Of the set whose prefix ends first, every shared element up to that end is in both prefixes, so the overlap is at most c
+    plus what that set has after its prefix.
+    """
+    num, den = similar
+
+    def possible(x, y, c):
+        # In whole numbers, as sizes are; integer division would need a cast per row.
+        after = lambda n: F.ceil(n * num / den) - 1
+        need = F.ceil((x("n") + y("n")) * num / (num + den))
+        room = F.when(x("e") < y("e"), after(x("n"))).when(y("e") < x("e"), after(y("n"))).otherwise(F.greatest(after(x("n")), after(y("n"))))
+        return (F.least(x("n"), y("n")) * den >= F.greatest(x("n"), y("n")) * num) & (c + room >= need)
+
+    return possible
 
 
 def verifier(docs: DataFrame, k: int, similar: tuple[int, int]):
@@ -189,11 +212,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marks = kept.df.filter("block is null").select("id", "h1", "h2", "n")
     groups = marks.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
 
-    picked = prefixes(rows, k, counts, similar).groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").cast("int").alias("n"), F.first("cold").alias("cold"), F.first("hot").alias("hot"))
-    each = picked.filter("id is not null").select("id", "n", F.size("cold").alias("n_cold"), F.posexplode(F.concat("cold", "hot")).alias("pos", "bucket"))
-    each = each.withColumn("is_hot", F.expr("pos >= n_cold")).select("bucket", salted("id", "is_hot").alias("salt"), "id", "n")
-    num, den = similar
-    label = linked(each, lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num, verifier(rows, k, similar))
+    picked = prefixes(rows, k, counts, similar).groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").cast("int").alias("n"), F.first("e").alias("e"), F.first("cold").alias("cold"), F.first("hot").alias("hot"))
+    each = picked.filter("id is not null").select("id", "n", "e", F.size("cold").alias("n_cold"), F.posexplode(F.concat("cold", "hot")).alias("pos", "bucket"))
+    label = linked(each.select("bucket", F.expr("pos >= n_cold").alias("hot"), "id", "n", "e"), can_link(similar), verifier(rows, k, similar))
 
     named = groups.join(label.df.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     out = marks.join(named, ["h1", "h2"], "left")
