@@ -76,15 +76,21 @@ def linked(rows: DataFrame, possible: Callable, verify: Callable[[DataFrame], Da
     label = components(first.df)
 
     at = shared.df.join(label.df, "id", "left").select("bucket", "id", "n", "e", "s", F.coalesce("component", "id").alias("c"))
-    split = at.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
-    rest = Kept(at.join(split, "bucket"), "rest")
+    split = at.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("bucket", "size")
+    # Ids list their open buckets, rarest first. Two that share c of s and t open buckets share one of the first s - c + 1 and
+    # t - c + 1, so it's enough to meet there.
+    listed = Window.partitionBy("id").orderBy("size", "bucket")
+    ranked = at.drop("s").join(split, "bucket").withColumn("r", F.row_number().over(listed)).withColumn("s", F.count("*").over(Window.partitionBy("id")))
+    rest = Kept(ranked.drop("size"), "rest")
     x, y = side("x"), side("y")
-    apart = (x("bucket") == y("bucket")) & (x("c") < y("c")) & possible(x, y, F.least(x("s"), y("s")))
-    across = rest.df.alias("x").join(rest.df.alias("y"), apart)
-    ends = [F.struct(F.col(f"{k}.n").alias("n"), F.col(f"{k}.e").alias("e")) for k in "xy"]
-    pairs = across.groupBy(x("id").alias("a"), y("id").alias("b")).agg(F.count("*").alias("c"), F.first(ends[0]).alias("x"), F.first(ends[1]).alias("y"))
+    apart = (x("bucket") == y("bucket")) & (x("c") < y("c")) & possible(x, y, F.least(x("s") - x("r"), y("s") - y("r")) + 1)
+    across = rest.df.alias("x").join(rest.df.alias("y"), apart).select(x("id").alias("a"), y("id").alias("b")).distinct()
+    lists = rest.df.groupBy("id").agg(F.collect_list("bucket").alias("buckets"), F.first("n").alias("n"), F.first("e").alias("e"))
+    pairs = across.join(lists.select(F.col("id").alias("a"), F.struct("buckets", "n", "e").alias("x")), "a")
+    pairs = pairs.join(lists.select(F.col("id").alias("b"), F.struct("buckets", "n", "e").alias("y")), "b")
+    pairs = pairs.filter(possible(x, y, F.size(F.array_intersect("x.buckets", "y.buckets"))))
     again = tried.df.select("a", "b").unionByName(tried.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = Kept(pairs.filter(possible(x, y, F.col("c"))).select("a", "b").join(again, ["a", "b"], "left_anti"), "tried")
+    more = Kept(pairs.select("a", "b").join(again, ["a", "b"], "left_anti"), "tried")
     second = Kept(verify(more.df), "linked")
     out = components(label.df.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second.df.select("a", "b")))
     for t in (shared, tried, first, label, rest, more, second):
