@@ -34,6 +34,11 @@ def after(values: str, k: int) -> Column:
     return F.slice(values, F.lit(k + 1), F.size(values))
 
 
+def text_key(text: Column) -> Column:
+    """A hash by which a row's text is told from others of its id; null counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def run_hashes(df: DataFrame, lengths: set[int]) -> DataFrame:
     """Adds h1 (word hashes) and a column h<L> for each length: hashes of the L words from each position; its last L - 1
     elements are of no meaning. Each step is a projection of its own, so that no array is computed twice."""
@@ -84,7 +89,7 @@ def windows_of(items: DataFrame, short: list[int]) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs.
+    """id, n_words, n_hit, n_items, items_sha256, contaminated, text_key of every row of docs.
 
     A document word is hit if it lies in an occurrence of any item window. Null, empty and wordless texts have no words and
     are clean; items without words have no windows; null item ids are left out of the ids but their windows hit. Null and
@@ -97,7 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     n_windows = windows.df.count()
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    keyed = docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", text_key(F.col("text")).alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
     # One pass over all texts: each row's own mark (print null) and those of its fingerprints that items have.
     made = winnowed(run_hashes(keyed.select("id", "k1", "k2", words(F.col("text")).alias("w")), {GRAM, *short}))
     found = F.concat(F.array(F.lit(None).cast("bigint")), F.array_distinct("low"), *[trim(F.col(f"h{n}"), n) for n in short])
@@ -135,6 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.size(ids).cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.col("k1").alias("text_key"),
     )
 
 
