@@ -59,9 +59,10 @@ def linked(rows: DataFrame, possible: Callable, verify: Callable[[DataFrame], Da
     and x("s") give an id's values, where s counts its buckets that any other id shares too.
     verify: takes distinct pairs (a, b), returns those that are links. Returns (id, component) as components() does.
     """
-    alone = Window.partitionBy("bucket")
-    cold = rows.filter("not hot").withColumn("lo", F.min("id").over(alone)).withColumn("hi", F.max("id").over(alone)).filter("lo < hi")
-    met = Kept(cold.unionByName(rows.filter("hot"), allowMissingColumns=True).select("bucket", "id", "n", "e"), "shared")
+    # Rows of a hot bucket needn't meet to show that it's shared; on their own they don't land in one task.
+    met_by = Window.partitionBy("bucket", F.when(F.col("hot"), F.col("id")))
+    seen = rows.withColumn("lo", F.min("id").over(met_by)).withColumn("hi", F.max("id").over(met_by))
+    met = Kept(seen.filter("hot or lo < hi").select("bucket", "id", "n", "e"), "shared")
     shared = Kept(met.df.join(met.df.groupBy("id").agg(F.count("*").cast("int").alias("s")), "id"), "shared")
     met.drop()
     side = lambda name: lambda column: F.col(f"{name}.{column}")

@@ -187,7 +187,10 @@ def verifier(docs: DataFrame, k: int, similar: tuple[int, int]):
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        few = checked_broadcast(ids, ids.count())
+        n = ids.count()
+        if not n:
+            return pairs
+        few = checked_broadcast(ids, n)
         texts = docs.join(few, "id", "left_semi")
         full = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         full = full.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")

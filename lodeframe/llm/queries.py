@@ -13,10 +13,12 @@ from lodeframe.llm.ngram_join import op2_ngram_jaccard_join
 from lodeframe.llm.pack import op7_pack
 from lodeframe.llm.pii import op6_pii
 from lodeframe.llm.quality import op8_quality
+from lodeframe.llm.substring_dedup import op1_substring_dedup
 from lodeframe.llm.token_count import op4_token_count
 from lodeframe.llm.url_filter import op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_count": op4_token_count,
