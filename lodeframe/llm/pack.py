@@ -13,7 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, pairwise
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,9 @@ LENGTH = 2048
 #: Id that ends every document.
 END = 1
 #: Rows that are tokenized beforehand to place the partition bounds: a documented bound, which only balances partitions.
-BOUND_ROWS = 10_000
+BOUND_ROWS = 5_000
 #: Words whose ids a worker remembers: only a memo.
-MEMO = 800_000
+MEMO = 1_200_000
 DIMENSIONS, BITS, BINS = 3, 10, 1024
 #: Texts of these characters only (no controls, no marks, nothing that normalization would change) are folded, split at
 #: white space and merged word by word here; all other texts go to the library whole.
@@ -60,7 +60,7 @@ class Ids:
     def learn(self, words: list[str]) -> None:
         if len(self.known) + len(words) > MEMO:
             self.forget()
-        pieces = [PIECE.findall(w) for w in words]
+        pieces = [[w] if w.isalpha() else PIECE.findall(w) for w in words]
         ids, sizes = self.merger.merge(list(chain.from_iterable(pieces)))
         n, at = len(self.known), int(self.first[len(self.known)])
         ends = np.cumsum(sizes)[np.cumsum([len(p) for p in pieces]) - 1]
@@ -75,14 +75,19 @@ class Ids:
     def of(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.lower().split() if not UNUSUAL.search(t) and not any(s in t for s in self.merger.specials) else None for t in texts]
         usual = [words for words in split if words is not None]
-        known = self.known
-        fresh = list({w for words in usual for w in words if w not in known})
-        if fresh:
-            self.learn(fresh)
-            if self.known is not known:  # it was emptied: the other words of these texts are needed as well
-                self.learn(list({w for words in usual for w in words if w not in self.known}))
         sizes = np.array([len(words) for words in usual], np.int64)
-        w = np.fromiter(map(self.known.__getitem__, chain.from_iterable(usual)), np.int64, int(sizes.sum()))
+        flat_words = list(chain.from_iterable(usual))
+        known = self.known
+        w = np.fromiter(map(known.get, flat_words, repeat(-1)), np.int64, len(flat_words))
+        missing = np.flatnonzero(w < 0)
+        if len(missing):
+            absent = [flat_words[i] for i in missing.tolist()]
+            self.learn(list(set(absent)))
+            if self.known is known:
+                w[missing] = np.fromiter(map(known.__getitem__, absent), np.int64, len(absent))
+            else:  # it was emptied: the other words of these texts are needed as well
+                self.learn(list({x for x in flat_words if x not in self.known}))
+                w = np.fromiter(map(self.known.__getitem__, flat_words), np.int64, len(flat_words))
         start = self.first[w]
         length = self.first[w + 1] - start
         flat = self.flat[ragged(start, length)]
