@@ -58,8 +58,8 @@ class Ids:
         self.first = np.zeros(1 << 16, np.int64)
 
     def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > MEMO:
-            self.forget()
+        if not words:
+            return
         pieces = [[w] if w.isalpha() else PIECE.findall(w) for w in words]
         ids, sizes = self.merger.merge(list(chain.from_iterable(pieces)))
         n, at = len(self.known), int(self.first[len(self.known)])
@@ -82,7 +82,10 @@ class Ids:
         missing = np.flatnonzero(w < 0)
         if len(missing):
             absent = [flat_words[i] for i in missing.tolist()]
-            self.learn(list(set(absent)))
+            fresh = list(set(absent))
+            if len(known) + len(fresh) > MEMO:
+                self.forget()
+            self.learn(fresh)
             if self.known is known:
                 w[missing] = np.fromiter(map(known.__getitem__, absent), np.int64, len(absent))
             else:  # it was emptied: the other words of these texts are needed as well

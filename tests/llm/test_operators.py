@@ -1,0 +1,356 @@
+"""The ten operators against brute force, exact libraries or held-out labels, and on awkward rows."""
+
+import hashlib
+import random
+import re
+import sys
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent))
+import helpers as h  # noqa: E402
+
+from lodeframe.llm import ann, components, decontaminate, language_id, ngram_join, pack, pii, quality, shingles, substring_dedup, token_count, url_filter  # noqa: E402
+from lodeframe.llm.base import crc_fold, table  # noqa: E402
+
+tokenizers = pytest.importorskip("tokenizers")
+import public_tokenizers  # noqa: E402
+
+BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return h.frame(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return h.frame(spark, []).limit(0)
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2300)]
+    parent = {}
+
+    def find(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).df.collect()}
+    assert got == {i: find(i) for i in parent if find(i) != i}
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).df.count() == 0
+
+
+def test_shingles_by_hand():
+    import pyarrow as pa
+
+    from lodeframe.llm.base import bytes_of, offsets_of
+
+    texts = [t or "" for t in (r[1] for r in h.awkward())]
+    column = pa.array(["skipped", *texts]).slice(1)
+    flat, first = shingles.shingles(shingles.Words(bytes_of(column), offsets_of(column)), 5)
+    assert np.diff(first).tolist() == [len(h.shingle_set(t)) for t in texts]
+    keys = list(zip(*(k.tolist() for k in shingles.set_keys(flat, first)), strict=True))
+    assert len({(k, h.shingle_set(t)) for k, t in zip(keys, texts, strict=True)}) == len(set(keys))
+
+
+def test_near_duplicates(spark, docs, empty):
+    got = ngram_join.jaccard_components(docs).collect()
+    rows = h.awkward()
+    sets = {r[0]: h.shingle_set(r[1]) for r in rows if r[0] is not None}
+    want = h.clusters(sets)
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] is not None:
+            assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]])
+        else:
+            assert r["component_id"] in (None, want[6])
+    assert ngram_join.jaccard_components(empty).count() == 0
+
+
+def test_dense_group(spark):
+    """Many copies of one text whose similarities lie on both sides of the threshold."""
+    rng = random.Random(3)
+    base, rows = h.sentence(rng, 150, 10**6).split(), []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            w[rng.randrange(len(w))] = f"q{rng.randrange(10**6)}"
+        cut = rng.choice([0, 0, 0, 20, 45])
+        rows.append((i, " ".join(w[cut:])))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == h.clusters({i: h.shingle_set(t) for i, t in rows})
+
+
+def test_repeated_paragraphs(spark, small, empty):
+    docs = table(spark, small, "documents")
+    paragraphs = {}
+    for r in docs.collect():
+        at = 0
+        for k, line in enumerate(r["text"].split("\n")):
+            if len(h.words(line)) >= substring_dedup.MIN_WORDS:
+                paragraphs[(r["doc_id"], k)] = (h.shingle_set(line), at, at + len(line))
+            at += len(line) + 1
+    want = h.clusters({k: v[0] for k, v in paragraphs.items()})
+    size = {}
+    for c in want.values():
+        size[c] = size.get(c, 0) + 1
+    expected = {(*k, *paragraphs[k][1:], size[c], *c, k != c) for k, c in want.items() if size[c] > 1}
+    got = {tuple(r) for r in substring_dedup.repeated_paragraphs(docs).collect()}
+    assert expected and len(got & expected) >= 0.99 * len(expected) and len(got - expected) <= 0.01 * len(expected)
+    assert substring_dedup.repeated_paragraphs(empty).count() == 0
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(docs).collect()}
+    gone = {(r[0], r[1]) for r in got if r[7]}
+    for r in docs.collect():
+        assert left[r["doc_id"]] == "\n".join(x for k, x in enumerate(r["text"].split("\n")) if (r["doc_id"], k) not in gone) or (r["doc_id"], r["text"].count("\n")) in gone
+
+
+def test_repeated_paragraphs_awkward(docs):
+    rows = substring_dedup.repeated_paragraphs(docs).collect()
+    assert {r["keep_doc_id"] for r in rows if r["doc_id"] == 6} == {6} and all(r["n_members"] > 1 for r in rows)
+
+
+def test_contamination(spark, small, docs, empty):
+    d, b = table(spark, small, "documents"), table(spark, small, "benchmark")
+    got = sorted(tuple(r)[:6] for r in decontaminate.contamination(d, b).collect())
+    assert got == sorted(h.contamination([(r[0], r[1]) for r in d.collect()], [(r[0], r[1]) for r in b.collect()]))
+    rows = h.awkward()
+    items = [(1, "one TWO"), (2, None), (3, "..."), (10, " ".join(rows_text(rows).split()[5:40])), (9, "a a a a a a a a a a a"), (9, "é"), (None, "w1 w2 w3 w4 w5 w6")]
+    clash = spark.createDataFrame([(*i, 1, "x") for i in items], "item_id bigint, text string, len int, low string")
+    got = sorted((tuple(r)[:6] for r in decontaminate.contamination(docs, clash).collect()), key=str)
+    assert got == sorted(h.contamination([(r[0], r[1]) for r in rows], items), key=str)
+    assert decontaminate.contamination(empty, b).count() == 0
+    assert decontaminate.contamination(d, b.limit(0)).filter("contaminated or n_items > 0").count() == 0
+
+
+def rows_text(rows):
+    return next(r[1] for r in rows if r[0] == 6)
+
+
+ODD = ["a" * 5001, "ab" * 3000, "x<|endoftext|> y<|endoftext|>", "<|endoftext|>", "\n\n  \n x   y\t z 　 é", "日本語 123 ١٢٣ ½ ", "it's we'll 'S WE'LL!!", "  \x85 a\x00b \U0001f600", "İstanbul ΣΑΣ ς", "á b", "Å a­b ß Ÿ ŉ Ǆ", "!!'s ''s", "".join(random.Random(1).choices("abcdefghijklmnop", k=6000))]
+
+
+def with_odd(spark):
+    rows = h.awkward()
+    return h.frame(spark, rows + [(10_000 + i, t, "c", 1, "c", "en", "s", 1) for i, t in enumerate(ODD)])
+
+
+def test_token_counts(spark, empty):
+    docs, library = with_odd(spark), tokenizers.Tokenizer.from_file(BYTES)
+    want = sorted(((r["doc_id"], len((r["text"] or "").encode()), len(library.encode(r["text"] or "", add_special_tokens=False).ids)) for r in docs.collect()), key=str)
+    got = token_count.token_counts(docs, BYTES).collect()
+    assert sorted((tuple(r)[:3] for r in got), key=str) == want
+    assert all(r["over_limit"] == (r["n_tokens"] > 1024) for r in got)
+    assert token_count.token_counts(empty, BYTES).count() == 0
+
+
+def test_language(spark, small, docs, empty):
+    known = table(spark, "/root/testdata/sf0.01", "documents")
+    learnt = language_id.learn(known, "doc_id", "text", "lang")
+    assert set(learnt) == {"en", "fr", "de", "es"} and all(len(v) <= language_id.DICTIONARY_BYTES for v in learnt.values())
+    got = known.join(language_id.identify(known, learnt), "doc_id").filter("held_out and length(text) > 100").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
+    rows = language_id.identify(docs, learnt).collect()
+    assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !!")], "doc_id bigint, text string")
+    assert {r["lang_pred"] for r in language_id.identify(odd, learnt).collect()} == {"und"}
+    assert {r["lang_pred"] for r in language_id.identify(docs, language_id.learn(empty, "doc_id", "text", "lang")).collect()} == {"und"}
+
+
+def test_language_looks_at_text_only(spark):
+    known = table(spark, "/root/testdata/sf0.001", "documents")
+    learnt = language_id.learn(known, "doc_id", "text", "lang")
+    a = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(known, learnt).collect()}
+    b = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(known.selectExpr("doc_id + 0 as doc_id", "text", "'xx' as lang"), learnt).collect()}
+    assert a == b
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def spans_by_hand(text):
+    digits = lambda s: re.sub(r"[^0-9]", "", s)
+    out = [(*m.span(), "email") for m in EMAIL.finditer(text)]
+    out += [(*m.span(), "ip") for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(*m.span(), "card") for m in CARD.finditer(text) if 12 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    out += [(*m.span(), "phone") for m in PHONE.finditer(text) if 9 <= len(digits(m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+def test_base_spans():
+    rng = random.Random(2)
+    for letters, longest in (("a1 .@-+()2%x_3:9", 40), ("0123456789 -+.()", 60), ("12.@a", 30)):
+        for _ in range(20_000):
+            text = "".join(rng.choices(letters, k=rng.randrange(1, longest)))
+            assert pii.base_spans(text) == spans_by_hand(text)
+    assert pii.base_spans("4" * 200_000 + "a" * 200_000) == []
+
+
+def test_pii(spark, small, docs, empty):
+    known = table(spark, "/root/testdata/sf0.01", "documents")
+    model = pii.learn(known)
+    texts = {r["doc_id"]: r["text"] for r in known.collect()}
+    for r in pii.find_spans(known, model).collect():
+        base = spans_by_hand(texts[r["doc_id"]])
+        listed = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(filter(None, listed.split(","))) <= set(r["spans"].split(","))
+    assert len(pii.find_spans(docs, model).collect()) == docs.count() and pii.find_spans(empty, pii.learn(empty)).count() == 0
+    planted = spark.createDataFrame([(1, "Mail a.b@c.org now"), (2, None), (3, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'), (4, "clean words only")], "doc_id bigint, text string")
+    marked = {r["doc_id"]: r["text"] for r in pii.redact(planted, model).collect()}
+    assert marked == {1: "Mail [EMAIL] now", 2: None, 3: 'token = "[SECRET]"', 4: "clean words only"}
+
+
+def test_reliabilities():
+    """A labeler that is right more often is trusted more."""
+    rng, counts = random.Random(4), {}
+    for _ in range(6000):
+        true = rng.random() < 0.5
+        say = lambda right: (1 if true else -1) * (1 if rng.random() < right else -1)  # noqa: B023, E731
+        votes = ",".join(map(str, (say(0.95), say(0.6), say(0.85), 0, say(0.8), 0)))
+        name = f"secret|{votes}|1|0"
+        counts[name] = counts.get(name, 0) + 1
+    model = pii.fit(counts)
+    right = [model.reliability[j][1][2] for j in (0, 1, 2)]
+    assert right[0] > right[2] > right[1] and abs(right[0] - 0.95) < 0.05
+    assert "secret|1,1,1,0,1,0|1|0" in model.accepts and "secret|-1,-1,-1,0,-1,0|1|0" not in model.accepts
+
+
+def check_packing(rows, ids):
+    """Each id lies in exactly one piece, pieces in gapless sequences; returns the tokens of each sequence."""
+    at = {}
+    for r in sorted(rows, key=lambda r: r["start"]):
+        x = ids[r["doc_id"]]
+        assert r["start"] == at.get(r["doc_id"], 0) and r["doc_tokens"] == len(x)
+        assert r["ids_crc32"] == zlib.crc32(np.array(x[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+        at[r["doc_id"]] = r["start"] + r["length"]
+    assert at == {i: len(x) for i, x in ids.items()}
+    full = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == full.get(r["sequence_id"], 0) and r["length"] > 0
+        full[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(full.values()) <= pack.LENGTH and all(n & (n - 1) == 0 for n in full.values())
+    return full
+
+
+def test_packing(spark, docs, empty):
+    library = tokenizers.Tokenizer.from_file(WORDS)
+    rows = [(i, t) for i, t in enumerate([*(r[1] for r in h.awkward()), *ODD])]
+    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, pack.END] for i, t in rows}
+    got = pack.packed(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, place string, part int").repartition(3), WORDS).collect()
+    check_packing(got, ids)
+    assert len(pack.packed(docs, WORDS).filter("start = 0").collect()) == docs.count()
+    assert pack.packed(empty, WORDS).count() == 0
+
+
+def test_memo_that_overflows(monkeypatch):
+    monkeypatch.setattr(pack, "MEMO", 50)
+    library, own = tokenizers.Tokenizer.from_file(WORDS), pack.Ids(WORDS)
+    texts = [h.sentence(random.Random(i), 40, 10**6) for i in range(12)]
+    for a in range(0, 12, 3):
+        assert [x.tolist() for x in own.of(texts[a : a + 3])] == [e.ids for e in library.encode_batch(texts[a : a + 3], add_special_tokens=False)]
+
+
+def test_curve():
+    monkey, pack.BITS = pack.BITS, 3
+    try:
+        grid = np.array([[a, b, c] for a in range(8) for b in range(8) for c in range(8)])
+        key = pack.hilbert(grid)
+    finally:
+        pack.BITS = monkey
+    assert sorted(key.tolist()) == list(range(512)) and np.abs(np.diff(grid[np.argsort(key)], axis=0)).sum(1).max() == 1
+
+
+def test_neighbours_lie_together(spark):
+    """Texts of one vocabulary share more sequences than texts of different ones."""
+    rows = [(i, " ".join(random.Random(i).choices([f"{'abcdefgh'[i % 8] * 2}{j}" for j in range(30)], k=60))) for i in range(400)]
+    got = pack.packed(spark.createDataFrame(rows, "doc_id bigint, text string"), WORDS).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append(r["doc_id"] % 8)
+    same = np.mean([a == b for x in by.values() for a, b in zip(x, x[1:], strict=False)])
+    assert same > 0.5
+
+
+def test_quality(spark, docs, empty):
+    known, labels = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text"), table(spark, "/root/testdata/sf0.01", "labels")
+    model = quality.learn(known, labels)
+    got = quality.score(known, model).join(labels, "doc_id").filter("held_out").collect()
+    good, bad = [r["score"] for r in got if r["quality"] == 1], [r["score"] for r in got if r["quality"] == 0]
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert auc > 0.97 and np.mean([r["predicted"] == r["quality"] for r in got]) > 0.93
+    rows = quality.score(docs, model).collect()
+    assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    assert quality.score(empty, model).count() == 0
+    none = quality.learn(known, labels.limit(0))
+    assert {r["score"] for r in quality.score(known, none).collect()} == {0.5}
+
+
+def test_folds(spark):
+    df = spark.createDataFrame([(i,) for i in range(50)], "i bigint")
+    assert [r[0] for r in df.select(crc_fold(df["i"])).collect()] == [zlib.crc32(str(i).encode()) % 3 for i in range(50)]
+
+
+URLS = {
+    "https://a.example.net/en/1?x#y": ("a.example.net", "/en/1", "example.net/en/", "allow"), "http://EXAMPLE.net/EN/": ("example.net", "/EN/", "net/", "block"), "http://notexample.net/en/": ("notexample.net", "/en/", "net/", "block"),
+    "http://x.org/fr/9": ("x.org", "/fr/9", "org/fr/", "allow"), "http://example.com/de/": ("example.com", "/de/", "example.com/de/", "block"), "http://a.net": ("a.net", "", None, "allow"), "nothing": ("", "", None, "allow"),
+    "http://cheap-pills.example.com/en/": ("cheap-pills.example.com", "/en/", None, "block"), "http://cheapness.example.com/pills": ("cheapness.example.com", "/pills", None, "allow"), "http://h?u=http://b.net/": ("h", "", None, "allow"),
+    "http://org/fr/": ("org", "/fr/", "org/fr/", "allow"), "a://b.NET/c://d": ("b.net", "/c://d", "net/", "block"),
+}
+
+
+def test_urls(spark):
+    rows = [*((i, u, "c") for i, u in enumerate(URLS)), (None, None, "c"), (0, "nothing", "c")]
+    got = {}
+    for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id bigint, url string, host string")).collect():
+        got.setdefault(r["page_id"], (r["host"], r["path"], r["rule"], r["verdict"]))
+    assert {u: got[i] for i, u in enumerate(URLS) if u not in ("nothing", next(iter(URLS)))} == {u: v for u, v in URLS.items() if u not in ("nothing", next(iter(URLS)))}
+    assert got[None] == ("", "", None, "allow")
+
+
+def test_url_index_equals_all_rules(spark, small):
+    pages = table(spark, small, "pages")
+    rules = url_filter.LISTED + url_filter.PATTERNS
+    for r in url_filter.filter_urls(pages).collect():
+        place = r["host"] + r["path"]
+        fit = [x for x in rules if re.search(x.pattern, place)]
+        listed = max((x.name for x in fit if x.listed), key=len, default=None)
+        assert r["rule"] == listed and r["n_run"] <= len(rules) // 4
+        assert r["pattern"] == (None if listed else next((x.name for x in fit), None))
+
+
+def test_ann(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((30, 16))
+    x = (centres[rng.integers(0, 30, 3000)] + 0.3 * rng.standard_normal((3000, 16))).astype(np.float32)
+    x[100:130] = x[100]
+    rows = [(i, v.tolist(), "c", 1) for i, v in enumerate(x)]
+    rows += [(5000, None, "c", 1), (5050, [0.0] * 16, "c", 1), (5100, [float("nan")] * 16, "c", 1), (5150, [1.0, None] * 8, "c", 1), (None, [1.0] * 16, "c", 1), (5200, [1.0], "c", 1), (5250, [], "c", 1)]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, vec string, leaf int").repartition(5)).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(found) == set(range(0, 3000, 50))
+    y, hits = x.astype(np.float64), 0
+    for q, near in found.items():
+        score = ann.cosines(y[q], y)
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(3000), -score))[:5]
+        hits += len(set(best.tolist()) & {v for v, _ in near})
+        assert len(near) == 5 and all(s == score[v] for v, s in near) and near == sorted(near, key=lambda t: (-t[1], t[0]))
+    assert hits >= 0.9 * 5 * len(found)
+    few = ann.neighbours(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<double>")).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(few, key=lambda r: r["rank"])] == [(0, 1, 1), (0, 2, 2)]
+    assert ann.neighbours(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
