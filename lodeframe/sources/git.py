@@ -44,7 +44,7 @@ class GitReader(DataSourceReader):
         self.parts, self.since = int(options.get("partitions", 8)), None
 
     def pushFilters(self, filters):
-        """Lower bounds on ts become `git log --since`, which only leaves out what the filter would; all filters stay."""
+        """Lower bounds on ts become a filter of `git log`, which only leaves out what the filter would; all filters stay."""
         for f in filters:
             if self.table == "commits" and isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == ("ts",) and isinstance(f.value, datetime):
                 self.since = f.value if self.since is None else max(self.since, f.value)
@@ -53,7 +53,8 @@ class GitReader(DataSourceReader):
     def keys(self) -> list[str]:
         try:
             if self.table in ("commits", "file_changes"):
-                return git(self.path, "log", "--format=%H").decode().split()
+                since = [f"--since-as-filter={self.since.isoformat()}Z"] if self.since else []
+                return git(self.path, "log", "--format=%H", *since).decode().split()
             if self.table == "blobs":
                 rows = git(self.path, "ls-tree", "-r", "-l", "-z", "HEAD").decode("utf-8", "replace").split("\0")
                 return [r for r in rows if r.split(" ")[1:2] == ["blob"]]
@@ -71,9 +72,8 @@ class GitReader(DataSourceReader):
             yield from getattr(self, f"read_{self.table}")(partition.keys)
 
     def read_commits(self, oids: list[str]) -> Iterator[tuple]:
-        since = [f"--since={self.since.isoformat()}Z"] if self.since else []
         form = "%x01%H%x00%an%x00%ct%x00%cd%x00%P%x00%B%x02"
-        out = git(self.path, "log", "--no-walk=unsorted", "--stdin", "--date=format:%z", "-m", "--first-parent", "--numstat", f"--format={form}", *since, data="\n".join(oids).encode())
+        out = git(self.path, "log", "--no-walk=unsorted", "--stdin", "--date=format:%z", "-m", "--first-parent", "--numstat", f"--format={form}", data="\n".join(oids).encode())
         for entry in out.decode("utf-8", "replace").split("\x01")[1:]:
             head, _, stat = entry.partition("\x02")
             oid, author, seconds, zone, parents, message = head.split("\0", 5)
@@ -132,5 +132,6 @@ class GitSource(DataSource):
 
 def read(spark, path: str, table: str, partitions: int = 8):
     """One table of the repository that path lies in."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(GitSource)
     return spark.read.format("git").option("path", root(path)).option("table", table).option("partitions", partitions).load()
