@@ -120,4 +120,4 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = LISTED + PATTERNS, i
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_urls(table(spark, sf_dir, "pages"))
+    return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")

@@ -354,3 +354,27 @@ def test_ann(spark):
     few = ann.neighbours(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id bigint, embedding array<double>")).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(few, key=lambda r: r["rank"])] == [(0, 1, 1), (0, 2, 2)]
     assert ann.neighbours(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op2_ngram_jaccard_join", "op3_decontaminate", "op9_url_filter"])
+def test_sql(spark, small, name):
+    import os
+
+    import duckdb
+
+    from lodeframe.llm import queries
+
+    c = duckdb.connect()
+    for f in os.listdir(small):
+        c.execute(f"create view {f.split('.')[0]} as select * from '{small}/{f}'")
+    want = c.execute(queries.ORACLE_SQL[name])
+    columns = [x[0] for x in want.description]
+    got = queries.QUERIES[name](spark, small)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_registered():
+    from lodeframe.llm import queries
+
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
