@@ -139,16 +139,29 @@ def imports(blobs: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
     return t.select(F.explode(F.array_compact(names)).alias("name")).distinct()
 
 
+def parts_of(names: DataFrame, name: str, longest: DataFrame) -> DataFrame:
+    """(name, part): the substrings of each name, the empty one included, no longer than the one value in longest."""
+    size = F.length(name)
+    starts = names.crossJoin(F.broadcast(longest)).select(name, "most", F.explode(F.sequence(F.lit(1), F.greatest(size, F.lit(1)))).alias("at"))
+    reach = F.least(size - F.col("at") + 1, F.col("most"))
+    each = starts.select(name, "at", F.explode(F.sequence(F.lit(0), reach)).alias("n"))
+    return each.select(name, F.expr(f"substr({name}, at, n)").alias("part")).distinct()
+
+
 def phantoms(direct: DataFrame, imported: DataFrame) -> DataFrame:
-    """name of direct dependencies that no import names: equal, equal with `_` for `-`, or one part of the other."""
+    """name of direct dependencies that no import names: equal, equal with `_` for `-`, or one part of the other.
+
+    Containment goes by equality with the other's substrings, so that neither side has to fit into one machine."""
     plain = lambda c: F.lower(F.translate(c, "-", "_"))
-    d = direct.select("name").distinct()
-    i = imported.select(F.lower("name").alias("imp"), plain("name").alias("imp_plain")).distinct()
-    # Equal names go by hash; only what is left is held against every import for containment.
-    rest = d.join(i.select(F.col("imp").alias("k")).distinct(), F.lower(d["name"]) == F.col("k"), "left_anti")
-    rest = rest.join(i.select(F.col("imp_plain").alias("k")).distinct(), plain("name") == F.col("k"), "left_anti")
-    inside = F.lower(rest["name"]).contains(F.col("imp")) | F.col("imp").contains(F.lower(rest["name"]))
-    return rest.join(i.select("imp").distinct(), inside, "left_anti")
+    d = direct.select("name").distinct().withColumn("low", F.lower("name")).withColumn("plain", plain("name"))
+    i = imported.select(F.lower("name").alias("imp"), plain("name").alias("plain")).distinct()
+    rest = d.join(i.select(F.col("imp").alias("low")).distinct(), "low", "left_anti").join(i.select("plain").distinct(), "plain", "left_anti")
+    lows, imps = rest.select("low").distinct(), i.select("imp").distinct()
+    most = lambda df, c: df.agg(F.coalesce(F.max(F.length(c)), F.lit(0)).alias("most"))
+    within_import = lows.join(parts_of(imps, "imp", most(lows, "low")).select(F.col("part").alias("low")).distinct(), "low", "left_semi")
+    holds_import = parts_of(lows, "low", most(imps, "imp")).join(imps.select(F.col("imp").alias("part")), "part", "left_semi").select("low")
+    used = within_import.unionByName(holds_import).distinct()
+    return rest.join(used, "low", "left_anti").select("name")
 
 
 def graphs(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -80,3 +80,24 @@ def test_streamed_commits(spark, repo, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("seen").count() == 3
+
+
+def test_command_line(spark, repo, tmp_path, capsys):
+    from lodeframe.plans import scan
+
+    out = {k: tmp_path / f"r.{k}" for k in ("json", "markdown", "html", "dot", "pdf")}
+    args = ["scan", "--path", str(repo), "--history-db", str(tmp_path / "h"), "--show-trends", *(x for k, p in out.items() for x in (f"--{k}", str(p)))]
+    assert scan.main(args) == 0 and scan.main(args) == 0
+    text = capsys.readouterr().out
+    assert "Python os.system" in text and "CVE-2024-27351" in text and "→ Secrets found: 0 → 0" in text
+    assert json.loads(out["json"].read_text())["summary"]["status"] == "PASS"
+    assert out["pdf"].read_bytes().startswith(b"%PDF") and out["dot"].read_text().startswith("digraph")
+
+
+def test_answers(spark, repo):
+    from lodeframe.plans.scan import answer
+
+    assert answer(spark, str(repo), "/health") == (200, {"ok": True, "data": "ok"})
+    assert [x["message"] for x in answer(spark, str(repo), "/log?count=2")[1]["data"]] == ["Merge side", "Fix login token"]
+    assert "+changed" in answer(spark, str(repo), "/diff")[1]["data"] and len(answer(spark, str(repo), "/status")[1]["data"]) == 2
+    assert answer(spark, "/nowhere", "/log")[0] == 500 and answer(spark, str(repo), "/x")[0] == 404
