@@ -15,9 +15,8 @@ def java(pattern: str) -> str:
 
 def lines_of(content: Column) -> Column:
     """The lines of a text: none for an empty one, no empty last line, no carriage return before a newline."""
-    parts = F.split(content, "\n", -1)
-    whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(whole, lambda x: F.regexp_replace(x, r"\r\z", ""))
+    plain = F.replace(content, F.lit("\r\n"), F.lit("\n"))
+    return F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(plain, r"\n\z", ""), "\n", -1))
 
 
 def explode_lines(blobs: DataFrame) -> DataFrame:
