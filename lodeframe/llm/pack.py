@@ -32,7 +32,7 @@ END = 1
 #: Rows that are tokenized beforehand to place the partition bounds: a documented bound, which only balances partitions.
 BOUND_ROWS = 5_000
 #: Words whose ids a worker remembers: only a memo.
-MEMO = 1_200_000
+MEMO = 1_000_000
 DIMENSIONS, BITS, BINS = 3, 10, 1024
 #: Texts of these characters only (no controls, no marks, nothing that normalization would change) are folded, split at
 #: white space and merged word by word here; all other texts go to the library whole.
