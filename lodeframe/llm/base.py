@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Rows of a side that may be broadcast; beyond it the join shuffles both sides.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that a numpy pass looks at together (a single longer text is its own pass).
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,19 +29,35 @@ def shared_dir(spark: SparkSession) -> str:
     return named or f"file://{os.path.join(tempfile.gettempdir(), 'lodeframe-shared')}"
 
 
+_KEPT: set[str] = set()
+
+
+def clear_kept(spark: SparkSession) -> None:
+    """Remove the intermediate tables that this process has written and not removed yet. Only once no result that reads
+    them is needed any more."""
+    for path in list(_KEPT):
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _KEPT.discard(path)
+
+
 class Kept:
     """An intermediate table written to the shared folder: cuts lineage, survives lost executors, and is computed once."""
 
     def __init__(self, df: DataFrame, tag: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
+        _KEPT.add(self.path)
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Remove the files. Only once nothing lazy reads them any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

@@ -28,7 +28,7 @@ BUCKETS, WIDTH = 1 << 15, 48
 SHAPES, SHAPE_WIDTH = 1 << 12, 32
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 2e-3, 1e-4
 NEAR = 2
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 
 def index_vectors(n: int, width: int, seed: int) -> np.ndarray:

@@ -12,7 +12,7 @@ import numpy as np
 
 U = np.uint64
 #: Bytes whose words are hashed together; longer runs of text are cut between words.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
