@@ -129,9 +129,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         ),
         lambda acc: acc["n"],
     )
-    result = spans.select("k1", "k2", covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+    # Written, so that the join below deals both sides anew and a text of very many copies can be split.
+    result = Kept(spans.select("k1", "k2", covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items")), "hits")
 
-    out = base.df.filter("not hit").join(result, ["k1", "k2"], "left")
+    out = base.df.filter("not hit").join(result.df, ["k1", "k2"], "left")
     ids = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return out.select(
         F.col("id").alias(id_col),
@@ -145,4 +146,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
