@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm.base import Kept
 
+#: Rows from which on an open bucket's ids are held against each other's elements before they are paired.
+BUSY = 32
 #: Alternations after which the label graph must be stable (it halves chains every time).
 MAX_ROUNDS = 60
 
@@ -30,18 +32,22 @@ def star_step(edges: DataFrame) -> DataFrame:
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def is_stars(edges: DataFrame) -> bool:
+    """Whether each u has one edge and no v has any: every component is a star around its smallest id."""
+    n = edges.agg(F.count("*"), F.count_distinct("u")).first()
+    return n[0] == n[1] and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> Kept:
     """(id, component) of every id of links that isn't the smallest of its component, as a written table.
 
     Links may be repeated, reversed or loops; null ends are left out. Without links the table is empty.
     """
     state = Kept(links.filter(f"{a} is not null and {b} is not null and {a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    seen = None
     for _ in range(MAX_ROUNDS):
-        mark = state.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or mark[0] == 0:
+        if is_stars(state.df):
             break
-        seen, last = mark, state
+        last = state
         state = Kept(star_step(last.df), "links")
         last.drop()
     else:
@@ -51,25 +57,44 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> Kept:
     return out
 
 
-def linked(rows: DataFrame, possible: Callable, verify: Callable[[DataFrame], DataFrame]) -> Kept:
+def sharing_enough(pairs: DataFrame, rest: DataFrame, possible: Callable) -> DataFrame:
+    """The pairs (a, b) that can be a link by the exact number of open buckets that they share."""
+    lists = rest.groupBy("id").agg(F.collect_list("bucket").alias("buckets"), F.first("n").alias("n"), F.first("e").alias("e"))
+    full = pairs.join(lists.select(F.col("id").alias("a"), F.struct("buckets", "n", "e").alias("x")), "a")
+    full = full.join(lists.select(F.col("id").alias("b"), F.struct("buckets", "n", "e").alias("y")), "b")
+    x, y = (lambda column: F.col(f"x.{column}")), (lambda column: F.col(f"y.{column}"))
+    return full.filter(possible(x, y, F.size(F.array_intersect("x.buckets", "y.buckets")))).select("a", "b")
+
+
+def linked(rows: DataFrame, possible: Callable, verify: Callable[[DataFrame], DataFrame], narrow: Callable | None = None, close: Callable | None = None, popular: bool = False) -> Kept:
     """Components of all true links between ids that share a bucket.
 
     rows: (bucket long, hot boolean, id long, n int, e int); hot marks buckets that many rows are known to share.
     possible(x, y, c): a column, whether the ids of x and y can be a link if they share c buckets at most; x("n"), x("e")
     and x("s") give an id's values, where s counts its buckets that any other id shares too.
     verify: takes distinct pairs (a, b), returns those that are links. Returns (id, component) as components() does.
+    narrow, close: if given, narrow(ids) gives (id, v) for the ids that are still open after the hubs in a bucket of BUSY or
+    more, and close(x, y) says by x("v") and y("v") (null for the others) whether two of them can be a link. popular: buckets
+    are no elements of a set, so neither an id's own part nor the buckets that two share say anything about their
+    similarity; hubs are ids whose buckets are large.
     """
-    # Rows of a hot bucket needn't meet to show that it's shared; on their own they don't land in one task.
-    met_by = Window.partitionBy("bucket", F.when(F.col("hot"), F.col("id")))
-    seen = rows.withColumn("lo", F.min("id").over(met_by)).withColumn("hi", F.max("id").over(met_by))
-    met = Kept(seen.filter("hot or lo < hi").select("bucket", "id", "n", "e"), "shared")
+    # Rows of a hot bucket needn't meet to show that it's shared. (One window that keeps them apart by id would do as well, but
+    # its wider rows cost more shuffle than going over the rows twice.)
+    alone = Window.partitionBy("bucket")
+    cold = rows.filter("not hot").drop("hot").withColumn("lo", F.min("id").over(alone)).withColumn("hi", F.max("id").over(alone)).filter("lo < hi")
+    met = Kept(cold.select("bucket", "id", "n", "e").unionByName(rows.filter("hot").select("bucket", "id", "n", "e")), "shared")
     shared = Kept(met.df.join(met.df.groupBy("id").agg(F.count("*").cast("int").alias("s")), "id"), "shared")
     met.drop()
     side = lambda name: lambda column: F.col(f"{name}.{column}")
 
     # The hub of a bucket is the id with the smallest part of its own: what the others were copied from, if anything is.
-    hub = F.min_by(F.struct("id", "n", "e", "s"), F.struct(F.col("n") / F.col("s"), F.col("id"))).alias("hub")
-    hubs = shared.df.groupBy("bucket").agg(hub)
+    own, ranked = F.col("n") / F.col("s"), shared.df
+    if popular:
+        sizes = shared.df.groupBy("bucket").agg(F.count("*").alias("size"))
+        ranked = shared.df.join(shared.df.join(sizes, "bucket").groupBy("id").agg(F.sum("size").alias("fame")), "id")
+        own = -F.col("fame")
+    hub = F.min_by(F.struct("id", "n", "e", "s"), F.struct(own.alias("own"), F.col("id"))).alias("hub")
+    hubs = ranked.groupBy("bucket").agg(hub)
     stars = shared.df.alias("x").join(hubs, "bucket").filter("x.id <> hub.id")
     stars = stars.filter(possible(side("x"), side("hub"), F.least("x.s", "hub.s"))).select(F.col("hub.id").alias("a"), F.col("x.id").alias("b"))
     tried = Kept(stars.distinct(), "tried")
@@ -83,13 +108,17 @@ def linked(rows: DataFrame, possible: Callable, verify: Callable[[DataFrame], Da
     listed = Window.partitionBy("id").orderBy("size", "bucket")
     ranked = at.drop("s").join(split, "bucket").withColumn("r", F.row_number().over(listed)).withColumn("s", F.count("*").over(Window.partitionBy("id")))
     rest = Kept(ranked.drop("size"), "rest")
+    if narrow:
+        busy = rest.df.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") >= BUSY).select("bucket")
+        crowd = rest.df.join(busy, "bucket", "left_semi").select("id").distinct()
+        wide, rest = rest, Kept(rest.df.join(narrow(crowd), "id", "left"), "rest")
+        wide.drop()
     x, y = side("x"), side("y")
     apart = (x("bucket") == y("bucket")) & (x("c") < y("c")) & possible(x, y, F.least(x("s") - x("r"), y("s") - y("r")) + 1)
+    if close:
+        apart = apart & close(x, y)
     across = rest.df.alias("x").join(rest.df.alias("y"), apart).select(x("id").alias("a"), y("id").alias("b")).distinct()
-    lists = rest.df.groupBy("id").agg(F.collect_list("bucket").alias("buckets"), F.first("n").alias("n"), F.first("e").alias("e"))
-    pairs = across.join(lists.select(F.col("id").alias("a"), F.struct("buckets", "n", "e").alias("x")), "a")
-    pairs = pairs.join(lists.select(F.col("id").alias("b"), F.struct("buckets", "n", "e").alias("y")), "b")
-    pairs = pairs.filter(possible(x, y, F.size(F.array_intersect("x.buckets", "y.buckets"))))
+    pairs = across if popular else sharing_enough(across, rest.df, possible)
     again = tried.df.select("a", "b").unionByName(tried.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = Kept(pairs.select("a", "b").join(again, ["a", "b"], "left_anti"), "tried")
     second = Kept(verify(more.df), "linked")

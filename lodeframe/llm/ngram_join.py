@@ -155,8 +155,13 @@ def can_link(similar: tuple[int, int]):
     return possible
 
 
-def verifier(docs: DataFrame, k: int, similar: tuple[int, int]):
-    """A function from candidate pairs (a, b) of ids to those that are similar, computed from the whole texts."""
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def verifier(docs: DataFrame, k: int, similar: tuple[int, int], only_needed: bool = False):
+    """A function from candidate pairs (a, b) of ids to those that are similar, computed from the whole texts. only_needed:
+    docs holds hardly any other ids than the pairs'."""
     num, den = similar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,12 +191,13 @@ def verifier(docs: DataFrame, k: int, similar: tuple[int, int]):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen)], ["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        n = ids.count()
-        if not n:
-            return pairs
-        few = checked_broadcast(ids, n)
-        texts = docs.join(few, "id", "left_semi")
+        texts = docs
+        if not only_needed:
+            ids = ends_of(pairs)
+            n = ids.count()
+            if not n:
+                return pairs
+            texts = docs.join(checked_broadcast(ids, n), "id", "left_semi")
         full = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         full = full.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
@@ -219,8 +225,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     each = picked.filter("id is not null").select("id", "n", "e", F.size("cold").alias("n_cold"), F.posexplode(F.concat("cold", "hot")).alias("pos", "bucket"))
     label = linked(each.select("bucket", F.expr("pos >= n_cold").alias("hot"), "id", "n", "e"), can_link(similar), verifier(rows, k, similar))
 
-    named = groups.join(label.df.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    out = marks.join(named, ["h1", "h2"], "left")
+    # Written, so that the join below deals both sides anew and a group of very many copies can be split.
+    named = Kept(groups.join(label.df.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id")), "named")
+    out = marks.join(named.df, ["h1", "h2"], "left")
     alone = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"))
 

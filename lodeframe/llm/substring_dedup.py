@@ -3,6 +3,10 @@
 A paragraph (a line) of at least MIN_WORDS words is a set of word 5-grams. Equal sets are one paragraph; for the others,
 BANDS bands of ROWS minima each make candidates (at similarity 0.8 a pair shares a band with probability 0.998), whose exact
 Jaccard similarity is computed. Components of true links are clusters, of which the first occurrence stays.
+
+A passage that repeats inside of longer, otherwise different paragraphs has no similar paragraph. So spans of SPAN words are
+compared as well, at content-chosen places (the smallest word-pair hash of every REACH in a row), which finds every run of
+SPAN + REACH - 1 = 50 or more words that two documents share; what overlaps in a document is one passage.
 """
 
 from __future__ import annotations
@@ -16,11 +20,12 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm.base import Kept, bytes_of, checked_broadcast, offsets_of, passes, small_batches, table, texts_of
 from lodeframe.llm.components import linked
-from lodeframe.llm.ngram_join import SIMILAR, WORDS, verifier
-from lodeframe.llm.shingles import U, Words, mix, seeds, set_keys, shingles
+from lodeframe.llm.ngram_join import SIMILAR, WORDS, ends_of, sets_of, verifier
+from lodeframe.llm.shingles import U, Words, mix, powers, seeds, set_keys, shingles
 
 MIN_WORDS = 20
 BANDS, ROWS = 12, 4
+SPAN, REACH = 25, 26
 #: Hashed shingles for which all minima are taken together.
 STRIP = 1 << 15
 
@@ -100,6 +105,98 @@ def paragraph_texts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "id bigint, text string")
 
 
+def sliding(x: np.ndarray, n: int, best) -> np.ndarray:
+    """best (minimum or maximum) of x[i : i + n], shorter at the end."""
+    out, width = x.copy(), 1
+    while width < n:
+        step = min(width, n - width)
+        out[:-step] = best(out[:-step], out[step:]) if len(out) > step else out[:-step]
+        width += step
+    return out
+
+
+def spans_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, unit and key of the spans at chosen places."""
+    h, first, counts = words.hash, words.first, words.counts()
+    n = len(h)
+    if n < SPAN:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
+    left = np.repeat(first[1:], counts) - np.arange(n)  # words from here to the end of the unit
+    pair = np.zeros(n, U)
+    pair[:-1] = mix(h[:-1] * seeds(43, 2)[0] + h[1:] * seeds(43, 2)[1]) | U(1)
+    low = sliding(pair, REACH, np.minimum)
+    low[left < REACH + 1] = 0
+    reached = sliding(low[::-1], REACH, np.maximum)[::-1]  # of the windows that begin here or up to REACH - 1 before
+    at = np.flatnonzero((reached == pair) & (left >= SPAN))
+    up, down = powers(n)
+    run = np.zeros(n + 1, U)
+    np.cumsum(h * up, out=run[1:])
+    key = mix((run[at + SPAN] - run[at]) * down[at])
+    return at, np.searchsorted(first, at, side="right") - 1, key
+
+
+def chosen_spans(rows: DataFrame) -> Kept:
+    """(id, start, end, key) of the spans at chosen places of every text, in code points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = texts_of(batch, "text")
+            for a, b in passes(column):
+                part = column.slice(a, b - a)
+                data, offsets = bytes_of(part), offsets_of(part)
+                words = Words(data, offsets)
+                at, unit, key = spans_of(words)
+                lo, hi = int(offsets[0]), int(offsets[-1])
+                chars = np.r_[0, np.cumsum((data[lo:hi] & 0xC0) != 0x80)]
+                base = chars[offsets[unit] - lo]
+                start, end = chars[words.start[at] - lo] - base, chars[words.end[at + SPAN - 1] - lo] - base
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(unit + a)), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64)), pa.array(key.view(np.int64))], ["id", "start", "end", "key"])
+
+    return Kept(rows.mapInArrow(run, "id bigint, start bigint, end bigint, key bigint"), "spans")
+
+
+def shared_passages(rows: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(id, start, end, n_members, keep) of runs of spans that other documents hold too, but for those that lie in one of
+    `paragraphs` (id, start, end), which are reported already. n_members is the most documents that hold one of its spans,
+    counted by occurrence; keep is the smallest id that holds one of them."""
+    spans = chosen_spans(rows)
+    shared = Kept(spans.df.groupBy("key").agg(F.min("id").alias("keep"), F.max("id").alias("last"), F.count("*").alias("n")).filter("keep < last").select("key", "keep", "n"), "shared")
+    met = spans.df.join(checked_broadcast(shared.df, shared.df.count()), "key")
+    # A document's spans and paragraphs are as many as its words at most.
+    by_id = met.groupBy("id").agg(F.collect_list(F.struct("start", "end", "n", "keep")).alias("spans"))
+    known = paragraphs.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("known"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, spans, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                runs: list[list] = []
+                for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
+                    if runs and s["start"] <= runs[-1][1]:
+                        r = runs[-1]
+                        r[1], r[2], r[3] = max(r[1], s["end"]), max(r[2], s["n"]), min(r[3], s["keep"])
+                    else:
+                        runs.append([s["start"], s["end"], s["n"], s["keep"]])
+                out += [(i, *r) for r in runs if not any(k["start"] <= r[0] and r[1] <= k["end"] for k in known or ())]
+            columns = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "start", "end", "n_members", "keep"])
+
+    return by_id.join(known, "id", "left").select("id", "spans", "known").mapInArrow(run, "id bigint, start bigint, end bigint, n_members bigint, keep bigint")
+
+
+def elements(texts: DataFrame) -> DataFrame:
+    """(id, element): the shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, _, flat, first in sets_of(texts_of(batch, "text"), WORDS):
+                size = np.diff(first)
+                owner = pa.array(np.repeat(np.arange(len(size)), size) + a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(flat.view(np.int64))], ["id", "element"])
+
+    return texts.mapInArrow(run, "id bigint, element bigint")
+
+
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, paragraph, start, end, n_members, keep_doc_id, keep_paragraph, removed) of every paragraph that has a near copy.
 
@@ -119,17 +216,34 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def possible(x, y, c):
         return (F.least(x("n"), y("n")) * den >= F.greatest(x("n"), y("n")) * num) & (c > 0)
 
+    kept: list[Kept] = []
+
+    def fetch(ids: DataFrame, n: int) -> DataFrame:
+        kept.append(Kept(paragraph_texts(rows).join(checked_broadcast(ids, n), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts"))
+        return kept[-1].df
+
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = ends_of(pairs)
+        n = ids.count()
+        return verifier(fetch(ids, n), WORDS, SIMILAR, only_needed=True)(pairs) if n else pairs
+
+    def narrow(ids: DataFrame) -> DataFrame:
+        """How many of its shingles none of the other ids has: those it can't share with one of them."""
         n = ids.count()
         if not n:
-            return pairs
-        texts = Kept(paragraph_texts(rows).join(checked_broadcast(ids, n), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
-        out = Kept(verifier(texts.df, WORDS, SIMILAR)(pairs), "linked")
-        texts.drop()
-        return out.df
+            return ids.withColumn("v", F.lit(0).cast("bigint"))
+        own = elements(fetch(ids, n)).groupBy("element").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1")
+        return ids.join(own.groupBy("id").agg(F.count("*").alias("v")), "id", "left").select("id", F.coalesce("v", F.lit(0)).alias("v"))
+
+    def close(x, y):
+        # What is their own is known of the ids of busy buckets against each other; with others they may share all they have.
+        left = lambda of: of("n") - of("v")
+        most = F.coalesce(F.when(x("v").isNotNull() & y("v").isNotNull(), F.least(left(x), left(y))), F.least(x("n"), y("n")).cast("bigint"))
+        return most >= F.ceil((x("n") + y("n")) * num / (num + den))
 
-    label = linked(buckets, possible, verify)
+    label = linked(buckets, possible, verify, narrow, close, popular=True)
+    for t in kept:
+        t.drop()
     groups = marks.df.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "paragraph")).alias("keep"))
     named = Kept(groups.join(label.df.withColumnRenamed("id", "key"), "key", "left").select("key", "copies", "keep", F.coalesce("component", "key").alias("cluster")), "named")
     clusters = named.df.groupBy("cluster").agg(F.sum("copies").alias("n_members"), F.min("keep").alias("keep")).filter("n_members > 1")
@@ -141,6 +255,18 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """repeated_paragraphs and, with a null paragraph, the passages that two or more ids share inside of other paragraphs
+    (keep_paragraph is null as well; all but the smallest id's are removed)."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
+    found = Kept(repeated_paragraphs(docs, id_col, text_col), "paragraphs")
+    more = shared_passages(rows, found.df.select(F.col(id_col).alias("id"), "start", "end"))
+    none = F.lit(None).cast("bigint")
+    return found.df.unionByName(
+        more.select(F.col("id").alias(id_col), none.alias("paragraph"), "start", "end", "n_members", F.col("keep").alias("keep_doc_id"), none.alias("keep_paragraph"), (F.col("id") != F.col("keep")).alias("removed"))
+    )
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with removed paragraphs cut out of text_col. Ids must be unique; null ids and texts stay as they are."""
     gone = repeated_paragraphs(docs, id_col, text_col).filter("removed").groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_gone"))
@@ -163,4 +289,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return repeats(table(spark, sf_dir, "documents"))

@@ -378,3 +378,26 @@ def test_registered():
     from lodeframe.llm import queries
 
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+
+
+def test_shared_passages(spark, empty):
+    """Every run of 44 or more words that two documents share is reported, wherever it stands; shorter ones are not."""
+    rng, texts = random.Random(9), {}
+    long, short = h.sentence(rng, 50, 10**6), h.sentence(rng, 24, 10**6)
+    for i in range(60):
+        words = [f"é{rng.randrange(10**6)}" for _ in range(rng.randrange(100, 300))]
+        cut = rng.randrange(5, len(words) - 5)
+        if i < 20:
+            words[cut:cut] = (long if i % 2 else long.upper()).split()
+        elif i < 40:
+            words[cut:cut] = short.split()
+        texts[i] = " ".join(words)
+    texts[60], texts[61] = "la " * 400, None
+    df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id bigint, text string, start int")
+    got = substring_dedup.repeats(df).collect()
+    assert {r["doc_id"] for r in got} == set(range(20)) and {r["keep_doc_id"] for r in got} == {0}
+    assert sum(r["removed"] for r in got) == 19 and {r["n_members"] for r in got} == {20}
+    for r in got:
+        cut = texts[r["doc_id"]][r["start"] : r["end"]].lower()
+        assert cut in long and len(cut.split()) >= substring_dedup.SPAN
+    assert substring_dedup.repeats(empty).count() == 0
