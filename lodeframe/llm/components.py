@@ -107,6 +107,8 @@ def linked(rows: DataFrame, possible: Callable, verify: Callable[[DataFrame], Da
     # t - c + 1, so it's enough to meet there.
     listed = Window.partitionBy("id").orderBy("size", "bucket")
     ranked = at.drop("s").join(split, "bucket").withColumn("r", F.row_number().over(listed)).withColumn("s", F.count("*").over(Window.partitionBy("id")))
+    if popular:  # ids have few buckets then: with their list at hand, a pair is made in the first one that both have
+        ranked = ranked.withColumn("list", F.collect_list("bucket").over(listed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     rest = Kept(ranked.drop("size"), "rest")
     if narrow:
         busy = rest.df.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") >= BUSY).select("bucket")
@@ -117,6 +119,8 @@ def linked(rows: DataFrame, possible: Callable, verify: Callable[[DataFrame], Da
     apart = (x("bucket") == y("bucket")) & (x("c") < y("c")) & possible(x, y, F.least(x("s") - x("r"), y("s") - y("r")) + 1)
     if close:
         apart = apart & close(x, y)
+    if popular:
+        apart = apart & (F.array_intersect(x("list"), y("list"))[0] == x("bucket"))
     across = rest.df.alias("x").join(rest.df.alias("y"), apart).select(x("id").alias("a"), y("id").alias("b")).distinct()
     pairs = across if popular else sharing_enough(across, rest.df, possible)
     again = tried.df.select("a", "b").unionByName(tried.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
