@@ -260,7 +260,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     (keep_paragraph is null as well; all but the smallest id's are removed)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
     found = Kept(repeated_paragraphs(docs, id_col, text_col), "paragraphs")
-    more = shared_passages(rows, found.df.select(F.col(id_col).alias("id"), "start", "end"))
+    more = shared_passages(rows, found.df.filter("removed").select(F.col(id_col).alias("id"), "start", "end"))
     none = F.lit(None).cast("bigint")
     return found.df.unionByName(
         more.select(F.col("id").alias(id_col), none.alias("paragraph"), "start", "end", "n_members", F.col("keep").alias("keep_doc_id"), none.alias("keep_paragraph"), (F.col("id") != F.col("keep")).alias("removed"))

@@ -401,3 +401,24 @@ def test_shared_passages(spark, empty):
         cut = texts[r["doc_id"]][r["start"] : r["end"]].lower()
         assert cut in long and len(cut.split()) >= substring_dedup.SPAN
     assert substring_dedup.repeats(empty).count() == 0
+
+
+def fresh_words(rng, n):
+    return " ".join(f"x{rng.randrange(10**9)}" for _ in range(n))
+
+
+def passages(spark, texts):
+    """(doc_id, text, keep, n_members, removed) of the passages of texts, in order."""
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    rows = [r for r in substring_dedup.repeats(df).collect() if r["paragraph"] is None]
+    return sorted((r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]], r["keep_doc_id"], r["n_members"], r["removed"]) for r in rows)
+
+
+def test_passage_of_a_paragraph_that_stays(spark):
+    """Each group of copies keeps one paragraph, whose passage still repeats in the other groups."""
+    rng = random.Random(21)
+    p = fresh_words(rng, 60)
+    texts = {1: f"{fresh_words(rng, 70)} {p} {fresh_words(rng, 70)}"}
+    for k in (5, 8, 11):
+        texts[k] = texts[k + 1] = f"{fresh_words(rng, 80)} {p} {fresh_words(rng, 80)}"
+    assert {(r[0], r[2], r[4]) for r in passages(spark, texts)} == {(1, 1, False), (5, 1, True), (8, 1, True), (11, 1, True)}
