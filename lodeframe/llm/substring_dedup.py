@@ -6,7 +6,8 @@ Jaccard similarity is computed. Components of true links are clusters, of which
 
 A passage that repeats inside of longer, otherwise different paragraphs has no similar paragraph. So spans of SPAN words are
 compared as well, at content-chosen places (the smallest word-pair hash of every REACH in a row), which finds every run of
-SPAN + REACH - 1 = 50 or more words that two documents share; what overlaps in a document is one passage.
+SPAN + REACH - 1 = 50 or more words that two documents share; around what is found all spans are compared, so that a
+passage is reported from its first to its last shared word.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from lodeframe.llm.shingles import U, Words, mix, powers, seeds, set_keys, shing
 MIN_WORDS = 20
 BANDS, ROWS = 12, 4
 SPAN, REACH = 25, 26
+#: Documents with shared passages up to which their list is broadcast.
+NEAR_ROWS = 200_000
 #: Hashed shingles for which all minima are taken together.
 STRIP = 1 << 15
 
@@ -136,7 +139,7 @@ def spans_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def chosen_spans(rows: DataFrame) -> Kept:
-    """(id, start, end, key) of the spans at chosen places of every text, in code points."""
+    """(id, at, start, end, key) of the spans at chosen places of every text: first word, and where it lies in code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,42 +149,156 @@ def chosen_spans(rows: DataFrame) -> Kept:
                 data, offsets = bytes_of(part), offsets_of(part)
                 words = Words(data, offsets)
                 at, unit, key = spans_of(words)
-                lo, hi = int(offsets[0]), int(offsets[-1])
-                chars = np.r_[0, np.cumsum((data[lo:hi] & 0xC0) != 0x80)]
-                base = chars[offsets[unit] - lo]
-                start, end = chars[words.start[at] - lo] - base, chars[words.end[at + SPAN - 1] - lo] - base
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(unit + a)), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64)), pa.array(key.view(np.int64))], ["id", "start", "end", "key"])
+                values = [pa.array(x.astype(np.int64)) for x in (at - words.first[unit], *places(data, offsets, words, at, unit))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(unit + a)), *values, pa.array(key.view(np.int64))], ["id", "at", "start", "end", "key"])
 
-    return Kept(rows.mapInArrow(run, "id bigint, start bigint, end bigint, key bigint"), "spans")
+    return Kept(rows.mapInArrow(run, "id bigint, at bigint, start bigint, end bigint, key bigint"), "spans")
+
+
+def places(data: np.ndarray, offsets: np.ndarray, words: Words, at: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end in code points of the spans that begin at the words `at` of texts `unit`."""
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    chars = np.r_[0, np.cumsum((data[lo:hi] & 0xC0) != 0x80)]
+    base = chars[offsets[unit] - lo]
+    return chars[words.start[at] - lo] - base, chars[words.end[at + SPAN - 1] - lo] - base
+
+
+class Cover:
+    """Runs of text that are reported already: from (start, end, removed) of one document's paragraphs. Neighbouring runs of
+    one sort are joined."""
+
+    def __init__(self, known: list[dict]):
+        self.runs = {}
+        for removed in (True, False):
+            joined: list[list[int]] = []
+            for a, b in sorted((k["start"], k["end"]) for k in known if k["removed"] == removed):
+                if joined and a <= joined[-1][1] + 1:
+                    joined[-1][1] = max(joined[-1][1], b)
+                else:
+                    joined.append([a, b])
+            self.runs[removed] = np.array(joined, np.int64).reshape(-1, 2)
+
+    def holds(self, removed: bool, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which of the spans lie in a run."""
+        runs = self.runs[removed]
+        if not len(runs):
+            return np.zeros(len(start), bool)
+        i = np.searchsorted(runs[:, 0], start, side="right") - 1
+        return (i >= 0) & (end <= runs[np.maximum(i, 0), 1])
+
+
+def flagged(spans: DataFrame, known: DataFrame) -> Kept:
+    """(id, at, key, live, listed) of spans: live ones lie in no removed paragraph, listed ones in one that stays."""
+    by_id = spans.groupBy("id").agg(F.collect_list(F.struct("at", "start", "end", "key")).alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(1).flatten()
+            at, start, end, key = (np.asarray(flat.field(k)) for k in range(4))
+            ends = np.cumsum(np.asarray(batch.column(1).value_lengths()), dtype=np.int64)
+            live, listed, a = np.ones(len(at), bool), np.zeros(len(at), bool), 0
+            for b, known in zip(ends.tolist(), batch.column(2).to_pylist(), strict=True):
+                if known:
+                    cover = Cover(known)
+                    live[a:b], listed[a:b] = ~cover.holds(True, start[a:b], end[a:b]), cover.holds(False, start[a:b], end[a:b])
+                a = b
+            owner = pa.array(np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *(pa.array(x) for x in (at, key, live, listed))], ["id", "at", "key", "live", "listed"])
+
+    return Kept(by_id.join(known, "id", "left").select("id", "spans", "known").mapInArrow(run, "id bigint, at bigint, key bigint, live boolean, listed boolean"), "flagged")
+
+
+def every_span(rows: DataFrame, near: DataFrame) -> Kept:
+    """(id, version, at, start, end, key, live, listed) of the spans at all words up to SPAN + REACH beside those that near
+    (id, ats, known) names. version tells texts of one id apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "version", "at", "start", "end", "key", "live", "listed"]
+        for batch in batches:
+            column = texts_of(batch, "text")
+            for a, b in passes(column):
+                part = column.slice(a, b - a)
+                data, offsets = bytes_of(part), offsets_of(part)
+                words = Words(data, offsets)
+                n, counts = len(words.hash), words.counts()
+                change = np.zeros(n + 1, np.int64)
+                for i, ats in enumerate(batch.column(2).slice(a, b - a).to_pylist()):
+                    x, last = np.array(ats, np.int64), max(0, int(counts[i]) - SPAN + 1)
+                    np.add.at(change, words.first[i] + np.clip(x - SPAN - REACH, 0, last), 1)
+                    np.add.at(change, words.first[i] + np.clip(x + SPAN + REACH + 1, 0, last), -1)
+                at = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+                unit = np.searchsorted(words.first, at, side="right") - 1
+                up, down = powers(n)
+                total = np.zeros(n + 1, U)
+                np.cumsum(words.hash * up, out=total[1:])
+                key = mix((total[at + SPAN] - total[at]) * down[at])
+                start, end = places(data, offsets, words, at, unit)
+                live, listed = np.ones(len(at), bool), np.zeros(len(at), bool)
+                cuts = np.searchsorted(unit, np.arange(b - a + 1))
+                for i, known in enumerate(batch.column(3).slice(a, b - a).to_pylist()):
+                    if known:
+                        cover, here = Cover(known), slice(cuts[i], cuts[i + 1])
+                        live[here], listed[here] = ~cover.holds(True, start[here], end[here]), cover.holds(False, start[here], end[here])
+                owner = pa.array(unit + a)
+                ints = (at - words.first[unit], start, end)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(owner), batch.column(4).take(owner), *(pa.array(x.astype(np.int64)) for x in ints), pa.array(key.view(np.int64)), pa.array(live), pa.array(listed)], names
+                )
+
+    full = rows.join(near, "id").select("id", "text", "ats", "known", F.xxhash64("text").alias("version"))
+    return Kept(full.mapInArrow(run, "id bigint, version bigint, at bigint, start bigint, end bigint, key bigint, live boolean, listed boolean"), "windows")
+
+
+def holders(spans: DataFrame) -> DataFrame:
+    """(key, keep, n, several, loose): the smallest id that holds a span outside of removed paragraphs, how many occurrences
+    there are, whether other ids hold it outside of them too, and whether one lies outside of all paragraphs. Only spans of
+    two or more ids."""
+    lives = F.when(F.col("live"), F.col("id"))
+    found = spans.groupBy("key").agg(
+        F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(lives).alias("keep"), F.max(lives).alias("last"), F.count("*").alias("n"), F.max(F.expr("live and not listed")).alias("loose")
+    )
+    return found.filter("lo < hi and keep is not null").select("key", "keep", "n", F.expr("keep < last").alias("several"), "loose")
 
 
 def shared_passages(rows: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """(id, start, end, n_members, keep) of runs of spans that other documents hold too, but for those that lie in one of
-    `paragraphs` (id, start, end), which are reported already. n_members is the most documents that hold one of its spans,
-    counted by occurrence; keep is the smallest id that holds one of them."""
+    """(id, start, end, n_members, keep) of the runs of words that other documents hold too. What lies in a removed one of
+    `paragraphs` (id, start, end, removed) is reported already, and so is what besides lies in one that stays only.
+
+    Chosen spans show which documents share something; around those, all spans of SPAN words are compared, so a run is as
+    long as what is shared. keep is the smallest id that holds a span outside of removed paragraphs. Neighbouring spans
+    are one run, with the smallest keep and the largest number of occurrences.
+    """
     spans = chosen_spans(rows)
-    shared = Kept(spans.df.groupBy("key").agg(F.min("id").alias("keep"), F.max("id").alias("last"), F.count("*").alias("n")).filter("keep < last").select("key", "keep", "n"), "shared")
+    shared = Kept(spans.df.groupBy("key").agg(F.min("id").alias("keep"), F.max("id").alias("last")).filter("keep < last").select("key"), "shared")
     met = spans.df.join(checked_broadcast(shared.df, shared.df.count()), "key")
     # A document's spans and paragraphs are as many as its words at most.
-    by_id = met.groupBy("id").agg(F.collect_list(F.struct("start", "end", "n", "keep")).alias("spans"))
-    known = paragraphs.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("known"))
+    known = paragraphs.groupBy("id").agg(F.collect_list(F.struct("start", "end", "removed")).alias("known"))
+    flags = flagged(met, known)
+    open_ = Kept(holders(flags.df).filter("several or loose").select("key"), "open")
+    hits = flags.df.join(checked_broadcast(open_.df, open_.df.count()), "key").groupBy("id").agg(F.collect_list("at").alias("ats"))
+    near = Kept(hits.join(known, "id", "left"), "near")
+    windows = every_span(rows, checked_broadcast(near.df, near.df.count(), NEAR_ROWS))
+    held = Kept(holders(windows.df), "held")
+    told = windows.df.filter("live").join(checked_broadcast(held.df, held.df.count()), "key").filter("several or not listed")
+    by_text = told.groupBy("id", "version").agg(F.collect_list(F.struct("at", "start", "end", "n", "keep")).alias("spans"))
+    for t in (spans, shared, flags, open_):
+        t.drop()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, spans, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs: list[list] = []
-                for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
-                    if runs and s["start"] <= runs[-1][1]:
-                        r = runs[-1]
-                        r[1], r[2], r[3] = max(r[1], s["end"]), max(r[2], s["n"]), min(r[3], s["keep"])
-                    else:
-                        runs.append([s["start"], s["end"], s["n"], s["keep"]])
-                out += [(i, *r) for r in runs if not any(k["start"] <= r[0] and r[1] <= k["end"] for k in known or ())]
-            columns = zip(*out, strict=True) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "start", "end", "n_members", "keep"])
+            flat, size = batch.column(1).flatten(), np.asarray(batch.column(1).value_lengths())
+            owner = np.repeat(np.arange(len(size)), size)
+            at, start, end, n, keep = (np.asarray(flat.field(k)) for k in range(5))
+            order = np.lexsort((at, owner))
+            at, start, end, n, keep, owner = (x[order] for x in (at, start, end, n, keep, owner))
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = (owner[1:] != owner[:-1]) | (at[1:] > at[:-1] + 1)
+            first = np.flatnonzero(fresh)
+            last = np.r_[first[1:], len(at)][: len(first)] - 1
+            most, keep = (np.maximum.reduceat(n, first), np.minimum.reduceat(keep, first)) if len(first) else (n, keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[first])), *(pa.array(x) for x in (start[first], end[last], most, keep))], ["id", "start", "end", "n_members", "keep"])
 
-    return by_id.join(known, "id", "left").select("id", "spans", "known").mapInArrow(run, "id bigint, start bigint, end bigint, n_members bigint, keep bigint")
+    return by_text.select("id", "spans").mapInArrow(run, "id bigint, start bigint, end bigint, n_members bigint, keep bigint")
 
 
 def elements(texts: DataFrame) -> DataFrame:
@@ -256,11 +373,11 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """repeated_paragraphs and, with a null paragraph, the passages that two or more ids share inside of other paragraphs
-    (keep_paragraph is null as well; all but the smallest id's are removed)."""
+    """repeated_paragraphs and, with a null paragraph, the passages that two or more ids share outside of removed paragraphs
+    (keep_paragraph is null as well; all but the smallest id's are removed, where they lie in no removed paragraph)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
     found = Kept(repeated_paragraphs(docs, id_col, text_col), "paragraphs")
-    more = shared_passages(rows, found.df.filter("removed").select(F.col(id_col).alias("id"), "start", "end"))
+    more = shared_passages(rows, found.df.select(F.col(id_col).alias("id"), "start", "end", "removed"))
     none = F.lit(None).cast("bigint")
     return found.df.unionByName(
         more.select(F.col("id").alias(id_col), none.alias("paragraph"), "start", "end", "n_members", F.col("keep").alias("keep_doc_id"), none.alias("keep_paragraph"), (F.col("id") != F.col("keep")).alias("removed"))

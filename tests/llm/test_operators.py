@@ -421,4 +421,15 @@ def test_passage_of_a_paragraph_that_stays(spark):
     texts = {1: f"{fresh_words(rng, 70)} {p} {fresh_words(rng, 70)}"}
     for k in (5, 8, 11):
         texts[k] = texts[k + 1] = f"{fresh_words(rng, 80)} {p} {fresh_words(rng, 80)}"
-    assert {(r[0], r[2], r[4]) for r in passages(spark, texts)} == {(1, 1, False), (5, 1, True), (8, 1, True), (11, 1, True)}
+    assert [(r[0], r[1], r[2], r[4]) for r in passages(spark, texts)] == [(1, p, 1, False), (5, p, 1, True), (8, p, 1, True), (11, p, 1, True)]
+
+
+def test_passages_are_whole(spark):
+    rng, texts = random.Random(22), {}
+    shared = [fresh_words(rng, n) for n in (50, 51, 77, 130, 400)]
+    for i, p in enumerate(shared):
+        texts[10 * i], texts[10 * i + 1] = (f"{fresh_words(rng, rng.randrange(80, 500))} {p} {fresh_words(rng, rng.randrange(80, 500))}" for _ in range(2))
+    texts[90], texts[91] = f"{shared[0]} {fresh_words(rng, 200)}", f"{fresh_words(rng, 200)} {shared[0]}"
+    got = passages(spark, texts)
+    want = [(10 * i + j, p, 10 * i, 4 if i == 0 else 2, j == 1) for i, p in enumerate(shared) for j in (0, 1)] + [(i, shared[0], 0, 4, True) for i in (90, 91)]
+    assert got == want
