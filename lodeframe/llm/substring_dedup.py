@@ -266,7 +266,8 @@ def shared_passages(rows: DataFrame, paragraphs: DataFrame) -> DataFrame:
 
     Chosen spans show which documents share something; around those, all spans of SPAN words are compared, so a run is as
     long as what is shared. keep is the smallest id that holds a span outside of removed paragraphs. Neighbouring spans
-    are one run, with the smallest keep and the largest number of occurrences.
+    with the same keep are one run; where keep changes another run begins, which overlaps the one before. n_members is the
+    least number of occurrences of a run's spans.
     """
     spans = chosen_spans(rows)
     shared = Kept(spans.df.groupBy("key").agg(F.min("id").alias("keep"), F.max("id").alias("last")).filter("keep < last").select("key"), "shared")
@@ -292,11 +293,11 @@ def shared_passages(rows: DataFrame, paragraphs: DataFrame) -> DataFrame:
             order = np.lexsort((at, owner))
             at, start, end, n, keep, owner = (x[order] for x in (at, start, end, n, keep, owner))
             fresh = np.ones(len(at), bool)
-            fresh[1:] = (owner[1:] != owner[:-1]) | (at[1:] > at[:-1] + 1)
+            fresh[1:] = (owner[1:] != owner[:-1]) | (keep[1:] != keep[:-1]) | (at[1:] > at[:-1] + 1)
             first = np.flatnonzero(fresh)
             last = np.r_[first[1:], len(at)][: len(first)] - 1
-            most, keep = (np.maximum.reduceat(n, first), np.minimum.reduceat(keep, first)) if len(first) else (n, keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[first])), *(pa.array(x) for x in (start[first], end[last], most, keep))], ["id", "start", "end", "n_members", "keep"])
+            least = np.minimum.reduceat(n, first) if len(first) else n
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[first])), *(pa.array(x) for x in (start[first], end[last], least, keep[first]))], ["id", "start", "end", "n_members", "keep"])
 
     return by_text.select("id", "spans").mapInArrow(run, "id bigint, start bigint, end bigint, n_members bigint, keep bigint")
 

@@ -433,3 +433,15 @@ def test_passages_are_whole(spark):
     got = passages(spark, texts)
     want = [(10 * i + j, p, 10 * i, 4 if i == 0 else 2, j == 1) for i, p in enumerate(shared) for j in (0, 1)] + [(i, shared[0], 0, 4, True) for i in (90, 91)]
     assert got == want
+
+
+def test_passages_keep_their_own_first_occurrence(spark):
+    rng = random.Random(23)
+    section = fresh_words(rng, 200).split()
+    middle = " ".join(section[70:130])
+    texts = {1: f"{fresh_words(rng, 90)} {middle} {fresh_words(rng, 90)}"}
+    for i in (3, 8):
+        texts[i] = f"{fresh_words(rng, 150)} {' '.join(section)} {fresh_words(rng, 150)}"
+    ends = sorted([" ".join(section[:94]), " ".join(section[106:])])
+    want = [(1, middle, 1, 3, False)] + [(i, t, k, n, r) for i in (3, 8) for t, k, n, r in [*((e, 3, 2, i != 3) for e in ends), (middle, 1, 3, True)]]
+    assert passages(spark, texts) == sorted(want)
