@@ -33,7 +33,7 @@ CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth")
-KEYED = re.compile(r"(?i)(?<![A-Za-z])(?:" + "|".join(SECRET_WORDS) + r")[\w-]{0,16}[\x20\t]?[=:][\x20\t]?[\"']?([^\s\"'&,;<>]{6,256})")
+KEYED = re.compile(r"(?i)(?<![A-Za-z])(?:" + "|".join(SECRET_WORDS) + r")[\w-]{0,16}[\x20\t]?[=:][\x20\t]?[\"']?([^\s\"'&,;<>]{6,}+)")
 CLOUD_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")
 LOCAL_PHONE = re.compile(r"(?<![\w+().-])(?:\([0-9]{3}\)[\x20]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![\w-])")
 NATIONAL_ID = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
@@ -53,6 +53,8 @@ AGAINST = ("version", "isbn", "issn", "page", "figure", "table", "order", "invoi
 STAND_INS = frozenset("password secret token changeme example test none null true false undefined placeholder your_password xxxxxxxx".split())
 MAIL_HOSTS = ("gmail", "yahoo", "hotmail", "outlook", "proton", "mail", "icloud", "aol")
 AROUND, MANY = 32, 40
+#: Characters from which on a secret may hold base spans (a signed token with an address in it).
+LONG = 257
 LABELERS = 6
 ROUNDS, STEPS = 60, 400
 
@@ -152,7 +154,7 @@ def judged(text: str) -> tuple[list, list, list[str]]:
     base = base_spans(text)
     more, taken = [], sorted((s[0], s[1]) for s in base)
     for s in sorted(proposals(text), key=lambda s: (s[0], -s[1])):
-        if all(s[1] <= a or b <= s[0] for a, b in taken):
+        if all(s[1] <= a or b <= s[0] for a, b in taken) or s[2] == "secret" and s[1] - s[0] >= LONG:
             more.append(s)
             taken.append((s[0], s[1]))
     alike = Counter(s[2] for s in base + more)

@@ -445,3 +445,15 @@ def test_passages_keep_their_own_first_occurrence(spark):
     ends = sorted([" ".join(section[:94]), " ".join(section[106:])])
     want = [(1, middle, 1, 3, False)] + [(i, t, k, n, r) for i in (3, 8) for t, k, n, r in [*((e, 3, 2, i != 3) for e in ends), (middle, 1, 3, True)]]
     assert passages(spark, texts) == sorted(want)
+
+
+def test_long_secrets():
+    """A value goes to its end, however long it is, also where an address lies in it."""
+    rng = random.Random(31)
+    for n in (6, 255, 256, 257, 600, 1000):
+        value = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789-_.", k=n - 1)) + "x"
+        text = f'see token="{value}" and the rest'
+        assert pii.judged(text)[1] == [(11, 11 + n, "secret")]
+    value = "k9" * 200 + "=a.b@c.org"
+    base, more, _ = pii.judged(f"secret={value} rest")
+    assert base and more == [(7, 7 + len(value), "secret")]
