@@ -1,7 +1,7 @@
 """Quality classification from random-indexing word vectors (operator 8).
 
 Every word form has a fixed sparse random index vector; a word's vector adds up the index vectors of the words beside it
-in a sample of texts. A document pools its words' vectors (mean and spread) together with index vectors of the words'
+in all texts. A document pools its words' vectors (mean and spread) together with index vectors of the words'
 shapes (runs of upper case, lower case, digits and each sign). A two-layer network gives a logit, and a temperature fitted
 on part of the sample turns it into a probability.
 """
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -22,22 +23,27 @@ from lodeframe.llm.shingles import U, Words, byte_values, mix, powers
 
 #: Labelled rows that are learnt from at most: a documented bound.
 SAMPLE_ROWS = 6_000
-#: Characters of each of four slices of a sampled text that word vectors are learnt from.
-SLICE_CHARS = 800
 BUCKETS, WIDTH = 1 << 15, 48
 SHAPES, SHAPE_WIDTH = 1 << 12, 32
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 2e-3, 1e-4
 NEAR = 2
 PIECE = 1 << 19
+#: Parts in which the word vectors' sums are added up.
+BLOCKS = 16
+
+
+def index_entries(n: int, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the four entries of each sparse ternary index vector."""
+    rng = np.random.default_rng(seed)
+    drawn = [(rng.integers(0, width, n), rng.choice(np.array([-1.0, 1.0], np.float32), n)) for _ in range(4)]
+    return np.stack([d[0] for d in drawn], 1), np.stack([d[1] for d in drawn], 1)
 
 
 def index_vectors(n: int, width: int, seed: int) -> np.ndarray:
     """Sparse ternary index vectors: four entries of +1 or -1 each."""
-    rng = np.random.default_rng(seed)
     out = np.zeros((n, width), np.float32)
-    rows = np.arange(n)
-    for _ in range(4):
-        out[rows, rng.integers(0, width, n)] += rng.choice(np.array([-1.0, 1.0], np.float32), n)
+    for place, sign in zip(*(x.T for x in index_entries(n, width, seed)), strict=True):
+        out[np.arange(n), place] += sign
     return out
 
 
@@ -69,22 +75,54 @@ def slots(hashes: np.ndarray, n: int) -> np.ndarray:
     return (hashes % U(n)).astype(np.int64)
 
 
-def word_vectors(texts: list[str]) -> np.ndarray:
-    """Random indexing over sampled text; a word never seen has its own index vector alone."""
-    index = index_vectors(BUCKETS, WIDTH, 5)
-    total = np.zeros((BUCKETS, WIDTH), np.float64)
-    column = pa.array(texts, pa.large_string())
+def neighbour_sums(column: pa.Array, place: np.ndarray, sign: np.ndarray) -> Iterator[np.ndarray]:
+    """For every pass over the texts, each word slot's sum of the index vectors of the words up to NEAR beside it."""
     for a, b in passes(column):
         part = column.slice(a, b - a)
         words = Words(bytes_of(part), offsets_of(part), False)
         w = slots(words.hash, BUCKETS)
         unit = np.repeat(np.arange(b - a), words.counts())
+        at, more = [], []
         for d in range(1, NEAR + 1):
             same = unit[d:] == unit[:-d]
             left, right = w[:-d][same], w[d:][same]
-            for i in range(WIDTH):
-                total[:, i] += np.bincount(left, index[right, i], BUCKETS) + np.bincount(right, index[left, i], BUCKETS)
-    total += index
+            for x, y in ((left, right), (right, left)):
+                at.append((x[:, None] * WIDTH + place[y]).ravel()), more.append(sign[y].ravel())
+        yield np.bincount(np.concatenate(at), np.concatenate(more), BUCKETS * WIDTH)
+
+
+def word_vectors(texts: DataFrame) -> np.ndarray:
+    """Random indexing over the whole of all texts; a word without neighbours has its own index vector alone.
+
+    Each task adds up its texts; parts are added up on the executors, block by block, so the driver gets BLOCKS arrays. All
+    sums are whole numbers, so their order doesn't matter.
+    """
+    small_batches(texts.sparkSession)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, sign = index_entries(BUCKETS, WIDTH, 5)
+        total = np.zeros(BUCKETS * WIDTH, np.float64)
+        for batch in batches:
+            for sums in neighbour_sums(texts_of(batch, "text"), place, sign):
+                total += sums
+        if total.any():
+            pack = zstandard.ZstdCompressor(level=1)
+            for block, x in enumerate(np.split(total.astype(np.int64), BLOCKS)):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pack.compress(x.tobytes())], pa.binary())], ["block", "part"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, sums = zstandard.ZstdDecompressor(), {}
+        for batch in batches:
+            for block, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[block] = sums.get(block, 0) + np.frombuffer(unpack.decompress(part.as_py()), np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "sums"])
+
+    total = np.zeros((BLOCKS, BUCKETS * WIDTH // BLOCKS), np.float64)
+    parts = texts.select("text").mapInArrow(add, "block int, part binary").repartition(BLOCKS, "block")
+    for r in parts.mapInArrow(join, "block int, sums binary").collect():
+        total[r["block"]] += np.frombuffer(r["sums"], np.int64)
+    total = total.reshape(BUCKETS, WIDTH) + index_vectors(BUCKETS, WIDTH, 5)
     return (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
@@ -165,7 +203,8 @@ def train(x: np.ndarray, y: np.ndarray) -> tuple:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
-    """A model from at most rows labelled texts, chosen by the id's hash among ids whose fold isn't 1.
+    """A model from at most rows labelled texts, chosen by the id's hash among ids whose fold isn't 1, and word vectors from
+    all texts.
 
     Only 0 and 1 count as labels; an id labelled more than once has its largest label. Ids without a text are left out.
     """
@@ -178,10 +217,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     sample = Kept(texts.join(F.broadcast(chosen), "id"), "sample")
     once = sample.df.groupBy("id").agg(F.count("*").alias("n")).filter("n = 1")
-    length = F.length("text")
-    slices = F.concat_ws(" ", *[F.substring("text", F.floor(length * j / 4).cast("int") + 1, F.lit(SLICE_CHARS)) for j in range(4)])
-    got = sample.df.join(F.broadcast(once), "id", "left_semi").select("id", slices.alias("text")).orderBy("id").collect()
-    vectors, shapes = word_vectors([r["text"] for r in got]), index_vectors(SHAPES, SHAPE_WIDTH, 9)
+    vectors, shapes = word_vectors(texts), index_vectors(SHAPES, SHAPE_WIDTH, 9)
     sent = spark.sparkContext.broadcast((vectors, shapes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

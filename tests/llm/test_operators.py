@@ -457,3 +457,25 @@ def test_long_secrets():
     value = "k9" * 200 + "=a.b@c.org"
     base, more, _ = pii.judged(f"secret={value} rest")
     assert base and more == [(7, 7 + len(value), "secret")]
+
+
+def test_word_vectors_count_all_texts(spark):
+    """Every word of every text counts once, also past the first 3,200 characters and without any label."""
+    rng = random.Random(41)
+    rows = [(i, h.sentence(rng, n, 300)) for i, n in enumerate((3, 40, 2500, 0, 700))] + [(9, None)]
+    index, want = quality.index_vectors(quality.BUCKETS, quality.WIDTH, 5).astype(float), np.zeros((quality.BUCKETS, quality.WIDTH))
+    want += index
+    for _, text in rows:
+        w = [slot_of(x) for x in (text or "").split()]
+        for i, x in enumerate(w):
+            for y in w[max(0, i - 2) : i] + w[i + 1 : i + 3]:
+                want[x] += index[y]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    model = quality.learn(docs, spark.createDataFrame([], "doc_id bigint, quality int"))
+    assert np.allclose(model.vectors, want, atol=1e-6)
+
+
+def slot_of(word):
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(quality.slots(shingles.Words(data, np.array([0, len(data)]), False).hash, quality.BUCKETS)[0])
