@@ -111,7 +111,7 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     by = seeds(23, 64)
     total = np.zeros(len(h), U)
     for j in range(k):
-        total[: len(h) - j or None] += h[j:] * by[j]
+        total[: max(0, len(h) - j)] += h[j:] * by[j]
     keep = np.ones(len(h), bool)
     for j in range(1, k):
         at = first[1:] - j

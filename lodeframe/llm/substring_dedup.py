@@ -2,7 +2,8 @@
 
 A paragraph (a line) of at least MIN_WORDS words is a set of word 5-grams. Equal sets are one paragraph; for the others,
 BANDS bands of ROWS minima each make candidates (at similarity 0.8 a pair shares a band with probability 0.998), whose exact
-Jaccard similarity is computed. Components of true links are clusters, of which the first occurrence stays.
+Jaccard similarity is computed. Components of true links are clusters, of which the first occurrence stays. Shorter lines in
+a row are joined to such a paragraph; besides, each of them is compared by itself, exactly.
 
 A passage that repeats inside of longer, otherwise different paragraphs has no similar paragraph. So spans of SPAN words are
 compared as well, at content-chosen places (the smallest word-pair hash of every REACH in a row), which finds every run of
@@ -13,6 +14,7 @@ passage is reported from its first to its last shared word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from lodeframe.llm.base import Kept, bytes_of, checked_broadcast, offsets_of, passes, small_batches, table, texts_of
 from lodeframe.llm.components import linked
 from lodeframe.llm.ngram_join import SIMILAR, WORDS, ends_of, sets_of, verifier
-from lodeframe.llm.shingles import U, Words, mix, powers, seeds, set_keys, shingles
+from lodeframe.llm.shingles import U, Words, mix, powers, ragged, seeds, set_keys, shingles
 
 MIN_WORDS = 20
 BANDS, ROWS = 12, 4
@@ -33,30 +35,53 @@ NEAR_ROWS = 200_000
 STRIP = 1 << 15
 
 
-class Paragraphs:
-    """The paragraphs of a range of texts that are long enough: owner row, number in its text, and where it lies."""
+class Lines:
+    """The lines of a range of texts, and their words."""
 
     def __init__(self, column: pa.Array):
-        data, offsets = bytes_of(column), offsets_of(column)
-        lo, hi = int(offsets[0]), int(offsets[-1])
-        breaks = np.flatnonzero(data[lo:hi] == 10) + lo + 1
-        bounds = np.unique(np.r_[offsets, breaks])
-        words = Words(data, bounds)
-        flat, first = shingles(words, WORDS)
-        chosen = np.flatnonzero(words.counts() >= MIN_WORDS)
+        self.data, self.offsets = bytes_of(column), offsets_of(column)
+        self.lo, hi = int(self.offsets[0]), int(self.offsets[-1])
+        breaks = np.flatnonzero(self.data[self.lo : hi] == 10) + self.lo + 1
+        self.bounds = np.unique(np.r_[self.offsets, breaks])
+        self.words = Words(self.data, self.bounds)
+        self.chars = np.r_[0, np.cumsum((self.data[self.lo : hi] & 0xC0) != 0x80)]
+
+    def paragraphs(self, joined: bool = False) -> Paragraphs:
+        """Those of MIN_WORDS words or more. joined: lines in a row that are shorter, but not blank, count as one."""
+        bounds = self.bounds
+        if joined and len(bounds) > 1:
+            size = self.words.counts()
+            brief = (size > 0) & (size < MIN_WORDS)
+            begins = np.ones(len(bounds), bool)
+            begins[1:-1] = ~(brief[1:] & brief[:-1]) | np.isin(bounds[1:-1], self.offsets)
+            bounds = bounds[begins]
+        return Paragraphs(self, bounds, np.diff(np.searchsorted(self.words.start, bounds)) >= MIN_WORDS)
+
+    def brief(self) -> Paragraphs:
+        """The lines of fewer words, each by itself."""
+        size = self.words.counts()
+        return Paragraphs(self, self.bounds, (size > 0) & (size < MIN_WORDS))
+
+
+class Paragraphs:
+    """Chosen ones of the units between bounds: owner row, number of the first line in its text, and where it lies."""
+
+    def __init__(self, lines: Lines, bounds: np.ndarray, chosen: np.ndarray):
+        data, offsets, chars, lo = lines.data, lines.offsets, lines.chars, lines.lo
+        first = np.searchsorted(lines.words.start, bounds)
         start, end = bounds[:-1][chosen], bounds[1:][chosen]
         end = end - (data[end - 1] == 10)
         # the last of several empty texts at one place holds what starts there
         self.row = np.searchsorted(offsets, start, side="right") - 1
         text_start = offsets[self.row]
-        self.number = chosen - np.searchsorted(bounds, text_start)
-        chars = np.r_[0, np.cumsum((data[lo:hi] & 0xC0) != 0x80)]
+        self.number = np.searchsorted(lines.bounds, start) - np.searchsorted(lines.bounds, text_start)
         self.start, self.end = chars[start - lo] - chars[text_start - lo], chars[end - lo] - chars[text_start - lo]
         self.at, self.to = start, end
-        sizes = np.diff(first)[chosen]
-        keep = np.repeat(np.isin(np.arange(len(bounds) - 1), chosen), np.diff(first))
-        self.flat, self.first = flat[keep], np.r_[0, np.cumsum(sizes)]
-        self.size = sizes
+        counts = np.diff(first)[chosen]
+        part = copy(lines.words)
+        part.hash, part.first = lines.words.hash[ragged(first[:-1][chosen], counts)], np.r_[0, np.cumsum(counts)]
+        self.flat, self.first = shingles(part, WORDS)
+        self.size = np.diff(self.first)
         self.key, self.other = set_keys(self.flat, self.first)
 
     def bands(self) -> np.ndarray:
@@ -77,32 +102,38 @@ class Paragraphs:
         return out
 
 
-def marked(rows: DataFrame) -> Kept:
-    """(id, paragraph, start, end, n, key, other, bands) of every paragraph that is long enough."""
+def marked(rows: DataFrame, joined: bool) -> Kept:
+    """(id, paragraph, start, end, n, key, other, bands) of every paragraph that is long enough. joined: of joined lines as
+    well, and of short lines with null bands."""
     names = ["id", "paragraph", "start", "end", "n", "key", "other", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = texts_of(batch, "text")
             for a, b in passes(column):
-                p = Paragraphs(column.slice(a, b - a))
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(p.size) + 1) * BANDS, pa.int32()), pa.array(p.bands().ravel().view(np.int64)))
-                values = [pa.array(x.astype(np.int64)) for x in (p.number, p.start, p.end, p.size, p.key, p.other)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(p.row + a)), *values, bands], names)
+                lines = Lines(column.slice(a, b - a))
+                for p, exact in ((lines.paragraphs(joined), False), *([(lines.brief(), True)] if joined else [])):
+                    n = len(p.size)
+                    if exact:
+                        bands = pa.nulls(n, pa.list_(pa.int64()))
+                    else:
+                        bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(p.bands().ravel().view(np.int64)))
+                    values = [pa.array(x.astype(np.int64)) for x in (p.number, p.start, p.end, p.size, p.key, p.other)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(p.row + a)), *values, bands], names)
 
     return Kept(rows.mapInArrow(run, "id bigint, paragraph bigint, start bigint, end bigint, n bigint, key bigint, other bigint, bands array<bigint>"), "paragraphs")
 
 
-def paragraph_texts(rows: DataFrame) -> DataFrame:
+def paragraph_texts(rows: DataFrame, joined: bool) -> DataFrame:
     """(id, text): the text of every paragraph that is long enough, by its set's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = texts_of(batch, "text")
             for a, b in passes(column):
-                part = column.slice(a, b - a)
-                p, data = Paragraphs(part), bytes_of(part)
-                texts = [data[i:j].tobytes() for i, j in zip(p.at.tolist(), p.to.tolist(), strict=True)]
+                lines = Lines(column.slice(a, b - a))
+                p = lines.paragraphs(joined)
+                texts = [lines.data[i:j].tobytes() for i, j in zip(p.at.tolist(), p.to.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(p.key), pa.array(texts, pa.binary()).cast(pa.string())], ["id", "text"])
 
     return rows.select("text").mapInArrow(run, "id bigint, text string")
@@ -315,19 +346,22 @@ def elements(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, element bigint")
 
 
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", joined: bool = False) -> DataFrame:
     """(id, paragraph, start, end, n_members, keep_doc_id, keep_paragraph, removed) of every paragraph that has a near copy.
 
     start and end are code points; a cluster's first occurrence, by id and paragraph number, stays and all others are
-    removed. Paragraphs of fewer than 20 words and null, empty or blank texts have none. Rows may repeat an id: each row's
+    removed. Paragraphs of fewer than 20 words and null, empty or blank texts have none. joined: lines of fewer words, but not
+    blank ones, that follow each other are one paragraph if that has 20 words; and of all such lines, joined or not, that lie
+    in no removed paragraph, those with equal sets of shingles are copies (a row each, n_members of these). Rows may repeat an id: each row's
     paragraphs are occurrences of their own. Rows with a null id don't take part. Other columns are ignored. Ids must be
     integers. Sets of shingles are told apart by 64-bit keys.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    marks = marked(rows)
-    once = marks.df.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "paragraph")).alias("keep"), F.first("n").cast("int").alias("n"), F.first("bands").alias("bands"))
+    marks = marked(rows, joined)
+    near = marks.df.filter("bands is not null")
+    once = near.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "paragraph")).alias("keep"), F.first("n").cast("int").alias("n"), F.first("bands").alias("bands"))
     buckets = once.select(F.explode("bands").alias("bucket"), F.lit(False).alias("hot"), F.col("key").alias("id"), "n", F.lit(0).alias("e"))
     num, den = SIMILAR
 
@@ -337,7 +371,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept: list[Kept] = []
 
     def fetch(ids: DataFrame, n: int) -> DataFrame:
-        kept.append(Kept(paragraph_texts(rows).join(checked_broadcast(ids, n), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts"))
+        kept.append(Kept(paragraph_texts(rows, joined).join(checked_broadcast(ids, n), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts"))
         return kept[-1].df
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -362,14 +396,22 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     label = linked(buckets, possible, verify, narrow, close, popular=True)
     for t in kept:
         t.drop()
-    groups = marks.df.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "paragraph")).alias("keep"))
+    groups = near.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "paragraph")).alias("keep"))
     named = Kept(groups.join(label.df.withColumnRenamed("id", "key"), "key", "left").select("key", "copies", "keep", F.coalesce("component", "key").alias("cluster")), "named")
     clusters = named.df.groupBy("cluster").agg(F.sum("copies").alias("n_members"), F.min("keep").alias("keep")).filter("n_members > 1")
     by_key = named.df.select("key", "cluster").join(clusters, "cluster").select("key", "n_members", "keep")
-    out = marks.df.select("id", "paragraph", "start", "end", "key").join(by_key, "key")
     stays = (F.col("id") == F.col("keep.id")) & (F.col("paragraph") == F.col("keep.paragraph"))
+    told = ["id", "paragraph", "start", "end", "n_members", "keep", (~stays).alias("removed")]
+    out = near.select("id", "paragraph", "start", "end", "key").join(by_key, "key").select(*told)
+    if joined:
+        found = Kept(out, "clusters")
+        gone = found.df.filter("removed").groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+        left = marks.df.filter("bands is null").select("id", "paragraph", "start", "end", "key").join(gone, "id", "left")
+        left = Kept(left.filter("gone is null or not exists(gone, g -> g.start <= start and end <= g.end)").drop("gone"), "lines")
+        same = left.df.groupBy("key").agg(F.count("*").alias("n_members"), F.min(F.struct("id", "paragraph")).alias("keep")).filter("n_members > 1")
+        out = found.df.unionByName(left.df.join(same, "key").select(*told))
     return out.select(
-        F.col("id").alias(id_col), "paragraph", "start", "end", "n_members", F.col("keep.id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), (~stays).alias("removed")
+        F.col("id").alias(id_col), "paragraph", "start", "end", "n_members", F.col("keep.id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), "removed"
     )
 
 
@@ -377,7 +419,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """repeated_paragraphs and, with a null paragraph, the passages that two or more ids share outside of removed paragraphs
     (keep_paragraph is null as well; all but the smallest id's are removed, where they lie in no removed paragraph)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    found = Kept(repeated_paragraphs(docs, id_col, text_col), "paragraphs")
+    found = Kept(repeated_paragraphs(docs, id_col, text_col, joined=True), "paragraphs")
     more = shared_passages(rows, found.df.select(F.col(id_col).alias("id"), "start", "end", "removed"))
     none = F.lit(None).cast("bigint")
     return found.df.unionByName(

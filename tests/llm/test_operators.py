@@ -479,3 +479,20 @@ def test_word_vectors_count_all_texts(spark):
 def slot_of(word):
     data = np.frombuffer(word.encode(), np.uint8)
     return int(quality.slots(shingles.Words(data, np.array([0, len(data)]), False).hash, quality.BUCKETS)[0])
+
+
+def test_short_lines(spark):
+    """Copies of short documents, hard-wrapped near copies, and short lines among others."""
+    rng = random.Random(51)
+    wrap = lambda words, n: "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+    long = fresh_words(rng, 240).split()
+    edited = [f"edit{i}" if i % 48 == 24 else w for i, w in enumerate(long)]
+    line = fresh_words(rng, 6)
+    block = wrap(fresh_words(rng, 30).split(), 10)
+    texts = {1: fresh_words(rng, 9), 3: wrap(long, 12), 4: wrap(edited, 12), 5: f"{fresh_words(rng, 40)}\n{line}\n\n{fresh_words(rng, 3)}", 7: "one"}
+    texts |= {2: texts[1].upper(), 6: f"{fresh_words(rng, 3)}\n{line}\n{fresh_words(rng, 50)}", 8: "One", 9: f"{block}\n\n{fresh_words(rng, 60)}", 10: f"{fresh_words(rng, 60)}\n{block}"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5, "doc_id")
+    got = sorted((r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]], r["n_members"], r["keep_doc_id"], r["removed"]) for r in substring_dedup.repeats(df).collect())
+    pairs = [(1, 2, texts[1]), (5, 6, line), (7, 8, "one"), (9, 10, block), (3, 4, texts[3])]
+    want = sorted([(a, t, 2, a, False) for a, _, t in pairs] + [(b, {2: texts[2], 4: texts[4], 8: "One"}.get(b, t), 2, a, True) for a, b, t in pairs])
+    assert got == want
