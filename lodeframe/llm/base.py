@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField
 
-#: Rows of a side that may be broadcast; beyond it the join shuffles both sides.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a side that may be broadcast; beyond it the join shuffles both sides.
+BROADCAST_BYTES = 16 << 20
 #: Bytes of text that a numpy pass looks at together (a single longer text is its own pass).
 PASS_BYTES = 1 << 19
 
@@ -23,13 +25,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share. Where the cluster names none (tests), one of our own."""
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    return named or f"file://{os.path.join(tempfile.gettempdir(), 'lodeframe-shared')}"
+    """This application's folder in the one that all machines share. Where none is named, one of our own, but only on a
+    single machine (tests)."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if not named and context._jsc.sc().getCheckpointDir().isDefined():
+        named = context._jsc.sc().getCheckpointDir().get()
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        named = f"file://{os.path.join(tempfile.gettempdir(), 'lodeframe-shared')}"
+    return f"{named}/{context.applicationId}"
 
 
-_KEPT: set[str] = set()
+#: Folders of the intermediate tables that are there, in the order they were made.
+_KEPT: dict[str, None] = {}
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def clear_kept(spark: SparkSession) -> None:
@@ -40,18 +56,46 @@ def clear_kept(spark: SparkSession) -> None:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    _KEPT.discard(path)
+    files, place = file_system(spark, path)
+    files.delete(place, True)
+    _KEPT.pop(path, None)
+
+
+class Scope:
+    """At the end of `with`, intermediate tables made inside are removed, but for spared ones, and the session's batch size
+    is what it was. Results must be written before that."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.spared = spark, set()
+
+    def __enter__(self) -> Scope:
+        self.before, self.rows = set(_KEPT), self.spark.conf.get(BATCH_ROWS)
+        return self
+
+    def spare(self, kept: Kept) -> Kept:
+        self.spared.add(kept.path)
+        return kept
+
+    def __exit__(self, *_) -> None:
+        for path in [p for p in _KEPT if p not in self.before | self.spared]:
+            remove(self.spark, path)
+        self.spark.conf.set(BATCH_ROWS, self.rows)
 
 
 class Kept:
-    """An intermediate table written to the shared folder: cuts lineage, survives lost executors, and is computed once."""
+    """An intermediate table written to the shared folder: cuts lineage, survives lost executors, and is computed once.
+
+    What a lazy result still reads can't be dropped by its maker; the application's folder goes when the driver ends."""
 
     def __init__(self, df: DataFrame, tag: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
-        _KEPT.add(self.path)
+        folder = shared_dir(self.spark)
+        self.path = f"{folder}/{tag}-{uuid.uuid4().hex}"
+        if not _KEPT:
+            files, place = file_system(self.spark, folder)
+            files.mkdirs(place)
+            files.deleteOnExit(place)
+        _KEPT[self.path] = None
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
@@ -61,15 +105,28 @@ class Kept:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, so that long texts don't pile up in a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
-def checked_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if its counted rows are few enough; else as it is, for a shuffle join."""
-    return F.broadcast(df) if rows <= limit else df
+    """Arrow batches of few rows, so that long texts don't pile up in a Python worker. Plans read the setting when they run,
+    so it stays lowered until a Scope ends or the caller sets it."""
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
+def width(field: StructField) -> Column:
+    """Bytes of a value, roughly."""
+    name, kind = F.col(field.name), field.dataType
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        inner = F.octet_length(F.array_join(name, "")) + F.size(name) * 16 if isinstance(kind.elementType, StringType) else F.size(name) * (8 * len(getattr(kind.elementType, "fields", "x")) + 8)
+        return F.coalesce(inner, F.lit(0)) + 16
+    return F.lit(8)
+
+
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its measured bytes are few enough; else as it is, for a shuffle join. df should be cheap to
+    read (a written table)."""
+    bytes_ = df.agg(F.sum(sum((width(f) for f in df.schema.fields), F.lit(16)).cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if bytes_ <= limit else df
 
 
 def passes(column: pa.Array, limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:

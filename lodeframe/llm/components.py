@@ -14,10 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm.base import Kept
+from lodeframe.llm.base import Kept, checked_broadcast
 
 #: Rows from which on an open bucket's ids are held against each other's elements before they are paired.
 BUSY = 32
+#: Ids of one open bucket that one task pairs with as many others of it.
+BLOCK = 1024
 #: Alternations after which the label graph must be stable (it halves chains every time).
 MAX_ROUNDS = 60
 
@@ -66,26 +68,35 @@ def sharing_enough(pairs: DataFrame, rest: DataFrame, possible: Callable) -> Dat
     return full.filter(possible(x, y, F.size(F.array_intersect("x.buckets", "y.buckets")))).select("a", "b")
 
 
-def linked(rows: DataFrame, possible: Callable, verify: Callable[[DataFrame], DataFrame], narrow: Callable | None = None, close: Callable | None = None, popular: bool = False) -> Kept:
+def linked(
+    rows: DataFrame,
+    possible: Callable,
+    verify: Callable[[DataFrame], DataFrame],
+    admit: Callable[[DataFrame], DataFrame] | None = None,
+    narrow: Callable | None = None,
+    close: Callable | None = None,
+    popular: bool = False,
+) -> Kept:
     """Components of all true links between ids that share a bucket.
 
-    rows: (bucket long, hot boolean, id long, n int, e int); hot marks buckets that many rows are known to share.
-    possible(x, y, c): a column, whether the ids of x and y can be a link if they share c buckets at most; x("n"), x("e")
-    and x("s") give an id's values, where s counts its buckets that any other id shares too.
-    verify: takes distinct pairs (a, b), returns those that are links. Returns (id, component) as components() does.
+    rows: (bucket long, id long, n int, e int), cheap to read. possible(x, y, c): a column, whether the ids of x and y can be
+    a link if they share c buckets at most; x("n"), x("e") and x("s") give an id's values, where s counts its buckets that
+    any other id shares too.
+    admit: if given, takes distinct pairs (a, b) and returns those that pass further cheap filters. verify: the same, and
+    returns those that are links. Returns (id, component) as components() does.
     narrow, close: if given, narrow(ids) gives (id, v) for the ids that are still open after the hubs in a bucket of BUSY or
     more, and close(x, y) says by x("v") and y("v") (null for the others) whether two of them can be a link. popular: buckets
     are no elements of a set, so neither an id's own part nor the buckets that two share say anything about their
     similarity; hubs are ids whose buckets are large.
     """
-    # Rows of a hot bucket needn't meet to show that it's shared. (One window that keeps them apart by id would do as well, but
-    # its wider rows cost more shuffle than going over the rows twice.)
-    alone = Window.partitionBy("bucket")
-    cold = rows.filter("not hot").drop("hot").withColumn("lo", F.min("id").over(alone)).withColumn("hi", F.max("id").over(alone)).filter("lo < hi")
-    met = Kept(cold.select("bucket", "id", "n", "e").unionByName(rows.filter("hot").select("bucket", "id", "n", "e")), "shared")
+    # Counted before they are joined back: a bucket of very many ids collapses before the shuffle, and a join can be split.
+    meeting = Kept(rows.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket"), "meeting")
+    met = Kept(rows.join(checked_broadcast(meeting.df), "bucket", "left_semi"), "shared")
+    meeting.drop()
     shared = Kept(met.df.join(met.df.groupBy("id").agg(F.count("*").cast("int").alias("s")), "id"), "shared")
     met.drop()
     side = lambda name: lambda column: F.col(f"{name}.{column}")
+    admitted = admit or (lambda pairs: pairs)
 
     # The hub of a bucket is the id with the smallest part of its own: what the others were copied from, if anything is.
     own, ranked = F.col("n") / F.col("s"), shared.df
@@ -98,7 +109,8 @@ def linked(rows: DataFrame, possible: Callable, verify: Callable[[DataFrame], Da
     stars = shared.df.alias("x").join(hubs, "bucket").filter("x.id <> hub.id")
     stars = stars.filter(possible(side("x"), side("hub"), F.least("x.s", "hub.s"))).select(F.col("hub.id").alias("a"), F.col("x.id").alias("b"))
     tried = Kept(stars.distinct(), "tried")
-    first = Kept(verify(tried.df), "linked")
+    passed = Kept(admitted(tried.df), "admitted")
+    first = Kept(verify(passed.df), "linked")
     label = components(first.df)
 
     at = shared.df.join(label.df, "id", "left").select("bucket", "id", "n", "e", "s", F.coalesce("component", "id").alias("c"))
@@ -109,24 +121,28 @@ def linked(rows: DataFrame, possible: Callable, verify: Callable[[DataFrame], Da
     ranked = at.drop("s").join(split, "bucket").withColumn("r", F.row_number().over(listed)).withColumn("s", F.count("*").over(Window.partitionBy("id")))
     if popular:  # ids have few buckets then: with their list at hand, a pair is made in the first one that both have
         ranked = ranked.withColumn("list", F.collect_list("bucket").over(listed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    rest = Kept(ranked.drop("size"), "rest")
+    rest = Kept(ranked, "rest")
     if narrow:
         busy = rest.df.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") >= BUSY).select("bucket")
         crowd = rest.df.join(busy, "bucket", "left_semi").select("id").distinct()
         wide, rest = rest, Kept(rest.df.join(narrow(crowd), "id", "left"), "rest")
         wide.drop()
     x, y = side("x"), side("y")
-    apart = (x("bucket") == y("bucket")) & (x("c") < y("c")) & possible(x, y, F.least(x("s") - x("r"), y("s") - y("r")) + 1)
+    apart = (x("bucket") == y("bucket")) & (x("i") == y("i")) & (x("j") == y("j")) & (x("c") < y("c")) & possible(x, y, F.least(x("s") - x("r"), y("s") - y("r")) + 1)
     if close:
         apart = apart & close(x, y)
     if popular:
         apart = apart & (F.array_intersect(x("list"), y("list"))[0] == x("bucket"))
-    across = rest.df.alias("x").join(rest.df.alias("y"), apart).select(x("id").alias("a"), y("id").alias("b")).distinct()
+    # A bucket of many open ids is held against itself in squares of about BLOCK by BLOCK, each a key of its own.
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    mine, all_ = F.pmod(F.xxhash64("id"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    left, right = rest.df.select("*", mine.alias("i"), all_.alias("j")), rest.df.select("*", mine.alias("j"), all_.alias("i"))
+    across = left.alias("x").join(right.alias("y"), apart).select(x("id").alias("a"), y("id").alias("b")).distinct()
     pairs = across if popular else sharing_enough(across, rest.df, possible)
     again = tried.df.select("a", "b").unionByName(tried.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = Kept(pairs.select("a", "b").join(again, ["a", "b"], "left_anti"), "tried")
+    more = Kept(admitted(pairs.select("a", "b").join(again, ["a", "b"], "left_anti")), "tried")
     second = Kept(verify(more.df), "linked")
     out = components(label.df.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second.df.select("a", "b")))
-    for t in (shared, tried, first, label, rest, more, second):
+    for t in (shared, tried, passed, first, label, rest, more, second):
         t.drop()
     return out

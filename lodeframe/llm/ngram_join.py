@@ -2,8 +2,9 @@
 
 A document's n-grams are put into several global orders of all n-grams. Two sets that are similar enough share an element
 among the first few of each set (its prefix) under every order. The first order puts n-grams of rare frequency classes
-first; documents that share one of its prefix n-grams are candidates. A candidate pair must also share prefix n-grams
-under the further orders before its exact overlap is computed.
+first; documents that share one of its prefix n-grams are candidates. The prefixes under the further orders lie beside
+them, and only pairs that share an n-gram under each of these as well are candidates still: the filters are intersected
+before any text moves. For what is left the texts are fetched and the exact overlap is computed.
 
 The frequency classes come from a count sketch of fixed size over all n-grams of all documents. Any order is correct; the
 sketch only keeps n-grams of passages that many documents share out of the prefixes.
@@ -29,11 +30,10 @@ SIMILAR = (80, 100)
 #: Counters of the sketch: a fixed size, whatever the corpus.
 COUNTERS = 1 << 20
 BLOCKS = 16
-#: An n-gram counts as hot (surely shared, so its rows need not be brought together to see that) from this count on, if
-#: that's HOT_OVER times the mean as well.
-HOT_COUNT, HOT_OVER = 1024, 4
 #: Orders beside the first that candidates have to pass.
 FURTHER_ORDERS = 2
+#: Shingles of the texts that are compared with one copy of another text.
+TOGETHER = 1 << 18
 
 
 def prefix_size(n, similar: tuple[int, int] = SIMILAR):
@@ -92,49 +92,63 @@ def sketch_of(parts: DataFrame) -> np.ndarray:
     return counts.ravel()
 
 
-def frequency_classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each counter (0: ordinary; two more for every doubling over the mean), and which are hot."""
+def frequency_classes(counts: np.ndarray) -> np.ndarray:
+    """Class of each counter: 0 is ordinary, and two more for every doubling over the mean."""
     mean = max(1.0, float(counts.mean()))
-    return np.clip(2 * np.log2(np.maximum(counts, 1) / mean), 0, 63).astype(np.uint8), (counts >= HOT_COUNT) & (counts >= HOT_OVER * mean)
+    return np.clip(2 * np.log2(np.maximum(counts, 1) / mean), 0, 63).astype(np.uint8)
 
 
 def prefixes(docs: DataFrame, k: int, counts: np.ndarray, similar: tuple[int, int]) -> DataFrame:
-    """(id, h1, h2, n, e, cold, hot): the prefix n-grams under the first order, for every row with any; e is the place in
-    the order of the prefix's last element (its upper 31 bits)."""
-    classes, is_hot = frequency_classes(counts)
+    """(id, h1, h2, n, e, buckets, further): the prefix n-grams under the first order, for every row with any; e is the place
+    in the order of the prefix's last element (its upper 31 bits). further: the prefix under each further order, in 32 bits
+    (n-grams that then look equal let a pair pass, which is no harm)."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((classes, is_hot))
+    sent = spark.sparkContext.broadcast(frequency_classes(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, is_hot = sent.value
-        by = seeds(31, 1)[0]
+        classes = sent.value
+        by, further = seeds(31, 1)[0], seeds(37, FURTHER_ORDERS)
         for batch in batches:
             column = texts_of(batch, "text")
             for a, _, flat, first in sets_of(column, k):
-                slot = (flat >> U(44)).astype(np.int64)
-                order = (classes[slot].astype(U) << U(58)) | (mix(flat * by) >> U(6))
+                order = (classes[(flat >> U(44)).astype(np.int64)].astype(U) << U(58)) | (mix(flat * by) >> U(6))
+                others = [mix(flat * o) for o in further]
                 size = np.diff(first)
                 rows = np.flatnonzero(size)
-                picked, last = [], []
+                picked, last, marks = [], [], []
                 for i, j in zip(first[:-1][rows].tolist(), first[1:][rows].tolist(), strict=True):
                     p = prefix_size(j - i, similar)
                     best = np.argpartition(order[i:j], p - 1)[:p] + i
                     picked.append(best)
                     last.append(int(order[best[-1]] >> U(33)))
+                    marks += [np.partition(o[i:j], p - 1)[:p] for o in others]
+                ends = np.r_[0, np.cumsum([len(x) for x in picked], dtype=np.int64)]
                 at = np.concatenate(picked) if picked else np.zeros(0, np.int64)
-                owner = np.repeat(np.arange(len(rows)), [len(x) for x in picked])
-                hot = is_hot[slot[at]]
-                lists = []
-                for chosen in (~hot, hot):
-                    ends = np.r_[0, np.cumsum(np.bincount(owner[chosen], minlength=len(rows)))]
-                    lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[at[chosen]].view(np.int64), pa.int64())))
+                buckets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[at].view(np.int64), pa.int64()))
+                inner = np.r_[0, np.cumsum([len(x) for x in marks], dtype=np.int64)]
+                values = ((np.concatenate(marks) if marks else np.zeros(0, U)) >> U(32)).astype(np.uint32).view(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(values, pa.int32()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * FURTHER_ORDERS, pa.int32()), lists)
                 h1, h2 = set_keys(flat, first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows + a)), *(pa.array(c[rows].astype(np.int64)) for c in (h1, h2, size)), pa.array(last, pa.int32()), *lists],
-                    ["id", "h1", "h2", "n", "e", "cold", "hot"],
+                    [batch.column(0).take(pa.array(rows + a)), *(pa.array(c[rows].astype(np.int64)) for c in (h1, h2, size)), pa.array(last, pa.int32()), buckets, lists],
+                    ["id", "h1", "h2", "n", "e", "buckets", "further"],
                 )
 
-    return docs.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n bigint, e int, cold array<bigint>, hot array<bigint>")
+    return docs.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n bigint, e int, buckets array<bigint>, further array<array<int>>")
+
+
+def sharing_further(marks: DataFrame):
+    """A function from pairs (a, b) to those that share a prefix element under each further order; marks: (id, further)."""
+
+    def admit(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(marks.select(F.col("id").alias("a"), F.col("further").alias("x")), "a").join(marks.select(F.col("id").alias("b"), F.col("further").alias("y")), "b")
+        share = F.lit(True)
+        for i in range(FURTHER_ORDERS):
+            share = share & F.arrays_overlap(F.col("x")[i], F.col("y")[i])
+        return both.filter(share).select("a", "b")
+
+    return admit
 
 
 def can_link(similar: tuple[int, int]):
@@ -159,32 +173,26 @@ def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def verifier(docs: DataFrame, k: int, similar: tuple[int, int], only_needed: bool = False):
-    """A function from candidate pairs (a, b) of ids to those that are similar, computed from the whole texts. only_needed:
-    docs holds hardly any other ids than the pairs'."""
+def verifier(docs: DataFrame, sizes: DataFrame, k: int, similar: tuple[int, int], only_needed: bool = False):
+    """A function from candidate pairs (a, b) of ids to those that are similar, computed from the whole texts. sizes: (id, n)
+    of every id. only_needed: docs holds hardly any other ids than the pairs'.
+
+    A text a goes with the texts b that are compared with it, one copy for about TOGETHER shingles of these, and is followed
+    by them, so that neither a hub's copies nor a group's texts pile up.
+    """
     num, den = similar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = seeds(37, FURTHER_ORDERS)
-
-        def prefixes_of(s: np.ndarray) -> list[np.ndarray]:
-            p = prefix_size(len(s), similar)
-            return [np.partition(mix(s * o), p - 1)[:p] for o in orders]
-
-        last = (None, None, None)
+        mine = np.zeros(0, U)
         for batch in batches:
-            left = texts_of(batch, "text_a")
             keep = np.zeros(batch.num_rows, bool)
-            for a, b, flat, first in sets_of(texts_of(batch, "text_b"), k):
+            head = np.asarray(batch.column(1).is_null())
+            for a, b, flat, first in sets_of(texts_of(batch, "text"), k):
                 for row in range(a, b):
-                    text = left[row].as_py()
-                    if last[0] != text:
-                        _, _, mine, at = next(sets_of(pa.array([text], pa.large_string()), k))
-                        last = (text, mine, prefixes_of(mine) if len(mine) else None)
-                    mine, other = last[1], flat[first[row - a] : first[row - a + 1]]
-                    if not len(mine) or not len(other):
-                        continue
-                    if all(len(np.intersect1d(x, y)) for x, y in zip(last[2], prefixes_of(other), strict=True)):
+                    other = flat[first[row - a] : first[row - a + 1]]
+                    if head[row]:
+                        mine = other.copy()
+                    elif len(mine) and len(other):
                         both = len(np.intersect1d(mine, other, assume_unique=True))
                         keep[row] = den * both >= num * (len(mine) + len(other) - both)
             chosen = pa.array(np.flatnonzero(keep))
@@ -194,13 +202,17 @@ def verifier(docs: DataFrame, k: int, similar: tuple[int, int], only_needed: boo
         texts = docs
         if not only_needed:
             ids = ends_of(pairs)
-            n = ids.count()
-            if not n:
+            if ids.isEmpty():
                 return pairs
-            texts = docs.join(checked_broadcast(ids, n), "id", "left_semi")
-        full = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        full = full.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+            texts = docs.join(checked_broadcast(ids), "id", "left_semi")
+        sized = pairs.join(sizes.select(F.col("id").alias("b"), "n"), "b")
+        blocks = sized.groupBy("a").agg(F.ceil(F.sum("n") / TOGETHER).cast("int").alias("blocks"))
+        each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+        heads = blocks.join(texts.select(F.col("id").alias("a"), "text"), "a").select("a", F.lit(None).cast("bigint").alias("b"), "text", each)
+        rest = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"))
+        rest = rest.join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "b", "text", "block")
+        dealt = heads.unionByName(rest).repartition("a", "block").sortWithinPartitions("a", "block", "b")
+        return dealt.select("a", "b", "text").mapInArrow(run, "a bigint, b bigint")
 
     return verify
 
@@ -213,20 +225,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeat an id: each is judged by its own text, and ids count as one node. A null id is no node: such a row gets its
     group's component, or null if it's alone. Other columns are ignored. Ids must be integers.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     kept = signatures(rows, k)
     counts = sketch_of(kept.df.filter("block is not null"))
     marks = kept.df.filter("block is null").select("id", "h1", "h2", "n")
     groups = marks.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
 
-    picked = prefixes(rows, k, counts, similar).groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").cast("int").alias("n"), F.first("e").alias("e"), F.first("cold").alias("cold"), F.first("hot").alias("hot"))
-    each = picked.filter("id is not null").select("id", "n", "e", F.size("cold").alias("n_cold"), F.posexplode(F.concat("cold", "hot")).alias("pos", "bucket"))
-    label = linked(each.select("bucket", F.expr("pos >= n_cold").alias("hot"), "id", "n", "e"), can_link(similar), verifier(rows, k, similar))
+    one = prefixes(rows, k, counts, similar).filter("id is not null").groupBy("h1", "h2")
+    first = Kept(one.agg(F.min("id").alias("id"), F.first("n").cast("int").alias("n"), F.first("e").alias("e"), F.first("buckets").alias("buckets"), F.first("further").alias("further")), "prefixes")
+    each = first.df.select(F.explode("buckets").alias("bucket"), "id", "n", "e")
+    label = linked(each, can_link(similar), verifier(rows, first.df.select("id", "n"), k, similar), sharing_further(first.df.select("id", "further")))
+    first.drop()
 
     # Written, so that the join below deals both sides anew and a group of very many copies can be split.
     named = Kept(groups.join(label.df.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id")), "named")
+    label.drop()
     out = marks.join(named.df, ["h1", "h2"], "left")
     alone = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), alone.alias("component_id"))
