@@ -1,14 +1,17 @@
 """Paragraphs that repeat within and across documents, by MinHash banding (operator 1).
 
-A paragraph (a line) of at least MIN_WORDS words is a set of word 5-grams. Equal sets are one paragraph; for the others,
-BANDS bands of ROWS minima each make candidates (at similarity 0.8 a pair shares a band with probability 0.998), whose exact
-Jaccard similarity is computed. Components of true links are clusters, of which the first occurrence stays. Shorter lines in
-a row are joined to such a paragraph; besides, each of them is compared by itself, exactly.
-
-A passage that repeats inside of longer, otherwise different paragraphs has no similar paragraph. So spans of SPAN words are
-compared as well, at content-chosen places (the smallest word-pair hash of every REACH in a row), which finds every run of
-SPAN + REACH - 1 = 50 or more words that two documents share; around what is found all spans are compared, so that a
-passage is reported from its first to its last shared word.
+A paragraph is a line of at least MIN_WORDS words, or shorter lines in a row that together have as many, or, in a text that has
+neither, the whole text. It is a set of word 5-grams. Equal sets are one paragraph; for the others, BANDS bands of ROWS minima
+each make candidates (at similarity 0.8 a pair shares a band with probability 0.998), whose exact Jaccard similarity is
+computed. Components of true links are clusters, of which the first occurrence stays.
+
+A passage that repeats inside of longer, otherwise different paragraphs has no similar paragraph. So every window of PASSAGE
+words is a paragraph of its own as well, with one band of PASSAGE_ROWS minima: equal windows surely share it. Windows in a row
+mostly have the same minima, so that a text has few keys. Windows of colliding keys are verified word by word (by 128-bit
+hashes); equal ones are one cluster, of which the first occurrence stays, and those that overlap are one passage, which is
+reported from its first to its last word.
+
+One pass over all texts makes paragraphs, keys and the paragraphs' texts; only texts with colliding windows are read again.
 """
 
 from __future__ import annotations
@@ -28,9 +31,8 @@ from lodeframe.llm.shingles import U, Words, mix, powers, ragged, seeds, set_key
 
 MIN_WORDS = 20
 BANDS, ROWS = 12, 4
-SPAN, REACH = 25, 26
-#: Documents with shared passages up to which their list is broadcast.
-NEAR_ROWS = 200_000
+#: Words of a passage at least, and minima of a window's band.
+PASSAGE, PASSAGE_ROWS = 50, 2
 #: Hashed shingles for which all minima are taken together.
 STRIP = 1 << 15
 
@@ -45,22 +47,56 @@ class Lines:
         self.bounds = np.unique(np.r_[self.offsets, breaks])
         self.words = Words(self.data, self.bounds)
         self.chars = np.r_[0, np.cumsum((self.data[self.lo : hi] & 0xC0) != 0x80)]
+        #: First word of each text.
+        self.first = np.searchsorted(self.words.start, self.offsets)
 
     def paragraphs(self, joined: bool = False) -> Paragraphs:
-        """Those of MIN_WORDS words or more. joined: lines in a row that are shorter, but not blank, count as one."""
+        """Lines of MIN_WORDS words or more. joined: lines in a row that are shorter, but not blank, count as one, and a text
+        without any such unit is one."""
         bounds = self.bounds
-        if joined and len(bounds) > 1:
-            size = self.words.counts()
-            brief = (size > 0) & (size < MIN_WORDS)
-            begins = np.ones(len(bounds), bool)
-            begins[1:-1] = ~(brief[1:] & brief[:-1]) | np.isin(bounds[1:-1], self.offsets)
-            bounds = bounds[begins]
-        return Paragraphs(self, bounds, np.diff(np.searchsorted(self.words.start, bounds)) >= MIN_WORDS)
-
-    def brief(self) -> Paragraphs:
-        """The lines of fewer words, each by itself."""
+        if not joined or len(bounds) < 2:
+            return Paragraphs(self, bounds, np.diff(np.searchsorted(self.words.start, bounds)) >= MIN_WORDS)
         size = self.words.counts()
-        return Paragraphs(self, self.bounds, (size > 0) & (size < MIN_WORDS))
+        brief = (size > 0) & (size < MIN_WORDS)
+        begins = np.ones(len(bounds), bool)
+        begins[1:-1] = ~(brief[1:] & brief[:-1]) | np.isin(bounds[1:-1], self.offsets)
+        bounds = bounds[begins]
+        size = np.diff(np.searchsorted(self.words.start, bounds))
+        # texts whose every unit is too short become one unit
+        owner = np.searchsorted(self.offsets, bounds[:-1], side="right") - 1
+        lone = np.bincount(owner[size >= MIN_WORDS], minlength=len(self.offsets)) == 0
+        stays = np.r_[~lone[owner] | np.r_[True, owner[1:] != owner[:-1]], True]
+        bounds = bounds[stays]
+        size, owner = np.diff(np.searchsorted(self.words.start, bounds)), owner[stays[:-1]]
+        return Paragraphs(self, bounds, (size >= MIN_WORDS) | (lone[owner] & (size > 0)))
+
+    def runs(self) -> tuple[np.ndarray, ...]:
+        """Runs of windows of PASSAGE words with one band key: text, first and last window (by first word in the text), where
+        the run starts and ends in code points, and key."""
+        words, first = self.words, self.first
+        h, n = words.hash, len(words.hash)
+        grams = PASSAGE - WORDS + 1
+        sizes = np.diff(first)
+        if not len(sizes) or sizes.max() < PASSAGE:
+            return tuple(np.zeros(0, np.int64) for _ in range(6))
+        gram = np.zeros(n, U)
+        for j in range(WORDS):
+            gram[: n - j] += h[j:] * seeds(23, 64)[j]
+        key = np.zeros(n, U)
+        for by in seeds(43, PASSAGE_ROWS):
+            key = mix(key * U(0x9E3779B97F4A7C15) + sliding_min(mix(gram ^ by), grams))
+        left = np.repeat(first[1:], sizes) - np.arange(n)  # words from here to the end of the text
+        whole = left >= PASSAGE
+        fresh = whole.copy()
+        fresh[1:] &= (key[1:] != key[:-1]) | ~whole[:-1]
+        at = np.flatnonzero(fresh)
+        ends = whole.copy()
+        ends[:-1] &= fresh[1:] | ~whole[1:]
+        last = np.flatnonzero(ends)
+        text = np.searchsorted(first, at, side="right") - 1
+        base = self.chars[self.offsets[text] - self.lo]
+        start, end = self.chars[words.start[at] - self.lo] - base, self.chars[words.end[last + PASSAGE - 1] - self.lo] - base
+        return text, at - first[text], last - first[text], start, end, key[at]
 
 
 class Paragraphs:
@@ -82,7 +118,7 @@ class Paragraphs:
         part.hash, part.first = lines.words.hash[ragged(first[:-1][chosen], counts)], np.r_[0, np.cumsum(counts)]
         self.flat, self.first = shingles(part, WORDS)
         self.size = np.diff(self.first)
-        self.key, self.other = set_keys(self.flat, self.first)
+        self.key, _ = set_keys(self.flat, self.first)
 
     def bands(self) -> np.ndarray:
         """One key per paragraph and band."""
@@ -102,96 +138,44 @@ class Paragraphs:
         return out
 
 
-def marked(rows: DataFrame, joined: bool) -> Kept:
-    """(id, paragraph, start, end, n, key, other, bands) of every paragraph that is long enough. joined: of joined lines as
-    well, and of short lines with null bands."""
-    names = ["id", "paragraph", "start", "end", "n", "key", "other", "bands"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = texts_of(batch, "text")
-            for a, b in passes(column):
-                lines = Lines(column.slice(a, b - a))
-                for p, exact in ((lines.paragraphs(joined), False), *([(lines.brief(), True)] if joined else [])):
-                    n = len(p.size)
-                    if exact:
-                        bands = pa.nulls(n, pa.list_(pa.int64()))
-                    else:
-                        bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(p.bands().ravel().view(np.int64)))
-                    values = [pa.array(x.astype(np.int64)) for x in (p.number, p.start, p.end, p.size, p.key, p.other)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(p.row + a)), *values, bands], names)
-
-    return Kept(rows.mapInArrow(run, "id bigint, paragraph bigint, start bigint, end bigint, n bigint, key bigint, other bigint, bands array<bigint>"), "paragraphs")
-
-
-def paragraph_texts(rows: DataFrame, joined: bool) -> DataFrame:
-    """(id, text): the text of every paragraph that is long enough, by its set's key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = texts_of(batch, "text")
-            for a, b in passes(column):
-                lines = Lines(column.slice(a, b - a))
-                p = lines.paragraphs(joined)
-                texts = [lines.data[i:j].tobytes() for i, j in zip(p.at.tolist(), p.to.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(p.key), pa.array(texts, pa.binary()).cast(pa.string())], ["id", "text"])
-
-    return rows.select("text").mapInArrow(run, "id bigint, text string")
-
-
-def sliding(x: np.ndarray, n: int, best) -> np.ndarray:
-    """best (minimum or maximum) of x[i : i + n], shorter at the end."""
+def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
+    """The minimum of x[i : i + n], of fewer at the end."""
     out, width = x.copy(), 1
     while width < n:
         step = min(width, n - width)
-        out[:-step] = best(out[:-step], out[step:]) if len(out) > step else out[:-step]
+        out[:-step] = np.minimum(out[:-step], out[step:]) if len(out) > step else out[:-step]
         width += step
     return out
 
 
-def spans_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, unit and key of the spans at chosen places."""
-    h, first, counts = words.hash, words.first, words.counts()
-    n = len(h)
-    if n < SPAN:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
-    left = np.repeat(first[1:], counts) - np.arange(n)  # words from here to the end of the unit
-    pair = np.zeros(n, U)
-    pair[:-1] = mix(h[:-1] * seeds(43, 2)[0] + h[1:] * seeds(43, 2)[1]) | U(1)
-    low = sliding(pair, REACH, np.minimum)
-    low[left < REACH + 1] = 0
-    reached = sliding(low[::-1], REACH, np.maximum)[::-1]  # of the windows that begin here or up to REACH - 1 before
-    at = np.flatnonzero((reached == pair) & (left >= SPAN))
-    up, down = powers(n)
-    run = np.zeros(n + 1, U)
-    np.cumsum(h * up, out=run[1:])
-    key = mix((run[at + SPAN] - run[at]) * down[at])
-    return at, np.searchsorted(first, at, side="right") - 1, key
-
-
-def chosen_spans(rows: DataFrame) -> Kept:
-    """(id, at, start, end, key) of the spans at chosen places of every text: first word, and where it lies in code points."""
+UNITS = "id bigint, paragraph bigint, at bigint, last bigint, start bigint, end bigint, n bigint, key bigint, bands array<bigint>, text string"
+
+
+def units(rows: DataFrame, joined: bool) -> Kept:
+    """The one pass over all texts: of every paragraph (id, paragraph, start, end, n, key, bands, text), and if joined, with a
+    null paragraph, of every run of windows (id, at, last, start, end, key)."""
+    names = [x.split()[0] for x in UNITS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = texts_of(batch, "text")
             for a, b in passes(column):
-                part = column.slice(a, b - a)
-                data, offsets = bytes_of(part), offsets_of(part)
-                words = Words(data, offsets)
-                at, unit, key = spans_of(words)
-                values = [pa.array(x.astype(np.int64)) for x in (at - words.first[unit], *places(data, offsets, words, at, unit))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(unit + a)), *values, pa.array(key.view(np.int64))], ["id", "at", "start", "end", "key"])
-
-    return Kept(rows.mapInArrow(run, "id bigint, at bigint, start bigint, end bigint, key bigint"), "spans")
-
-
-def places(data: np.ndarray, offsets: np.ndarray, words: Words, at: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end in code points of the spans that begin at the words `at` of texts `unit`."""
-    lo, hi = int(offsets[0]), int(offsets[-1])
-    chars = np.r_[0, np.cumsum((data[lo:hi] & 0xC0) != 0x80)]
-    base = chars[offsets[unit] - lo]
-    return chars[words.start[at] - lo] - base, chars[words.end[at + SPAN - 1] - lo] - base
+                lines = Lines(column.slice(a, b - a))
+                p = lines.paragraphs(joined)
+                n = len(p.size)
+                none, ints = pa.nulls(n, pa.int64()), [pa.array(x.astype(np.int64)) for x in (p.number, p.start, p.end, p.size, p.key)]
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(p.bands().ravel().view(np.int64)))
+                texts = pa.array([lines.data[i:j].tobytes() for i, j in zip(p.at.tolist(), p.to.tolist(), strict=True)], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(p.row + a)), ints[0], none, none, *ints[1:], bands, texts], names)
+                if joined:
+                    text, at, last, start, end, key = lines.runs()
+                    n = len(text)
+                    none, ints = pa.nulls(n, pa.int64()), [pa.array(x.astype(np.int64)) for x in (at, last, start, end)]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(text + a)), none, *ints, none, pa.array(key.view(np.int64)), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.string())], names
+                    )
+
+    return Kept(rows.mapInArrow(run, UNITS), "units")
 
 
 class Cover:
@@ -217,15 +201,24 @@ class Cover:
         i = np.searchsorted(runs[:, 0], start, side="right") - 1
         return (i >= 0) & (end <= runs[np.maximum(i, 0), 1])
 
+    def touches(self, removed: bool, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which of the spans have a character in a run."""
+        runs = self.runs[removed]
+        if not len(runs):
+            return np.zeros(len(start), bool)
+        i = np.searchsorted(runs[:, 1], start, side="right")  # the first run that ends behind the start
+        return (i < len(runs)) & (runs[np.minimum(i, len(runs) - 1), 0] < end)
 
-def flagged(spans: DataFrame, known: DataFrame) -> Kept:
-    """(id, at, key, live, listed) of spans: live ones lie in no removed paragraph, listed ones in one that stays."""
-    by_id = spans.groupBy("id").agg(F.collect_list(F.struct("at", "start", "end", "key")).alias("spans"))
+
+def flagged(runs: DataFrame, known: DataFrame) -> Kept:
+    """(id, at, last, key, live, listed) of runs of windows: those that aren't live lie in a removed paragraph, listed ones in
+    one that stays."""
+    by_id = runs.groupBy("id").agg(F.collect_list(F.struct("at", "last", "start", "end", "key")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(1).flatten()
-            at, start, end, key = (np.asarray(flat.field(k)) for k in range(4))
+            at, last, start, end, key = (np.asarray(flat.field(k)) for k in range(5))
             ends = np.cumsum(np.asarray(batch.column(1).value_lengths()), dtype=np.int64)
             live, listed, a = np.ones(len(at), bool), np.zeros(len(at), bool), 0
             for b, known in zip(ends.tolist(), batch.column(2).to_pylist(), strict=True):
@@ -234,17 +227,17 @@ def flagged(spans: DataFrame, known: DataFrame) -> Kept:
                     live[a:b], listed[a:b] = ~cover.holds(True, start[a:b], end[a:b]), cover.holds(False, start[a:b], end[a:b])
                 a = b
             owner = pa.array(np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *(pa.array(x) for x in (at, key, live, listed))], ["id", "at", "key", "live", "listed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *(pa.array(x) for x in (at, last, key, live, listed))], ["id", "at", "last", "key", "live", "listed"])
 
-    return Kept(by_id.join(known, "id", "left").select("id", "spans", "known").mapInArrow(run, "id bigint, at bigint, key bigint, live boolean, listed boolean"), "flagged")
+    return Kept(by_id.join(known, "id", "left").select("id", "runs", "known").mapInArrow(run, "id bigint, at bigint, last bigint, key bigint, live boolean, listed boolean"), "flagged")
 
 
-def every_span(rows: DataFrame, near: DataFrame) -> Kept:
-    """(id, version, at, start, end, key, live, listed) of the spans at all words up to SPAN + REACH beside those that near
-    (id, ats, known) names. version tells texts of one id apart."""
+def every_window(rows: DataFrame, near: DataFrame) -> Kept:
+    """(id, version, at, start, end, key, other, live, listed) of the windows in the runs that near (id, runs, known) names, as
+    two hashes of their words. Live ones have no character in a removed paragraph. version tells texts of one id apart."""
+    names = ["id", "version", "at", "start", "end", "key", "other", "live", "listed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "version", "at", "start", "end", "key", "live", "listed"]
         for batch in batches:
             column = texts_of(batch, "text")
             for a, b in passes(column):
@@ -253,68 +246,73 @@ def every_span(rows: DataFrame, near: DataFrame) -> Kept:
                 words = Words(data, offsets)
                 n, counts = len(words.hash), words.counts()
                 change = np.zeros(n + 1, np.int64)
-                for i, ats in enumerate(batch.column(2).slice(a, b - a).to_pylist()):
-                    x, last = np.array(ats, np.int64), max(0, int(counts[i]) - SPAN + 1)
-                    np.add.at(change, words.first[i] + np.clip(x - SPAN - REACH, 0, last), 1)
-                    np.add.at(change, words.first[i] + np.clip(x + SPAN + REACH + 1, 0, last), -1)
+                for i, runs in enumerate(batch.column(2).slice(a, b - a)):
+                    at, last = (np.asarray(runs.values.field(k)) for k in range(2))
+                    fits = last + PASSAGE <= counts[i]  # another text of this id may be shorter
+                    np.add.at(change, words.first[i] + at[fits], 1)
+                    np.add.at(change, words.first[i] + last[fits] + 1, -1)
                 at = np.flatnonzero(np.cumsum(change[:-1]) > 0)
                 unit = np.searchsorted(words.first, at, side="right") - 1
                 up, down = powers(n)
-                total = np.zeros(n + 1, U)
-                np.cumsum(words.hash * up, out=total[1:])
-                key = mix((total[at + SPAN] - total[at]) * down[at])
-                start, end = places(data, offsets, words, at, unit)
+                keys = []
+                for h in (words.hash, mix(words.hash + U(0x632BE59BD9B4E019))):
+                    total = np.zeros(n + 1, U)
+                    np.cumsum(h * up, out=total[1:])
+                    keys.append(mix((total[at + PASSAGE] - total[at]) * down[at]))
+                lo, hi = int(offsets[0]), int(offsets[-1])
+                chars = np.r_[0, np.cumsum((data[lo:hi] & 0xC0) != 0x80)]
+                base = chars[offsets[unit] - lo]
+                start, end = chars[words.start[at] - lo] - base, chars[words.end[at + PASSAGE - 1] - lo] - base
                 live, listed = np.ones(len(at), bool), np.zeros(len(at), bool)
                 cuts = np.searchsorted(unit, np.arange(b - a + 1))
                 for i, known in enumerate(batch.column(3).slice(a, b - a).to_pylist()):
                     if known:
                         cover, here = Cover(known), slice(cuts[i], cuts[i + 1])
-                        live[here], listed[here] = ~cover.holds(True, start[here], end[here]), cover.holds(False, start[here], end[here])
+                        live[here], listed[here] = ~cover.touches(True, start[here], end[here]), cover.holds(False, start[here], end[here])
                 owner = pa.array(unit + a)
-                ints = (at - words.first[unit], start, end)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(owner), batch.column(4).take(owner), *(pa.array(x.astype(np.int64)) for x in ints), pa.array(key.view(np.int64)), pa.array(live), pa.array(listed)], names
-                )
+                ints = [pa.array(x.astype(np.int64)) for x in (at - words.first[unit], start, end)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(4).take(owner), *ints, *(pa.array(k.view(np.int64)) for k in keys), pa.array(live), pa.array(listed)], names)
 
-    full = rows.join(near, "id").select("id", "text", "ats", "known", F.xxhash64("text").alias("version"))
-    return Kept(full.mapInArrow(run, "id bigint, version bigint, at bigint, start bigint, end bigint, key bigint, live boolean, listed boolean"), "windows")
+    some = rows.join(checked_broadcast(near.select("id")), "id", "left_semi")
+    full = some.join(checked_broadcast(near), "id").select("id", "text", "runs", "known", F.xxhash64("text").alias("version"))
+    return Kept(full.mapInArrow(run, "id bigint, version bigint, at bigint, start bigint, end bigint, key bigint, other bigint, live boolean, listed boolean"), "windows")
 
 
-def holders(spans: DataFrame) -> DataFrame:
-    """(key, keep, n, several, loose): the smallest id that holds a span outside of removed paragraphs, how many occurrences
-    there are, whether other ids hold it outside of them too, and whether one lies outside of all paragraphs. Only spans of
-    two or more ids."""
+def holders(windows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, keep, n, several, loose): the smallest id that holds a window outside of removed paragraphs, how many occurrences
+    there are, whether other ids hold it outside of them too, and whether one lies outside of all paragraphs. Only windows
+    of two or more ids."""
     lives = F.when(F.col("live"), F.col("id"))
-    found = spans.groupBy("key").agg(
+    found = windows.groupBy(*keys).agg(
         F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(lives).alias("keep"), F.max(lives).alias("last"), F.count("*").alias("n"), F.max(F.expr("live and not listed")).alias("loose")
     )
-    return found.filter("lo < hi and keep is not null").select("key", "keep", "n", F.expr("keep < last").alias("several"), "loose")
+    return found.filter("lo < hi and keep is not null").select(*keys, "keep", "n", F.expr("keep < last").alias("several"), "loose")
 
 
-def shared_passages(rows: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """(id, start, end, n_members, keep) of the runs of words that other documents hold too. What lies in a removed one of
-    `paragraphs` (id, start, end, removed) is reported already, and so is what besides lies in one that stays only.
+def shared_passages(rows: DataFrame, runs: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(id, start, end, n_members, keep) of the runs of PASSAGE or more words that other documents hold too. runs: of units().
+    What has a character in a removed one of `paragraphs` (id, start, end, removed) is reported already, and so is what besides
+    lies in one that stays only.
 
-    Chosen spans show which documents share something; around those, all spans of SPAN words are compared, so a run is as
-    long as what is shared. keep is the smallest id that holds a span outside of removed paragraphs. Neighbouring spans
-    with the same keep are one run; where keep changes another run begins, which overlaps the one before. n_members is the
-    least number of occurrences of a run's spans.
+    keep is the smallest id that holds a window outside of removed paragraphs, so that of every window one stays. Neighbouring
+    windows with the same keeper are one run; where keep changes another run begins, which overlaps the one before.
+    n_members is the least number of occurrences of a run's windows.
     """
-    spans = chosen_spans(rows)
-    shared = Kept(spans.df.groupBy("key").agg(F.min("id").alias("keep"), F.max("id").alias("last")).filter("keep < last").select("key"), "shared")
-    met = spans.df.join(checked_broadcast(shared.df, shared.df.count()), "key")
-    # A document's spans and paragraphs are as many as its words at most.
+    shared = Kept(runs.groupBy("key").agg(F.min("id").alias("keep"), F.max("id").alias("last")).filter("keep < last").select("key"), "shared")
+    met = runs.select("id", "at", "last", "start", "end", "key").join(checked_broadcast(shared.df), "key")
+    # A document's runs and paragraphs are as many as its words at most.
     known = paragraphs.groupBy("id").agg(F.collect_list(F.struct("start", "end", "removed")).alias("known"))
     flags = flagged(met, known)
-    open_ = Kept(holders(flags.df).filter("several or loose").select("key"), "open")
-    hits = flags.df.join(checked_broadcast(open_.df, open_.df.count()), "key").groupBy("id").agg(F.collect_list("at").alias("ats"))
-    near = Kept(hits.join(known, "id", "left"), "near")
-    windows = every_span(rows, checked_broadcast(near.df, near.df.count(), NEAR_ROWS))
-    held = Kept(holders(windows.df), "held")
-    told = windows.df.filter("live").join(checked_broadcast(held.df, held.df.count()), "key").filter("several or not listed")
-    by_text = told.groupBy("id", "version").agg(F.collect_list(F.struct("at", "start", "end", "n", "keep")).alias("spans"))
-    for t in (spans, shared, flags, open_):
+    shared.drop()
+    open_ = Kept(holders(flags.df, "key").filter("several or loose").select("key"), "open")
+    hits = flags.df.join(checked_broadcast(open_.df), "key").groupBy("id").agg(F.collect_list(F.struct("at", "last")).alias("runs"))
+    near = Kept(hits.join(known, "id", "left").select("id", "runs", "known"), "near")
+    windows = every_window(rows, near.df)
+    for t in (flags, open_, near):
         t.drop()
+    held = Kept(holders(windows.df, "key", "other"), "held")
+    told = windows.df.filter("live").join(checked_broadcast(held.df), ["key", "other"]).filter("several or not listed")
+    by_text = told.groupBy("id", "version").agg(F.collect_list(F.struct("at", "start", "end", "n", "keep")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,7 +328,10 @@ def shared_passages(rows: DataFrame, paragraphs: DataFrame) -> DataFrame:
             least = np.minimum.reduceat(n, first) if len(first) else n
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[first])), *(pa.array(x) for x in (start[first], end[last], least, keep[first]))], ["id", "start", "end", "n_members", "keep"])
 
-    return by_text.select("id", "spans").mapInArrow(run, "id bigint, start bigint, end bigint, n_members bigint, keep bigint")
+    out = Kept(by_text.select("id", "spans").mapInArrow(run, "id bigint, start bigint, end bigint, n_members bigint, keep bigint"), "passages")
+    windows.drop()
+    held.drop()
+    return out.df
 
 
 def elements(texts: DataFrame) -> DataFrame:
@@ -346,23 +347,17 @@ def elements(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "id bigint, element bigint")
 
 
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", joined: bool = False) -> DataFrame:
-    """(id, paragraph, start, end, n_members, keep_doc_id, keep_paragraph, removed) of every paragraph that has a near copy.
+def usable(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the rows that take part."""
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
 
-    start and end are code points; a cluster's first occurrence, by id and paragraph number, stays and all others are
-    removed. Paragraphs of fewer than 20 words and null, empty or blank texts have none. joined: lines of fewer words, but not
-    blank ones, that follow each other are one paragraph if that has 20 words; and of all such lines, joined or not, that lie
-    in no removed paragraph, those with equal sets of shingles are copies (a row each, n_members of these). Rows may repeat an id: each row's
-    paragraphs are occurrences of their own. Rows with a null id don't take part. Other columns are ignored. Ids must be
-    integers. Sets of shingles are told apart by 64-bit keys.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    marks = marked(rows, joined)
-    near = marks.df.filter("bands is not null")
-    once = near.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "paragraph")).alias("keep"), F.first("n").cast("int").alias("n"), F.first("bands").alias("bands"))
-    buckets = once.select(F.explode("bands").alias("bucket"), F.lit(False).alias("hot"), F.col("key").alias("id"), "n", F.lit(0).alias("e"))
+
+def clusters(made: Kept) -> DataFrame:
+    """(id, paragraph, start, end, n_members, keep, removed) of every paragraph of units() that has a near copy."""
+    near = made.df.filter("paragraph is not null")
+    groups = near.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "paragraph")).alias("keep"), F.first("n").cast("int").alias("n"), F.first("bands").alias("bands"))
+    once = Kept(groups, "once")
+    buckets = once.df.select(F.explode("bands").alias("bucket"), F.col("key").alias("id"), "n", F.lit(0).alias("e"))
     num, den = SIMILAR
 
     def possible(x, y, c):
@@ -370,22 +365,23 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     kept: list[Kept] = []
 
-    def fetch(ids: DataFrame, n: int) -> DataFrame:
-        kept.append(Kept(paragraph_texts(rows, joined).join(checked_broadcast(ids, n), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts"))
+    def fetch(ids: DataFrame) -> DataFrame:
+        texts = near.select(F.col("key").alias("id"), "text").join(checked_broadcast(ids), "id", "left_semi")
+        kept.append(Kept(texts.groupBy("id").agg(F.min("text").alias("text")), "texts"))
         return kept[-1].df
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = ends_of(pairs)
-        n = ids.count()
-        return verifier(fetch(ids, n), WORDS, SIMILAR, only_needed=True)(pairs) if n else pairs
+        return pairs if ids.isEmpty() else verifier(fetch(ids), once.df.select(F.col("key").alias("id"), "n"), WORDS, SIMILAR, only_needed=True)(pairs)
 
     def narrow(ids: DataFrame) -> DataFrame:
         """How many of its shingles none of the other ids has: those it can't share with one of them."""
-        n = ids.count()
-        if not n:
+        if ids.isEmpty():
             return ids.withColumn("v", F.lit(0).cast("bigint"))
-        own = elements(fetch(ids, n)).groupBy("element").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1")
-        return ids.join(own.groupBy("id").agg(F.count("*").alias("v")), "id", "left").select("id", F.coalesce("v", F.lit(0)).alias("v"))
+        crowd = Kept(ids, "crowd")
+        kept.append(crowd)
+        own = elements(fetch(crowd.df)).groupBy("element").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1")
+        return crowd.df.join(own.groupBy("id").agg(F.count("*").alias("v")), "id", "left").select("id", F.coalesce("v", F.lit(0)).alias("v"))
 
     def close(x, y):
         # What is their own is known of the ids of busy buckets against each other; with others they may share all they have.
@@ -393,56 +389,74 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         most = F.coalesce(F.when(x("v").isNotNull() & y("v").isNotNull(), F.least(left(x), left(y))), F.least(x("n"), y("n")).cast("bigint"))
         return most >= F.ceil((x("n") + y("n")) * num / (num + den))
 
-    label = linked(buckets, possible, verify, narrow, close, popular=True)
+    label = linked(buckets, possible, verify, narrow=narrow, close=close, popular=True)
     for t in kept:
         t.drop()
-    groups = near.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "paragraph")).alias("keep"))
-    named = Kept(groups.join(label.df.withColumnRenamed("id", "key"), "key", "left").select("key", "copies", "keep", F.coalesce("component", "key").alias("cluster")), "named")
-    clusters = named.df.groupBy("cluster").agg(F.sum("copies").alias("n_members"), F.min("keep").alias("keep")).filter("n_members > 1")
-    by_key = named.df.select("key", "cluster").join(clusters, "cluster").select("key", "n_members", "keep")
+    named = Kept(once.df.select("key", "copies", "keep").join(label.df.withColumnRenamed("id", "key"), "key", "left").withColumn("cluster", F.coalesce("component", "key")).drop("component"), "named")
+    sizes = named.df.groupBy("cluster").agg(F.sum("copies").alias("n_members"), F.min("keep").alias("keep")).filter("n_members > 1")
+    by_key = named.df.select("key", "cluster").join(sizes, "cluster").select("key", "n_members", "keep")
     stays = (F.col("id") == F.col("keep.id")) & (F.col("paragraph") == F.col("keep.paragraph"))
-    told = ["id", "paragraph", "start", "end", "n_members", "keep", (~stays).alias("removed")]
-    out = near.select("id", "paragraph", "start", "end", "key").join(by_key, "key").select(*told)
-    if joined:
-        found = Kept(out, "clusters")
-        gone = found.df.filter("removed").groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
-        left = marks.df.filter("bands is null").select("id", "paragraph", "start", "end", "key").join(gone, "id", "left")
-        left = Kept(left.filter("gone is null or not exists(gone, g -> g.start <= start and end <= g.end)").drop("gone"), "lines")
-        same = left.df.groupBy("key").agg(F.count("*").alias("n_members"), F.min(F.struct("id", "paragraph")).alias("keep")).filter("n_members > 1")
-        out = found.df.unionByName(left.df.join(same, "key").select(*told))
-    return out.select(
-        F.col("id").alias(id_col), "paragraph", "start", "end", "n_members", F.col("keep.id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), "removed"
-    )
+    out = Kept(near.select("id", "paragraph", "start", "end", "key").join(by_key, "key").select("id", "paragraph", "start", "end", "n_members", "keep", (~stays).alias("removed")), "clusters")
+    for t in (once, label, named):
+        t.drop()
+    return out.df
+
+
+def told(found: DataFrame, id_col: str) -> DataFrame:
+    return found.select(F.col("id").alias(id_col), "paragraph", "start", "end", "n_members", F.col("keep.id").alias("keep_doc_id"), F.col("keep.paragraph").alias("keep_paragraph"), "removed")
+
+
+def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", joined: bool = False) -> DataFrame:
+    """(id, paragraph, start, end, n_members, keep_doc_id, keep_paragraph, removed) of every paragraph that has a near copy.
+
+    start and end are code points; a cluster's first occurrence, by id and paragraph number, stays and all others are
+    removed. Paragraphs of fewer than 20 words and null, empty or blank texts have none. joined: lines of fewer words, but not
+    blank ones, that follow each other are one paragraph if they have 20 words, and a text without any paragraph is one, if
+    it has words. Rows may repeat an id: each row's paragraphs are occurrences of their own. Rows with a null id don't take
+    part. Other columns are ignored. Ids must be integers. Sets of shingles are told apart by 64-bit keys.
+    """
+    small_batches(docs.sparkSession)
+    made = units(usable(docs, id_col, text_col), joined)
+    out = told(clusters(made), id_col)
+    made.drop()
+    return out
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """repeated_paragraphs and, with a null paragraph, the passages that two or more ids share outside of removed paragraphs
-    (keep_paragraph is null as well; all but the smallest id's are removed, where they lie in no removed paragraph)."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
-    found = Kept(repeated_paragraphs(docs, id_col, text_col, joined=True), "paragraphs")
-    more = shared_passages(rows, found.df.select(F.col(id_col).alias("id"), "start", "end", "removed"))
-    none = F.lit(None).cast("bigint")
-    return found.df.unionByName(
-        more.select(F.col("id").alias(id_col), none.alias("paragraph"), "start", "end", "n_members", F.col("keep").alias("keep_doc_id"), none.alias("keep_paragraph"), (F.col("id") != F.col("keep")).alias("removed"))
-    )
+    """repeated_paragraphs(joined) and, with a null paragraph, the passages of 50 or more words that two or more ids share
+    outside of removed paragraphs (keep_paragraph is null as well; all but the smallest id's are removed)."""
+    small_batches(docs.sparkSession)
+    rows = usable(docs, id_col, text_col)
+    made = units(rows, True)
+    found = clusters(made)
+    more = shared_passages(rows, made.df.filter("paragraph is null"), found.select("id", "start", "end", "removed"))
+    made.drop()
+    keep = F.struct(F.col("keep").alias("id"), F.lit(None).cast("bigint").alias("paragraph"))
+    passages = more.select("id", F.lit(None).cast("bigint").alias("paragraph"), "start", "end", "n_members", keep.alias("keep"), (F.col("id") != F.col("keep")).alias("removed"))
+    return told(found.unionByName(passages), id_col)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with removed paragraphs cut out of text_col. Ids must be unique; null ids and texts stay as they are."""
-    gone = repeated_paragraphs(docs, id_col, text_col).filter("removed").groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_gone"))
+    """docs with what repeats() reports as removed cut out of text_col. Ids must be unique; null ids and texts stay as they
+    are."""
+    spans = F.array_sort(F.collect_list(F.struct("start", "end", F.col("paragraph").isNotNull().alias("line"))))
+    gone = repeats(docs, id_col, text_col).filter("removed").groupBy(F.col(id_col).alias("_id")).agg(spans.alias("_gone"))
     rows = docs.join(gone, docs[id_col] == gone["_id"], "left").drop("_id")
     at = rows.columns.index(text_col)
     schema = docs.schema
 
+    def cut(text: str, spans: list[dict]) -> str:
+        out, done = [], 0
+        for s in spans:
+            out.append(text[done : max(done, s["start"])])
+            done = max(done, s["end"] + s["line"])  # a paragraph goes with its line end
+        return "".join([*out, text[done:]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = list(batch.columns)
-            out = []
-            for text, spans in zip(columns[at].to_pylist(), columns.pop().to_pylist(), strict=True):
-                for s in reversed(spans or []):
-                    text = text[: s["start"]] + text[s["end"] + 1 :]
-                out.append(text)
-            columns[at] = pa.array(out, columns[at].type)
+            spans = columns.pop().to_pylist()
+            columns[at] = pa.array([cut(t, s) if s else t for t, s in zip(columns[at].to_pylist(), spans, strict=True)], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return rows.mapInArrow(run, schema)
