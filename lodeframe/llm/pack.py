@@ -29,8 +29,9 @@ from lodeframe.llm.token_count import merger
 LENGTH = 2048
 #: Id that ends every document.
 END = 1
-#: Rows that are tokenized beforehand to place the partition bounds: a documented bound, which only balances partitions.
-BOUND_ROWS = 5_000
+#: Rows for each partition that are tokenized beforehand to place the partitions' bounds. They balance partitions; no row
+#: depends on them.
+BOUND_ROWS = 128
 #: Words whose ids a worker remembers: only a memo.
 MEMO = 1_000_000
 DIMENSIONS, BITS, BINS = 3, 10, 1024
@@ -152,13 +153,13 @@ NAMES = ["id", "start", "length", "crc", "doc_tokens", "part", "place", "ids"]
 KINDS = "id {id}, start bigint, length bigint, crc bigint, doc_tokens bigint, part int, place bigint, ids binary"
 
 
-def tokenized(docs: DataFrame, path: str, bounds: list[int]) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, bounds: list[int] | None) -> DataFrame:
     """Per document its full runs (ids null) and what is left over (with ids), each with the partition it belongs to.
 
     docs: (id, text, tie). place orders by curve, then by tie, so that many equal documents still spread.
     """
     kind = docs.schema["id"].dataType.simpleString()
-    cuts = np.array(bounds, np.int64)
+    cuts = np.array(bounds or [], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,10 +245,11 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     tie = F.xxhash64(F.col(id_col), F.monotonically_increasing_id())
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), tie.alias("tie"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    count = docs.count()
-    sampled = rows if count <= BOUND_ROWS else rows.sample(BOUND_ROWS / count / 1.05, 7)
-    places = np.sort([r["place"] for r in tokenized(sampled, path, []).filter("ids is not null").select("place").limit(2 * BOUND_ROWS).collect()])
-    bounds = [int(places[len(places) * i // parts]) for i in range(1, parts)] if len(places) else []
+    share = min(1.0, BOUND_ROWS * parts / max(1, docs.count()))
+    sampled = tokenized(rows.filter(F.pmod(F.xxhash64("tie"), F.lit(1 << 30)) <= int(share * (1 << 30))), path, None)
+    at = [i / parts for i in range(1, parts)]
+    # Quantiles are summed up on the executors; the driver gets a number for each partition.
+    bounds = sampled.filter("ids is not null").agg(F.percentile_approx("place", at, 32 * parts).alias("b")).first()["b"] if at else None
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
