@@ -26,8 +26,8 @@ from lodeframe.llm.base import small_batches, table, texts_of
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Counts a worker remembers. It is only a memo: the result is the same at any size.
 MEMO = 400_000
-#: Symbols beyond which one sequence is merged by a heap, as its number of steps could grow with its length.
-LONG = 4_000
+#: Steps after which the sequences that aren't done go on as linked arrays, where a step costs what it merges.
+STEPS = 256
 #: Context limit of the over_limit column.
 LIMIT = 1024
 
@@ -76,6 +76,18 @@ class PairTable:
         return out
 
 
+def every_second(spots: np.ndarray) -> np.ndarray:
+    """Of runs of places that lie side by side (one symbol repeated), every second one from the left."""
+    return spots[every_second_of(spots, spots + 1)]
+
+
+def every_second_of(at: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The same as indices, where right holds each place's right neighbour."""
+    fresh = np.r_[True, at[1:] != right[:-1]]
+    nth = np.arange(len(at))
+    return np.flatnonzero((nth - np.maximum.accumulate(np.where(fresh, nth, 0))) % 2 == 0)
+
+
 class Merger:
     """Merge ranks of a byte-level vocabulary, applied to many sequences at once."""
 
@@ -96,7 +108,6 @@ class Merger:
             made.append(vocab[left + right])
         self.keys, self.made, self.none = np.array(keys, np.int64), np.array(made, np.int64), len(keys)
         self.table = PairTable(self.keys)
-        self.by_pair = None
         split = "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))
         self.special = regex.compile(split) if split else None
         self.pattern = regex.compile(PRE_TOKEN)
@@ -106,19 +117,22 @@ class Merger:
         """Surviving symbols of all words, one after the other, and how many each word has."""
         raw = [w.encode("utf-8") for w in words]
         counts = np.array([len(r) for r in raw], np.int64)
-        long = np.flatnonzero(counts > LONG).tolist()
         done = [(np.full(0, 0), np.zeros(0, np.int64))]
-        for i in long:
-            kept = self.merge_long(raw[i])
-            done.append((np.full(len(kept), i), kept))
-            counts[i] = len(kept)
-        ids = np.flatnonzero((counts > 0) & (np.array([len(r) for r in raw], np.int64) <= LONG)) if long else np.flatnonzero(counts)
+        ids = np.flatnonzero(counts)
         sizes = counts[ids]
-        data = np.frombuffer(b"".join(raw[i] for i in ids) if len(ids) < len(raw) else b"".join(raw), np.uint8)
+        data = np.frombuffer(b"".join(raw), np.uint8)
         symbols = self.byte_ids[data]
         symbols[np.cumsum(sizes) - 1] = self.last_ids[data[np.cumsum(sizes) - 1]]
+        step = 0
         while len(ids):
             starts = np.cumsum(sizes) - sizes
+            if step == STEPS:
+                for i, x in zip(ids.tolist(), np.split(symbols, starts[1:]), strict=True):
+                    kept = self.merge_linked(x)
+                    done.append((np.full(len(kept), i), kept))
+                    counts[i] = len(kept)
+                break
+            step += 1
             seq = np.repeat(np.arange(len(ids)), sizes)
             rank = np.full(len(symbols), self.none, np.int64)
             rank[:-1] = self.table.ranks(symbols[:-1] * self.width + symbols[1:], self.none)
@@ -133,11 +147,7 @@ class Merger:
                 if not len(ids):
                     break
                 seq = np.repeat(np.arange(len(ids)), sizes)
-            # occurrences that overlap (a run of one symbol): every second one, from the left
-            spots = np.flatnonzero(rank == low[seq])
-            fresh = np.r_[True, np.diff(spots) != 1]
-            first = np.maximum.accumulate(np.where(fresh, np.arange(len(spots)), 0))
-            spots = spots[(np.arange(len(spots)) - first) % 2 == 0]
+            spots = every_second(np.flatnonzero(rank == low[seq]))
             symbols[spots] = self.made[rank[spots]]
             keep = np.ones(len(symbols), bool)
             keep[spots + 1] = False
@@ -147,39 +157,50 @@ class Merger:
         owner, kept = (np.concatenate(x) for x in zip(*done, strict=True))
         return kept[np.argsort(owner, kind="stable")], counts
 
-    def merge_long(self, raw: bytes) -> np.ndarray:
-        """The same merges by (rank, place) from a heap, for one very long sequence."""
-        if self.by_pair is None:
-            self.by_pair = {k: (r, m) for r, (k, m) in enumerate(zip(self.keys.tolist(), self.made.tolist(), strict=True))}
-        data = np.frombuffer(raw, np.uint8)
-        sym = [*self.byte_ids[data[:-1]].tolist(), int(self.last_ids[data[-1]])]
-        n = len(sym)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < n and (found := self.by_pair.get(sym[i] * self.width + sym[j])):
-                heap.append((found[0], i, sym[i], sym[j], found[1])) if not ready else heapq.heappush(heap, (found[0], i, sym[i], sym[j], found[1]))
-
-        ready = False
-        for i in range(n - 1):
-            push(i)
-        heapq.heapify(heap)
-        ready = True
-        while heap:
-            _, i, left, right, made = heapq.heappop(heap)
-            j = after[i]
-            if sym[i] != left or j >= n or sym[j] != right:
+    def merge_linked(self, symbols: np.ndarray) -> np.ndarray:
+        """The same steps for one very long sequence: its lowest-rank pair is merged wherever it occurs, but places are
+        filed by rank and symbols linked to their neighbours, so that a step looks only at what it merges."""
+        n = len(symbols)
+        symbols, after, before = symbols.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        filed: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def file(at: np.ndarray) -> None:
+            """Note the pairs that begin at these places under their ranks."""
+            at = at[after[at] < n]
+            rank = self.table.ranks(symbols[at] * self.width + symbols[after[at]], self.none)
+            at, rank = at[rank < self.none], rank[rank < self.none]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cuts = np.flatnonzero(np.diff(rank)) + 1
+            for part, r in zip(np.split(at, cuts), rank[np.r_[0, cuts]].tolist() if len(rank) else [], strict=False):
+                if r not in filed:
+                    filed[r] = []
+                    heapq.heappush(queue, r)
+                filed[r].append(part)
+
+        file(np.arange(n - 1))
+        while queue:
+            r = heapq.heappop(queue)
+            at = np.unique(np.concatenate(filed.pop(r)))
+            right = after[at]
+            there = (symbols[at] >= 0) & (right < n)
+            at, right = at[there], right[there]
+            same = symbols[at] * self.width + symbols[right] == self.keys[r]
+            at, right = at[same], right[same]
+            if not len(at):
                 continue
-            sym[i], sym[j] = made, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return np.array([x for x in sym if x >= 0], np.int64)
+            # places that follow each other overlap: every second one of such a run, from the left
+            spots = every_second_of(at, right)
+            at, right = at[spots], right[spots]
+            symbols[at], symbols[right] = self.made[r], -1
+            beyond = after[right]
+            after[at] = beyond
+            inner = beyond < n
+            before[beyond[inner]] = at[inner]
+            left = before[at]
+            file(np.unique(np.r_[at, left[left >= 0]]))
+        return symbols[symbols >= 0]
 
     def count_texts(self, texts: list[str]) -> list[int]:
         """Tokens of each text; a special token's own string counts as one token, as the library does by default."""
