@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.llm import decontaminate, ngram_join, pack, pii, quality
-from lodeframe.llm.base import Kept, checked_broadcast, table
+from lodeframe.llm.base import Kept, Scope, checked_broadcast, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,23 +21,29 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_alike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id. Of repeated rows (same id and text) one
-    stays; rows without an id can't be told apart and stay."""
-    found = Kept(ngram_join.jaccard_components(docs).select("doc_id", "component_id"), "components")
-    gone = found.df.filter("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    again = found.df.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    rows = docs.select(*COLUMNS).join(checked_broadcast(gone, gone.count()), "doc_id", "left_anti")
-    n_again = again.count()
-    if n_again:
-        few = checked_broadcast(again, n_again)
-        rows = rows.join(few, "doc_id", "left_anti").unionByName(rows.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return rows.select(*COLUMNS)
+    """One row of each component of near duplicates: of the smallest id (a null one only if there is no other), and of its
+    texts the one with the smallest hash. Each row is judged by its own text, whatever other rows have its id; rows without
+    words are like no other and stay."""
+    rows = docs.select(*COLUMNS)
+    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    if again.isEmpty():
+        nodes = rows.withColumn("node", F.col("doc_id").cast("bigint"))
+        found = Kept(ngram_join.jaccard_components(nodes, "node"), "components").df
+        gone = found.filter("component_id <> node").select("node")
+    else:  # ids don't tell rows apart, so rows are numbered, and written so that the numbers stay
+        nodes = Kept(rows.withColumn("node", F.monotonically_increasing_id()), "nodes").df
+        found = Kept(ngram_join.jaccard_components(nodes, "node"), "components").df
+        ranked = nodes.select("node", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "node").alias("rank"))
+        members = found.filter("n_shingles > 0").join(ranked, "node")
+        first = members.groupBy("component_id").agg(F.min("rank").alias("first"))
+        gone = members.join(first, "component_id").filter("node <> first.node").select("node")
+    return nodes.join(checked_broadcast(Kept(gone, "gone").df), "node", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a `benchmark` item."""
     found = Kept(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id", "text_key").distinct(), "contaminated")
-    hit = checked_broadcast(found.df.withColumnRenamed("doc_id", "hit_id"), found.df.count())
+    hit = checked_broadcast(found.df.withColumnRenamed("doc_id", "hit_id"))
     rows = docs.select(*COLUMNS)
     return rows.join(hit, F.expr("doc_id <=> hit_id") & (decontaminate.text_key(F.col("text")) == F.col("text_key")), "left_anti")
 
@@ -69,10 +75,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what each keeps is written and read again as the next one's input."""
+    """All stages over `documents`; what each keeps is written and read again as the next one's input. Nothing but the last
+    stage's input is left when it returns."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        written = Kept(stage(spark, docs, sf_dir), f"stage-{name}")
+        with Scope(spark) as scope:
+            written = scope.spare(Kept(stage(spark, docs, sf_dir), f"stage-{name}"))
         if before:
             before.drop()
         docs, before = written.df, written
