@@ -57,15 +57,21 @@ def cargo_edges(files: DataFrame) -> DataFrame:
     return entries.select("path", F.col("name").alias("src"), dst.alias("dst")).filter("dst <> ''")
 
 
-LOCK = "struct<packages:map<string,struct<version:string,dependencies:map<string,string>>>>"
+#: Sections of an entry or a manifest that name dependencies.
+NPM_SECTIONS = ("dependencies", "devDependencies", "peerDependencies")
+LOCK = "struct<packages:map<string,struct<version:string," + ",".join(f"{s}:map<string,string>" for s in NPM_SECTIONS) + ">>>"
+
+
+def keys_in(entry: str) -> Column:
+    return F.concat(*[F.coalesce(F.map_keys(f"{entry}.{s}"), F.array().cast("array<string>")) for s in NPM_SECTIONS])
 
 
 def npm_packages(files: DataFrame) -> DataFrame:
-    """path, place, name, version, wants of the `packages` map of a package-lock.json, without the root."""
+    """path, place, name, version, wants (names in its sections) of the `packages` map of a package-lock.json, without the root."""
     parsed = named(files, "package-lock.json").select("path", F.from_json("content", LOCK).alias("lock"))
     rows = parsed.select("path", F.explode("lock.packages").alias("place", "entry")).filter("place <> ''")
     name = F.substring_index("place", "node_modules/", -1)
-    return rows.select("path", "place", name.alias("name"), F.coalesce("entry.version", F.lit("unknown")).alias("version"), F.col("entry.dependencies").alias("wants"))
+    return rows.select("path", "place", name.alias("name"), F.coalesce("entry.version", F.lit("unknown")).alias("version"), keys_in("entry").alias("wants"))
 
 
 def npm_lock(files: DataFrame) -> DataFrame:
@@ -103,8 +109,8 @@ def go_sum(files: DataFrame) -> DataFrame:
     return rows.groupBy("path", F.col("p")[0].alias("name")).agg(first.alias("version"))
 
 
-def requirements(files: DataFrame, operators: tuple[str, ...] = ("==", ">=", "~=", "<=", "!=")) -> DataFrame:
-    """path, name, version of requirements.txt lines; the first of the operators that a line holds splits it. Advisories and
+def placed_requirements(files: DataFrame, operators: tuple[str, ...]) -> DataFrame:
+    """path, pos, name, version of requirements.txt lines; the first of the operators that a line holds splits it. Advisories and
     graphs know `==` and `>=` only."""
     rows = stripped_lines(named(files, "requirements.txt")).filter((F.col("line") != "") & ~F.col("line").startswith("#") & ~F.col("line").startswith("-"))
     name, version = F.col("line"), F.lit("unpinned")
@@ -113,7 +119,11 @@ def requirements(files: DataFrame, operators: tuple[str, ...] = ("==", ">=", "~=
         value = trimmed(F.expr(f"substr(line, instr(line, '{op}') + 2)"))
         name = F.when(at > 0, trimmed(F.expr(f"substr(line, 1, instr(line, '{op}') - 1)"))).otherwise(name)
         version = F.when(at > 0, value if op == "==" else F.concat(F.lit(op), value)).otherwise(version)
-    return rows.select("path", F.substring_index(name, "[", 1).alias("name"), version.alias("version"))
+    return rows.select("path", "pos", F.substring_index(name, "[", 1).alias("name"), version.alias("version"))
+
+
+def requirements(files: DataFrame, operators: tuple[str, ...] = ("==", ">=", "~=", "<=", "!=")) -> DataFrame:
+    return placed_requirements(files, operators).select("path", "name", "version")
 
 
 def go_mod(files: DataFrame, direct_only: bool = False) -> DataFrame:
@@ -147,10 +157,8 @@ def manifests(files: DataFrame) -> DataFrame:
 
     schema = "path string, licence string, deps array<string>"
     rust = named(files, "Cargo.toml").mapInArrow(toml, schema)
-    sections = ("dependencies", "devDependencies", "peerDependencies")
-    tree = F.from_json("content", "struct<license:string," + ",".join(f"{s}:map<string,string>" for s in sections) + ">")
-    keys = F.concat(*[F.coalesce(F.map_keys(f"t.{s}"), F.array().cast("array<string>")) for s in sections])
-    npm = named(files, "package.json").select("path", tree.alias("t")).select("path", F.col("t.license").alias("licence"), keys.alias("deps"))
+    tree = F.from_json("content", "struct<license:string," + ",".join(f"{s}:map<string,string>" for s in NPM_SECTIONS) + ">")
+    npm = named(files, "package.json").select("path", tree.alias("t")).select("path", F.col("t.license").alias("licence"), keys_in("t").alias("deps"))
     modules = go_mod(files).groupBy("path").agg(F.collect_list("name").alias("deps"))
     go = named(files, "go.mod").select("path").join(modules, "path", "left").select("path", F.lit(None).cast("string").alias("licence"), F.coalesce("deps", F.array().cast("array<string>")).alias("deps"))
     return rust.unionByName(npm).unionByName(go).withColumn("licence", normalized(F.col("licence")))
