@@ -140,8 +140,8 @@ def features(column: pa.Array, vectors: np.ndarray, shapes: np.ndarray) -> np.nd
             if not n:
                 continue
             first, second, shape = np.zeros(WIDTH, np.float64), np.zeros(WIDTH, np.float64), np.zeros(SHAPE_WIDTH, np.float64)
-            for k in range(i, j, 1 << 16):
-                x = vectors[w[k : min(j, k + (1 << 16))]]
+            for k in range(i, j, 1 << 14):
+                x = vectors[w[k : min(j, k + (1 << 14))]].astype(np.float64)  # sums of squares would lose digits
                 first += x.sum(0)
                 second += np.einsum("ij,ij->j", x, x)
             counts = np.bincount(s[i:j])
@@ -239,7 +239,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, and held_out, score and predicted; only the text is looked at.
+    """All columns of docs, and held_out, score and predicted; only the text is looked at. Columns of docs that have one of
+    these names are replaced.
 
     Null and blank texts are scored as texts without words. Null and repeated ids are scored row by row. One pass, no
     shuffle.
