@@ -3,8 +3,11 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 FOLD = {c: c + 32 for c in range(65, 91)}
 SCHEMA = "doc_id bigint, text string, id string, n bigint, hash string, lang string, source string, n_chars bigint"
 
@@ -84,3 +87,20 @@ def contamination(docs, items):
         ids = sorted(str(x) for x in found if x is not None)
         out.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)))
     return out
+
+
+def check_packing(rows, ids, longest=2048):
+    """Each id lies in exactly one piece, pieces in gapless sequences of a power of two; returns the tokens of each sequence."""
+    at = {}
+    for r in sorted(rows, key=lambda r: r["start"]):
+        x = ids[r["doc_id"]]
+        assert r["start"] == at.get(r["doc_id"], 0) and r["doc_tokens"] == len(x)
+        assert r["ids_crc32"] == zlib.crc32(np.array(x[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+        at[r["doc_id"]] = r["start"] + r["length"]
+    assert at == {i: len(x) for i, x in ids.items()}
+    full = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == full.get(r["sequence_id"], 0) and r["length"] > 0
+        full[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(full.values()) <= longest and all(n & (n - 1) == 0 for n in full.values())
+    return full

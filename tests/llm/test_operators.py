@@ -91,6 +91,55 @@ def test_dense_group(spark):
     assert got == h.clusters({i: h.shingle_set(t) for i, t in rows})
 
 
+def test_blocks_of_a_bucket(spark, monkeypatch):
+    """A bucket that is cut into many squares gives the same components."""
+    monkeypatch.setattr(components, "BLOCK", 16)
+    test_dense_group(spark)
+
+
+def test_one_bucket_of_unlike_texts(spark):
+    """Very many texts that share one rare phrase, and nothing else but for a few copies."""
+    rng = random.Random(8)
+    rows = [(i, f"the one rare phrase here {fresh_words(rng, 25)}") for i in range(3000)]
+    rows += [(5000 + i, t + " x") for i, t in rows[:3]]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == {i: i % 5000 for i, _ in rows}
+
+
+def test_shared_folder(spark, monkeypatch):
+    """Without a named folder only a single machine falls back on its own; what is made in a scope goes with it."""
+    from lodeframe.llm import base
+
+    class Other:
+        def __init__(self, master):
+            self.conf, self.sparkContext, self.master, self.applicationId = self, self, master, "app"
+            self._jsc = self
+
+        def getConf(self):
+            return self
+
+        def get(self, *_):
+            return None
+
+        sc = getCheckpointDir = getConf
+
+        def isDefined(self):
+            return False
+
+    assert base.shared_dir(Other("local[4]")).endswith("/app")
+    for master in ("local-cluster[2,1,1024]", "yarn", "spark://a:1"):
+        with pytest.raises(RuntimeError):
+            base.shared_dir(Other(master))
+    assert base.shared_dir(spark).startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    rows = spark.conf.get(base.BATCH_ROWS)
+    with base.Scope(spark) as scope:
+        base.small_batches(spark, 7)
+        stays, goes = scope.spare(base.Kept(spark.range(3).toDF("id"), "a")), base.Kept(spark.range(3).toDF("id"), "b")
+    assert spark.conf.get(base.BATCH_ROWS) == rows and stays.df.count() == 3 and goes.path not in base._KEPT
+    assert base.checked_broadcast(stays.df) is not stays.df and base.checked_broadcast(stays.df, 10) is stays.df
+    stays.drop()
+
+
 def test_repeated_paragraphs(spark, small, empty):
     docs = table(spark, small, "documents")
     paragraphs = {}
@@ -178,6 +227,39 @@ def test_language_looks_at_text_only(spark):
     assert a == b
 
 
+def test_language_by_plain_compression(spark, small):
+    """Dictionaries and decisions against ones made text by text."""
+    import math
+    from collections import Counter
+
+    import zstandard
+
+    rows = [tuple(r) for r in table(spark, small, "documents").select("doc_id", "text", "lang").collect()]
+    found = {}
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1 and lang is not None and text is not None:
+            found.setdefault(lang, Counter()).update(language_id.plain(text).split())
+    want = {}
+    for lang, words in found.items():
+        picked, size = [], 0
+        for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
+            size += len(w) + 1
+            if size > language_id.DICTIONARY_BYTES:
+                break
+            picked.append(w)
+        want[lang] = b" ".join(reversed(picked))
+    learnt = language_id.learn(table(spark, small, "documents"), "doc_id", "text", "lang")
+    assert learnt == want
+    by = {k: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=language_id.SEARCH) for k, v in want.items()}
+    got = {r["doc_id"]: r for r in language_id.identify(table(spark, small, "documents"), learnt).collect()}
+    for i, text, _ in rows:
+        data = language_id.plain(text)
+        sizes = {k: sum(len(c.compress(data[j : j + 2048])) for j in range(0, len(data), 2048)) for k, c in by.items()}
+        best = min(sizes, key=lambda k: (sizes[k], k))
+        assert got[i]["lang_pred"] == best
+        assert abs(got[i]["score"] - 1 / sum(math.exp(-min(60, 100 * (s - sizes[best]) / sizes[best])) for s in sizes.values())) < 1e-9
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -283,33 +365,31 @@ def test_reliabilities():
     assert "id|1,0,1,0,1,0|2|0" not in counts
 
 
-def check_packing(rows, ids):
-    """Each id lies in exactly one piece, pieces in gapless sequences; returns the tokens of each sequence."""
-    at = {}
-    for r in sorted(rows, key=lambda r: r["start"]):
-        x = ids[r["doc_id"]]
-        assert r["start"] == at.get(r["doc_id"], 0) and r["doc_tokens"] == len(x)
-        assert r["ids_crc32"] == zlib.crc32(np.array(x[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
-        at[r["doc_id"]] = r["start"] + r["length"]
-    assert at == {i: len(x) for i, x in ids.items()}
-    full = {}
-    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
-        assert r["offset"] == full.get(r["sequence_id"], 0) and r["length"] > 0
-        full[r["sequence_id"]] = r["offset"] + r["length"]
-    assert max(full.values()) <= pack.LENGTH and all(n & (n - 1) == 0 for n in full.values())
-    return full
-
-
 def test_packing(spark, docs, empty):
     library = tokenizers.Tokenizer.from_file(WORDS)
     rows = [(i, t) for i, t in enumerate([*(r[1] for r in h.awkward()), *ODD])]
     ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, pack.END] for i, t in rows}
     got = pack.packed(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, place string, part int").repartition(3), WORDS).collect()
-    check_packing(got, ids)
+    h.check_packing(got, ids, pack.LENGTH)
     assert len(pack.packed(docs, WORDS).filter("start = 0").collect()) == docs.count()
     assert pack.packed(empty, WORDS).count() == 0
 
 
+def test_packing_over_many_partitions(spark, monkeypatch):
+    """As many partitions as there are get their share, also when there are more than sampled rows."""
+    rows = [(i, h.sentence(random.Random(i), 30, 3000)) for i in range(600)]
+    monkeypatch.setattr(pack, "BOUND_ROWS", 2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        got = pack.packed(spark.createDataFrame(rows, "doc_id bigint, text string"), WORDS).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    library = tokenizers.Tokenizer.from_file(WORDS)
+    h.check_packing(got, {i: [*library.encode(t, add_special_tokens=False).ids, pack.END] for i, t in rows})
+    assert len({r["sequence_id"] >> 32 for r in got}) >= 50
+
+
 def test_memo_that_overflows(monkeypatch):
     monkeypatch.setattr(pack, "MEMO", 50)
     library, own = tokenizers.Tokenizer.from_file(WORDS), pack.Ids(WORDS)
@@ -353,6 +433,44 @@ def test_quality(spark, docs, empty):
     assert {r["score"] for r in quality.score(known, none).collect()} == {0.5}
 
 
+def plain_features(text, model):
+    """Features of one text, word by word."""
+    words = [w.encode() for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+    if not words:
+        return [0.0] * (2 * quality.WIDTH + quality.SHAPE_WIDTH + 2)
+    x = np.array([model.vectors[slot_of(w.decode())] for w in words], float)
+    shapes, values, p = [], shingles.byte_values(False).tolist(), 0x5851F42D4C957F2D
+    for w in words:
+        kinds = [65 if 65 <= c < 91 else 97 if 97 <= c < 123 or c >= 128 else 57 if 48 <= c < 58 else c for c in w]
+        kinds = [k for j, k in enumerate(kinds) if j == 0 or kinds[j - 1] != k]
+        total = sum(values[k] * pow(p, j, 1 << 64) for j, k in enumerate(kinds)) % (1 << 64)
+        shapes.append(int(shingles.mix(np.array([total], np.uint64))[0]) % quality.SHAPES)
+    repeats = sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words)
+    return [*x.mean(0), *x.std(0), *model.shapes[shapes].astype(float).mean(0), repeats, np.log1p(len(words))]
+
+
+def test_quality_by_plain_scores(spark, small):
+    """Scores against features and a network computed text by text."""
+    known, labels = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text"), table(spark, "/root/testdata/sf0.01", "labels")
+    model = quality.learn(known, labels)
+    mean, scale, w1, b1, w2, b2, temperature = model.net
+    odd = [(10**6 + i, t) for i, t in enumerate([None, "", " \n", "A", "é É ß", "a " * 3000, "!! ?? 12a"])]
+    docs = known.limit(60).unionByName(spark.createDataFrame(odd, "doc_id bigint, text string"))
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    for r in docs.collect():
+        z = (np.array(plain_features(r["text"], model)) - mean) / scale
+        logit = float(np.tanh(z @ w1 + b1) @ w2 + b2)
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-logit / temperature))) < 1e-3
+
+
+def test_quality_replaces_clashing_columns(spark, small):
+    known, labels = table(spark, small, "documents").select("doc_id", "text"), table(spark, small, "labels")
+    model = quality.learn(known, labels)
+    clash = known.selectExpr("*", "'s' as score", "7 as held_out", "'p' as predicted", "1 as x")
+    got = quality.score(clash, model)
+    assert got.columns == ["doc_id", "text", "x", "held_out", "score", "predicted"] and dict(got.dtypes)["score"] == "double"
+
+
 def test_folds(spark):
     df = spark.createDataFrame([(i,) for i in range(50)], "i bigint")
     assert [r[0] for r in df.select(crc_fold(df["i"])).collect()] == [zlib.crc32(str(i).encode()) % 3 for i in range(50)]
@@ -375,6 +493,20 @@ def test_urls(spark):
     assert got[None] == ("", "", None, "allow")
 
 
+def test_tokens_of_rules(spark):
+    """Tokens that can be told from an expression, and rules from a table against running them all."""
+    told = {r"/abc\.def/": ("abc", "def"), r"\A(?:[^/]*\.)?net/": ("net",), r"(?i)\Aabc/": (), "a|b": (), "abc": (), r"\A[^/]*(?<![a-z0-9])a-b(?![a-z0-9])": ("a", "b"), r"/x(?:y/)?z/": (), r"/x/[0-9]+/y\Z": ("x", "y")}
+    assert {p: url_filter.tokens_of(p) for p in told} == told
+    rng = random.Random(12)
+    parts = ["abc", "def", "x", "y", "12", "X", "net", "é", "a-b", "ABC"]
+    urls = [(i, "http://" + rng.choice(["", "q."]) + rng.choice(parts) + "".join(rng.choice("/.-") + rng.choice(parts) for _ in range(rng.randrange(0, 5))) + rng.choice(["", "/"])) for i in range(500)]
+    rules = [(f"r{n:02}", p, "block", False) for n, p in enumerate([*told, r"(?i)/abc", r"/[xy]/", r"y$"])]
+    frame = spark.createDataFrame(rules, "name string, pattern string, verdict string, listed boolean")
+    for r in url_filter.filter_urls(spark.createDataFrame(urls, "page_id bigint, url string"), frame).collect():
+        place = r["host"] + r["path"]
+        assert r["pattern"] == next((name for name, p, _, _ in rules if re.search(p, place)), None)
+
+
 def test_url_index_equals_all_rules(spark, small):
     pages = table(spark, small, "pages")
     rules = url_filter.LISTED + url_filter.PATTERNS
@@ -411,6 +543,64 @@ def test_ann(spark):
     assert ann.neighbours(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
 
 
+def test_ann_splits_leaves(spark, monkeypatch):
+    """Leaves of a tree that was fitted on few vectors are split where they are, level by level."""
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 200)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((60, 8))
+    x = centres[rng.integers(0, 60, 6000)] + 0.2 * rng.standard_normal((6000, 8))
+    x[5000:5600] = x[5000]  # equal ones can't be split
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(4)
+    index = ann.Index(df, "vec_id", "embedding", 20)
+    assert index.trees and index.filed.df.count() == 6000 and index.filed.df.select("id").distinct().count() == 6000
+    large = index.sizes[-1].df.filter("n > 40").collect()
+    assert sum(r["n"] for r in large) < 2000
+    exact = {}
+    for q in range(0, 6000, 50):
+        score = ann.cosines(x[q], x)
+        score[q] = -np.inf
+        exact[q] = np.sort(score)[-5:][::-1]
+    for recall, least in ((0.95, 0.9), (1, 1)):
+        got = {}
+        for r in ann.neighbours(df, recall=recall, leaf_rows=20).collect():
+            got.setdefault(r["query_id"], []).append(r["score"])
+        hits = [len(got[q]) - sum(s < exact[q][-1] for s in got[q]) for q in exact]
+        assert all(len(got[q]) == 5 for q in exact) and sum(hits) >= least * 5 * len(exact)
+
+
+def test_ann_on_vectors_held_apart(spark):
+    """Recall against brute force on queries that the visits weren't calibrated with."""
+    found = ann.measured(table(spark, "/root/testdata/sf0.1", "embeddings"))
+    assert found["recall"] >= 0.9 and found["share"] <= 1
+
+
+def test_ann_large_components(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1e-200, 1e-200]), (3, [-1e308, 1e308])]
+    got = {r["vec_id"]: r["score"] for r in ann.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert abs(got[2] - 1) < 1e-12 and abs(got[1] - 0.5**0.5) < 1e-12 and abs(got[3]) < 1e-12
+
+
+def test_registered_queries(spark, small):
+    """The registered functions give their operators' results with the columns of the contract."""
+    from lodeframe.llm import queries
+
+    run = lambda name: queries.QUERIES[name](spark, small)
+    docs = table(spark, small, "documents")
+    n = docs.count()
+    columns = {
+        "op4_token_count": ["doc_id", "n_bytes", "n_tokens", "over_limit"], "op5_language_id": ["doc_id", "held_out", "lang_pred", "score"], "op6_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+        "op8_quality": ["doc_id", "held_out", "score", "predicted"],
+    }
+    for name, wanted in columns.items():
+        got = run(name)
+        assert got.columns[: len(wanted)] == wanted and got.count() == n and got.select("doc_id").distinct().count() == n
+    assert {r["doc_id"] for r in run("op7_pack").collect()} == {r["doc_id"] for r in docs.collect()}
+    assert run("op1_substring_dedup").columns == ["doc_id", "paragraph", "start", "end", "n_members", "keep_doc_id", "keep_paragraph", "removed"]
+    near = run("op10_nearest_neighbours").collect()
+    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in table(spark, small, "embeddings").collect()}
+    assert {r["query_id"] for r in near} == {i for i in vectors if i % 50 == 0} and all(r["score"] == ann.cosines(vectors[r["query_id"]], vectors[r["vec_id"]][None])[0] for r in near)
+
+
 @pytest.mark.parametrize("name", ["op2_ngram_jaccard_join", "op3_decontaminate", "op9_url_filter"])
 def test_sql(spark, small, name):
     import os

@@ -9,6 +9,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import helpers as h  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
+from lodeframe.llm import base  # noqa: E402
 from lodeframe.llm.base import Kept, table  # noqa: E402
 
 
@@ -56,7 +57,7 @@ def test_repeated_and_null_ids(spark, small):
     rows = [(1, "a b c d e f", "en", "s", 1)] * 3 + [(2, "A b c d e f", "en", "s", 1), (None, "a b c d e f", "en", "s", 1), (None, None, None, None, None), (4, None, "en", "s", 0), (4, "other words are in this one", "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = sorted(str(r["doc_id"]) for r in corpus_pipeline.keep_one_of_alike(spark, docs, small).collect())
-    assert got == ["1", "4", "4", "None", "None"]
+    assert got == ["1", "4", "4", "None"]  # the copy without an id goes, the row without words stays
     for name, stage in corpus_pipeline.STAGES:
         if name != "quality":
             assert stage(spark, docs, small).count() > 0
@@ -64,6 +65,49 @@ def test_repeated_and_null_ids(spark, small):
     assert corpus_pipeline.keep_good(spark, docs, small).count() <= 8 and corpus_pipeline.keep_good(spark, docs.limit(0), small).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark, small):
+    base, other = "some words that make up a text of their own and go on for a while", "quite different words stand here and nothing of the other is in them at all"
+    rows = [(1, base), (4, base + " more"), (4, other), (None, other.upper()), (None, "one of a kind without any id")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_alike(spark, docs, small).collect()}
+    assert got == {(1, base), (4, other), (None, "one of a kind without any id")}
+
+
+def test_clashing_columns_and_long_texts(spark, small):
+    texts = [h.sentence(__import__("random").Random(1), 60_000, 9000), "a@b.org " * 3000, "short one", None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 5, "x", 2.0, True, "y") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint, node int, text_key string, score double, hit boolean, hit_id string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, small)
+        assert got.columns == list(corpus_pipeline.COLUMNS) and (name == "quality" or got.count() == len(texts))
+    assert corpus_pipeline.pack_sequences(spark, docs, small).select("doc_id").distinct().count() == len(texts)
+
+
+def test_good_stay(spark, small, stages):
+    """Exactly the rows that the network, computed here, gives 0.5 or more."""
+    import pyarrow as pa
+
+    from lodeframe.llm import quality
+
+    before, after = stages["quality"]
+    model = quality.learn(table(spark, small, "documents").select("doc_id", "text"), table(spark, small, "labels"))
+    scores = model.scores(pa.array([r["text"] or "" for r in before]))
+    assert sorted(r["doc_id"] for r in after) == sorted(r["doc_id"] for r, s in zip(before, scores, strict=True) if s >= 0.5)
+
+
+def test_packed(stages):
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    before, after = stages["packing"]
+    h.check_packing(after, {r["doc_id"]: [*library.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in before})
+
+
 def test_run(spark, small, stages):
-    tokens = lambda rows: sum(r["length"] for r in rows)
-    assert tokens(corpus_pipeline.run(spark, small).collect()) == tokens(stages["packing"][1])
+    key = lambda r: (r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"])
+    before = set(base._KEPT)
+    got = corpus_pipeline.run(spark, small)
+    assert len(set(base._KEPT) - before) == 1  # the last stage's input, which the result still reads
+    whole = lambda rows: sorted({(r["doc_id"], r["doc_tokens"]) for r in rows})
+    rows = got.collect()
+    assert whole(rows) == whole(stages["packing"][1]) and sum(r["length"] for r in rows) == sum(r["length"] for r in stages["packing"][1]) and len(set(map(key, rows))) == len(rows)
