@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import re._parser as sre_parse
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -20,8 +22,43 @@ def lines_of(content: Column) -> Column:
 
 
 def explode_lines(blobs: DataFrame) -> DataFrame:
-    """(path, line_no, line) of (path, content); null content has no lines."""
-    return blobs.select("path", F.posexplode(lines_of(F.col("content"))).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("line_no"), "line")
+    """(path, line_no, line) of (path, content), as lines_of() has them; null content has no lines."""
+    parts = blobs.select("path", F.split(F.replace("content", F.lit("\r\n"), F.lit("\n")), "\n", -1).alias("parts"))
+    rows = parts.select("path", F.size("parts").alias("n"), F.posexplode("parts").alias("pos", "line")).filter("pos < n - 1 or line <> ''")
+    return rows.select("path", (F.col("pos") + 1).alias("line_no"), "line")
+
+
+def needles(pattern: str) -> tuple[tuple[str, ...], bool]:
+    """Literals of which any text that the pattern fits holds at least one, and whether they go by lower case. None if no such
+    literals can be told."""
+    try:
+        parsed = sre_parse.parse(pattern)
+    except re.error:
+        return (), False
+    folded = bool(parsed.state.flags & re.IGNORECASE)
+
+    def of(sequence) -> tuple[str, ...]:
+        nonlocal folded
+        found, run = [], ""
+        for op, value in [*sequence, (None, None)]:
+            if op is sre_parse.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                found.append((run,))
+            run = ""
+            if op is sre_parse.SUBPATTERN:
+                folded = folded or bool(value[1] & re.IGNORECASE)
+                found.append(of(value[3]))
+            elif op in (sre_parse.MAX_REPEAT, sre_parse.MIN_REPEAT) and value[0] > 0:
+                found.append(of(value[2]))
+            elif op is sre_parse.BRANCH:
+                each = [of(b) for b in value[1]]
+                found.append(tuple(x for e in each for x in e) if all(each) else ())
+        return max(found, key=lambda f: (min(map(len, f), default=0), -len(f)), default=())
+
+    found = of(parsed)
+    return tuple(sorted({x.lower() if folded else x for x in found})), folded
 
 
 def trimmed(text: Column) -> Column:

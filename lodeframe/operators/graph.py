@@ -7,9 +7,6 @@ checkpoint folder, so that lineage stays short and a lost executor costs no roun
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -17,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.functions import rule_tables as fixed
+from lodeframe.functions.tables import settled
 from lodeframe.functions.text import ends_with_any, explode_lines, outside, trimmed
 from lodeframe.operators.dependencies import cargo_edges, cargo_packages, go_mod, go_sum, manifests, npm_packages, placed_requirements
 
@@ -25,17 +23,6 @@ LOCAL_EDGES = 200_000
 ID = "graph_id"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed and kept in the shared folder that the cluster names (on a single machine, if it names none, our own)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lodeframe-checkpoints"))
-    return df.checkpoint()
-
-
 def by_graph(df: DataFrame) -> DataFrame:
     """df with a graph_id: one for all if it has none."""
     return df if ID in df.columns else df.withColumn(ID, F.lit(""))

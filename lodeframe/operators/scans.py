@@ -1,5 +1,8 @@
 """Line and path scans with fixed patterns. Inputs are lines (path, line_no, line), blobs (path, size, content), commits and
-file_changes. Patterns are literals of one projection, so each is compiled once a task and nothing is joined or shuffled."""
+file_changes. Patterns are literals of one projection, so each is compiled once a task and nothing is joined or shuffled.
+
+A line is first held against literals that a rule's matches can't do without (told from its pattern), by the endings that the
+rule is for; only what holds one is held against the regular expressions."""
 
 from __future__ import annotations
 
@@ -9,34 +12,92 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.functions import rule_tables as fixed
-from lodeframe.functions.text import ends_with_any, java, not_a_test, outside, shortened, trimmed
+from lodeframe.functions.text import ends_with_any, java, needles, not_a_test, outside, shortened, trimmed
 from lodeframe.operators.activity import newest
 
 COMMENT = r"(?U)^\s*(//|#|/\*|\*)"
 
 
-def findings(lines: DataFrame, rules: Sequence[tuple], line: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """A row for each line and rule that fits: path, line_no, rule_no, rule, severity, description.
-
-    Lines are first held against the file endings of all rules, which is cheap, and then against the rules of their own.
-    """
-    text = F.col("line") if line is None else line
-    known = lines.filter(ends_with_any(F.col("path"), sorted({e for r in rules for e in r[2].split()})))
+def likely(rules: Sequence[tuple]) -> Column:
+    """Whether a line (with low, its lower case, and wide, whether it's more than ASCII) may fit one of the rules."""
+    by_endings: dict[tuple[str, bool], set[str] | None] = {}
+    for _, _, endings, pattern, _ in rules:
+        found, folded = needles(pattern)
+        key = (endings, folded)
+        if not found:
+            by_endings[endings, False] = by_endings[endings, True] = None
+        elif by_endings.get(key, set()) is not None:
+            by_endings[key] = by_endings.get(key, set()) | set(found)
+    out = F.lit(False)
+    for (endings, folded), found in by_endings.items():
+        fits = ends_with_any(F.col("path"), endings)
+        if found is not None:
+            # Lower case by Unicode isn't what patterns go by, so lines with more than ASCII are looked at anyway.
+            has = F.exists(F.array(*map(F.lit, sorted(found))), lambda x: F.col("low" if folded else "line").contains(x))  # noqa: B023
+            fits = fits & (has | F.col("wide") if folded else has)
+        out = out | fits
+    return out
+
+
+def hits(rules: Sequence[tuple]) -> Column:
+    """The rules that a line fits, as structs in their order."""
 
     def hit(no: int, rule: tuple) -> Column:
         name, severity, endings, pattern, description = rule
-        fits = ends_with_any(F.col("path"), endings) & text.rlike(java(pattern))
+        fits = ends_with_any(F.col("path"), endings) & F.col("line").rlike(java(pattern))
         if "yaml.load" in name:
-            fits = fits & ~text.contains("SafeLoader")
+            fits = fits & ~F.col("line").contains("SafeLoader")
         return F.when(fits, F.struct(F.lit(no).alias("rule_no"), F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.lit(description).alias("description")))
 
-    hits = F.array_compact(F.array(*[hit(no, r) for no, r in enumerate(rules)]))
-    return known.select("path", "line_no", *keep, F.explode(hits).alias("hit")).select("path", "line_no", *keep, "hit.*")
+    return F.array_compact(F.array(*[hit(no, r) for no, r in enumerate(rules)]))
+
+
+def prepared(lines: DataFrame) -> DataFrame:
+    return lines.withColumns({"low": F.lower("line"), "wide": F.octet_length("line") != F.char_length("line")})
+
+
+def findings(lines: DataFrame, rules: Sequence[tuple], code: bool = False) -> DataFrame:
+    """A row for each line and rule that fits: path, line_no, line, rule_no, rule, severity, description. code: not on lines
+    that are comments."""
+    known = lines.filter(ends_with_any(F.col("path"), sorted({e for r in rules for e in r[2].split()})))
+    known = prepared(known).filter(likely(rules))
+    if code:
+        known = known.filter(~F.col("line").rlike(COMMENT))
+    return known.select("path", "line_no", "line", F.explode(hits(rules)).alias("hit")).select("path", "line_no", "line", "hit.*")
+
+
+def no_sample(line: Column) -> Column:
+    return ~F.lower(line).rlike("test|mock|fixture|example")
+
+
+def line_scans(lines: DataFrame, ignored: Iterable[str] = ()) -> DataFrame:
+    """All scans of lines in one pass: path, line_no, line, scan (secrets, dangerous, sast, remediation, addresses), nth, and
+    rule, severity and description (of addresses, the address as rule). Each scan finds what its own function does."""
+    path, line = F.col("path"), F.col("line")
+    place = {
+        "secrets": (fixed.SECRETS, outside(path, fixed.SKIP_SECRETS, ignored), no_sample(line)),
+        "dangerous": (fixed.DANGEROUS, outside(path, fixed.SKIP_DANGEROUS, ignored) & not_a_test(path), F.lit(True)),
+        "sast": (fixed.SAST, code_file(path, ignored), ~line.rlike(COMMENT)),
+        "remediation": (fixed.SAST_REMEDIATION, code_file(path, ignored), ~line.rlike(COMMENT)),
+    }
+    empty = F.array().cast("array<struct<rule_no:int,rule:string,severity:string,description:string>>")
+    of = lambda scan, found: F.transform(found, lambda x: F.struct(F.lit(scan).alias("scan"), x["rule_no"].alias("nth"), x["rule"].alias("rule"), x["severity"].alias("severity"), x["description"].alias("description")))
+    near = address_line(path, line, ignored)
+    any_ = near & line.contains(".")
+    found = []
+    for scan, (rules, where, how) in place.items():
+        any_ = any_ | (where & likely(rules))
+        found.append(of(scan, F.when(where & how, hits(rules)).otherwise(empty)))
+    none = F.lit(None).cast("string")
+    ips = F.transform(addresses(line), lambda x, i: F.struct(i.alias("rule_no"), x.alias("rule"), none.alias("severity"), none.alias("description")))
+    found.append(of("addresses", F.when(near, F.filter(ips, lambda x: ~x["rule"].isin(*fixed.SAFE_ADDRESSES))).otherwise(empty)))
+    rows = prepared(lines).filter(any_).select("path", "line_no", "line", F.explode(F.concat(*found)).alias("hit"))
+    return rows.select("path", "line_no", "line", "hit.*")
 
 
 def secrets(lines: DataFrame, ignored: Iterable[str] = ()) -> DataFrame:
     """Lines that hold a credential word or a long base64 run, without those that look like tests."""
-    kept = lines.filter(outside(F.col("path"), fixed.SKIP_SECRETS, ignored) & ~F.lower("line").rlike("test|mock|fixture|example"))
+    kept = lines.filter(outside(F.col("path"), fixed.SKIP_SECRETS, ignored) & no_sample(F.col("line")))
     return findings(kept, fixed.SECRETS).select("path", "line_no", F.col("rule").alias("pattern"))
 
 
@@ -63,26 +124,35 @@ def secret_commits(commits: DataFrame, n: int = 20) -> DataFrame:
     return newest(found, n).select(F.substring("oid", 1, 7).alias("hash"), shortened(F.col("message"), 70).alias("message"))
 
 
+def address_line(path: Column, line: Column, ignored: Iterable[str]) -> Column:
+    plain = line.contains("example") | line.contains("test") | (line.contains("//") & line.contains("localhost"))
+    return outside(path, fixed.SKIP_DANGEROUS, ignored) & ends_with_any(path, fixed.ADDRESS_FILES) & ~plain
+
+
+def addresses(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(java(fixed.ADDRESS)), F.lit(1))
+
+
 def hardcoded_ips(lines: DataFrame, ignored: Iterable[str] = ()) -> DataFrame:
     """Every address on a line, but for the harmless ones; parts are not range-checked."""
-    line = F.col("line")
-    plain = line.contains("example") | line.contains("test") | (line.contains("//") & line.contains("localhost"))
-    kept = lines.filter(outside(F.col("path"), fixed.SKIP_DANGEROUS, ignored) & ends_with_any(F.col("path"), fixed.ADDRESS_FILES) & ~plain)
-    found = kept.select("path", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(java(fixed.ADDRESS)), F.lit(1))).alias("nth", "ip"))
+    kept = lines.filter(address_line(F.col("path"), F.col("line"), ignored) & F.col("line").contains("."))
+    found = kept.select("path", "line_no", F.posexplode(addresses(F.col("line"))).alias("nth", "ip"))
     return found.filter(~F.col("ip").isin(*fixed.SAFE_ADDRESSES)).select("path", "line_no", "nth", "ip")
 
 
 def gitignore_coverage(text: DataFrame) -> DataFrame:
-    """For one row (content, null where there is no file): whether each wanted entry is there."""
+    """For each row (content, null where there is no file): whether each wanted entry is there."""
     wanted = F.explode(F.array(*map(F.lit, fixed.IGNORED_BY_RIGHTS))).alias("entry")
     return text.select("content", wanted).select("entry", F.coalesce(F.col("content").contains(F.col("entry")), F.lit(False)).alias("ignored"))
 
 
+def code_file(path: Column, ignored: Iterable[str]) -> Column:
+    return outside(path, fixed.SKIP_CODE, ignored) & not_a_test(path, ("/test/", "/tests/"))
+
+
 def sast(lines: DataFrame, rules: Sequence[tuple] = fixed.SAST, ignored: Iterable[str] = ()) -> DataFrame:
     """Rule findings on code lines that are neither comments nor in test files."""
-    path = F.col("path")
-    kept = lines.filter(outside(path, fixed.SKIP_CODE, ignored) & not_a_test(path, ("/test/", "/tests/")) & ~F.col("line").rlike(COMMENT))
-    return findings(kept.withColumn("source_line", trimmed(F.col("line"))), rules, keep=["source_line"])
+    return findings(lines.filter(code_file(F.col("path"), ignored)), rules, code=True)
 
 
 def sast_report(lines: DataFrame, ignored: Iterable[str] = ()) -> DataFrame:
@@ -99,17 +169,22 @@ def sast_top(lines: DataFrame, n: int = 20, ignored: Iterable[str] = ()) -> Data
     return sast(lines, ignored=ignored).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= n).select("severity", "nth", "path", "line_no", "rule")
 
 
-def sast_remediation(lines: DataFrame, ignored: Iterable[str] = ()) -> DataFrame:
-    """Findings of the short rule set with the first remediation whose name is part of the rule's."""
+def remedied(found: DataFrame) -> DataFrame:
+    """Findings with the first remediation whose name is part of the rule's."""
     guidance, example = F.lit(None).cast("string"), F.lit(None).cast("string")
     for part, how, sample in reversed(fixed.REMEDIATIONS):
         fits = F.lower("rule").contains(part.lower())
         guidance, example = F.when(fits, F.lit(how)).otherwise(guidance), F.when(fits, F.lit(sample)).otherwise(example)
-    found = sast(lines, fixed.SAST_REMEDIATION, ignored)
-    code = F.when(F.octet_length("source_line") > 80, F.concat(F.substring("source_line", 1, 77), F.lit("..."))).otherwise(F.col("source_line"))
+    found = found.withColumn("bare", trimmed(F.col("line")))
+    code = F.when(F.octet_length("bare") > 80, F.concat(F.substring("bare", 1, 77), F.lit("..."))).otherwise(F.col("bare"))
     return found.select("path", "line_no", "rule", "severity", code.alias("code"), F.coalesce(guidance, F.col("description")).alias("guidance"), example.alias("example"))
 
 
+def sast_remediation(lines: DataFrame, ignored: Iterable[str] = ()) -> DataFrame:
+    """Findings of the short rule set, remedied."""
+    return remedied(sast(lines, fixed.SAST_REMEDIATION, ignored))
+
+
 def outside_as_typed(path: Column, ignored: Iterable[str]) -> Column:
     """The snapshot takes ignored folders as they are typed: `doc` leaves out `docs/` too."""
     kept = F.lit(True)
