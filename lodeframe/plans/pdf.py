@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-LINES, SIZE, LEADING, LEFT, TOP = 58, 9, 13, 48, 800
+LINES, SIZE, LEADING, LEFT, TOP, WIDE = 58, 9, 13, 48, 800, 92
 
 
 def escaped(text: str) -> bytes:
@@ -11,13 +11,23 @@ def escaped(text: str) -> bytes:
     return plain.encode("latin-1", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
 
 
+def wrapped(line: str) -> list[str]:
+    """A line in parts that fit a page's width; what goes on is set in."""
+    if len(line) <= WIDE:
+        return [line]
+    set_in = " " * (len(line) - len(line.lstrip()) + 2)
+    cut = line.rfind(" ", len(set_in), WIDE)
+    cut = cut if cut > len(set_in) else WIDE
+    return [line[:cut], *wrapped(set_in + line[cut:].lstrip())]
+
+
 def pdf(text: str, title: str = "Repository report") -> bytes:
-    lines = text.split("\n")
+    lines = [part for line in text.split("\n") for part in wrapped(line)]
     pages = [lines[i : i + LINES] for i in range(0, len(lines), LINES)]
     objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>", b"<< /Title (" + escaped(title) + b") >>"]
     kids = []
     for page in pages:
-        body = b"BT /F1 %d Tf %d TL %d %d Td\n" % (SIZE, LEADING, LEFT, TOP) + b"".join(b"(" + escaped(x[:100]) + b") Tj T*\n" for x in page) + b"ET"
+        body = b"BT /F1 %d Tf %d TL %d %d Td\n" % (SIZE, LEADING, LEFT, TOP) + b"".join(b"(" + escaped(x) + b") Tj T*\n" for x in page) + b"ET"
         objects.append(b"<< /Length %d >>\nstream\n" % len(body) + body + b"\nendstream")
         objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % len(objects))
         kids.append(b"%d 0 R" % len(objects))

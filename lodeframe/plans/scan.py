@@ -17,80 +17,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeframe.functions.text import explode_lines
-from lodeframe.operators import activity, complexity, dependencies, graph, history, licences, scans
+from lodeframe.operators import activity, dependencies, graph, history, present
 from lodeframe.plans import report
 from lodeframe.plans.pdf import pdf
 from lodeframe.sources import git
 
-ACTIVITY, SECURITY = "activity", "security"
-
-
 class Scan:
     """The tables of a repository, each read once, and what a report says about them."""
 
     def __init__(self, spark: SparkSession, path: str, ignored: tuple[str, ...] = (), as_of: str | None = None):
         self.path, self.ignored = git.root(path), ignored
         self.as_of = as_of or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-        self.commits, self.changes, self.blobs, self.refs = (git.read(spark, path, t).persist() for t in ("commits", "file_changes", "blobs", "refs"))
+        self.commits = git.read(spark, path, "commits", linecounts=False).persist()
+        self.changes, self.blobs, self.refs = (git.read(spark, path, t).persist() for t in ("file_changes", "blobs", "refs"))
         self.files = self.blobs.filter("content is not null")
         self.lines = explode_lines(self.files)
 
-    def elements(self, groups: tuple[str, ...] = (ACTIVITY, SECURITY)) -> DataFrame:
-        parts: list[DataFrame] = []
-        if ACTIVITY in groups:
-            parts += [
-                self.one_row(activity.repo_overview(self.commits, self.refs), "Overview", 10),
-                self.one_row(activity.commit_velocity(self.commits, self.as_of), "Velocity", 50),
-                report.bars(activity.top_contributors(self.commits), "Top contributors", 100, "author", "commits"),
-                report.bars(activity.commits_by_month(self.commits), "Commits by month", 200, "month", "commits"),
-                report.bars(activity.commits_by_weekday(self.commits), "Activity by weekday", 300, "day", "commits"),
-                report.bars(activity.commits_by_hour(self.commits).withColumn("hour", F.format_string("%02d", "hour")), "Activity by hour", 400, "hour", "commits"),
-                report.listing(activity.emergency_commits(self.commits, self.as_of), "Emergency commits", 500, ["day", "hash"]),
-                report.bars(activity.merges_by_month(self.commits, self.as_of), "Merges by month", 600, "month", "merges"),
-                report.listing(activity.largest_files(self.blobs), "Largest files", 700, ["path"]),
-                report.listing(activity.most_changed_files(self.commits, self.changes, self.as_of), "Most changed files", 750, ["path"]),
-                report.listing(activity.bug_fix_files(self.commits, self.changes), "Files of fixes", 760, ["path"]),
-                report.listing(activity.code_churn(self.commits, self.changes), "Churn", 770, ["path"]),
-                report.listing(activity.lines_per_author(self.commits, self.changes, self.as_of), "Lines by author", 780, ["author"]),
-                report.listing(activity.stale_files(self.commits, self.changes), "Stale files", 790, ["last_change", "path"]),
-            ]
-        if SECURITY in groups:
-            deps = dependencies.inventory(self.files)
-            manifests = dependencies.manifests(self.files).select("path", "licence", F.size("deps").alias("n_deps"))
-            nodes, edges, direct = graph.graphs(self.files)
-            ignore = self.files.filter("path = '.gitignore'").select("content")
-            parts += [
-                report.listing(scans.secrets(self.lines, self.ignored), "Secrets", 1000, ["path", "line_no", "pattern"], 30),
-                report.listing(scans.dangerous_patterns(self.lines, self.ignored), "Dangerous patterns", 1100, ["path", "line_no", "pattern"], 30),
-                report.listing(scans.sensitive_files(self.blobs, self.ignored), "Sensitive files", 1150, ["path"]),
-                report.listing(scans.sensitive_commits(self.commits, self.changes), "Commits on sensitive files", 1160, ["hash"]),
-                report.listing(scans.gitignore_coverage(ignore), "Ignored files", 1170, ["entry"]),
-                report.listing(scans.hardcoded_ips(self.lines, self.ignored), "Hardcoded addresses", 1200, ["path", "line_no", "nth"]),
-                report.listing(scans.secret_commits(self.commits), "Commits about secrets", 1300, ["hash"]),
-                report.listing(licences.compliance(manifests), "Licences", 2000, ["path"]),
-                report.listing(licences.licence_files(self.files), "Licence files", 2050, ["path"]),
-                self.one_row(complexity.complexity_summary(self.files, self.ignored), "Complexity", 2060),
-                report.listing(complexity.complexity_top(self.files, ignored=self.ignored), "Complex functions", 2070, ["path", "line"]),
-                report.listing(scans.sast_report(self.lines, self.ignored), "Static analysis", 2100, ["path", "line_no", "rule"]),
-                report.listing(dependencies.by_source(deps), "Dependencies", 2200, ["source"]),
-                report.listing(dependencies.unpinned(deps), "Unpinned dependencies", 2210, ["source", "name"], 15),
-                report.listing(dependencies.prerelease(deps), "Prereleases", 2220, ["source", "name"], 15),
-                report.listing(dependencies.cve_commands(dependencies.inventory(self.files, True)), "Advisories", 2300, ["name", "version", "source", "cve_id"]),
-                self.one_row(graph.degrees(nodes, edges, direct), "Dependency graph", 2400),
-                report.listing(graph.phantoms(direct, graph.imports(self.files, self.ignored)), "Unused dependencies", 2420, ["name"]),
-                report.listing(complexity.complexity_hints(self.files, self.ignored), "Refactoring hints", 2500, ["path", "line"], 15),
-                report.listing(scans.sast_remediation(self.lines, self.ignored), "Remediation", 2600, ["path", "line_no", "rule"]),
-            ]
-        if not parts:
-            return self.commits.sparkSession.createDataFrame([], report.SCHEMA)
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    def one_row(self, df: DataFrame, section: str, no: int) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(c).alias("k"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("v")) for c in df.columns])
-        return df.select(F.explode(pairs).alias("p")).select(*report.element(section, no, "stat", F.col("p.k"), F.col("p.v")))
+    def elements(self, groups: tuple[str, ...] = report.GROUPS) -> DataFrame:
+        files = self.files
+        manifests = dependencies.manifests(files).select("path", "licence", F.size("deps").alias("n_deps"))
+        ignore = files.filter("path = '.gitignore'").select("content")
+        tables = report.Tables(
+            self.commits, self.changes, self.refs, self.blobs, self.lines, files, ignore, dependencies.inventory(files), dependencies.inventory(files, True), manifests, files,
+            *graph.graphs(files), graph.imports(files, self.ignored), self.as_of, self.ignored,
+        )
+        return report.elements(tables, groups)
 
     def snapshot(self) -> DataFrame:
         head = self.commits.agg(F.max_by("oid", "ts").alias("x")).first()["x"] or "unknown"
@@ -107,12 +58,22 @@ def summary(row: dict) -> dict:
 
 
 def trends(snapshots: DataFrame) -> list[str]:
+    """The last snapshots as a table, lines of blocks and arrows. A history is short by construction."""
+    rows = [r.asDict() for r in snapshots.orderBy("timestamp").collect()]
+    if not rows:
+        return ["No history yet"]
+    heads = ["Date", "Commit", "High", "Medium", "Complexity", "Advisories", "Secrets"]
+    of = lambda r: [r["timestamp"][:10], r["commit_hash"][:7], str(r["sast_high"]), str(r["sast_medium"]), f"{r['complexity_avg']:.1f}", str(r["sca_cve_count"]), str(r["secrets_found"])]
+    out = ["Trends", *report.aligned([heads, *map(of, rows)])]
+    if len(rows) > 1:
+        for label, value in (("SAST HIGH findings", lambda r: r["sast_high"]), ("Avg complexity", lambda r: int(r["complexity_avg"] * 10)), ("CVE count", lambda r: r["sca_cve_count"])):
+            out.append(f"  {label}: {present.sparkline([value(r) for r in rows])}")
     metrics = {"SAST HIGH findings": F.col("sast_high"), "Avg complexity": F.floor(F.col("complexity_avg") * 10), "CVE count": F.col("sca_cve_count"), "Secrets found": F.col("secrets_found")}
-    return [f"{r['direction']} {r['label']}: {r['first']} → {r['last']}" for r in history.trend_direction(snapshots, "timestamp", metrics).collect()]
+    return out + [f"  {r['direction']} {r['label']}: {r['first']} → {r['last']}" for r in history.trend_direction(snapshots, "timestamp", metrics).collect()]
 
 
 def scan(spark: SparkSession, args: argparse.Namespace) -> None:
-    groups = tuple(g for g, skip in ((ACTIVITY, args.security_only), (SECURITY, args.analytics_only)) if not skip)
+    groups = tuple(g for g in report.GROUPS if not (args.security_only if g == report.ACTIVITY else args.analytics_only))
     s = Scan(spark, args.path, tuple(d for d in (args.ignore_dirs or "").split(",") if d))
     rows = report.collected(s.elements(groups))
     figures = s.snapshot().persist()

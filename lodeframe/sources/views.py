@@ -56,6 +56,27 @@ FROM {part}""",
   'pkg_' || CAST((s_suppkey * s_suppkey + 7) % (SELECT count(*) FROM {supplier}) AS STRING) AS dst FROM {supplier}""",
     "v_direct_deps": """SELECT 'pkg_' || CAST(s_suppkey AS STRING) AS name FROM {supplier} WHERE s_suppkey % 40 = 0""",
     "v_nodes": """SELECT 'pkg_' || CAST(s_suppkey AS STRING) AS name FROM {supplier}""",
+    "v_graph_nodes": """SELECT 'g' || CAST(s_suppkey % 3 AS STRING) AS graph_id, 'pkg_' || CAST((s_suppkey - s_suppkey % 3) AS STRING) AS name, CAST(s_suppkey % 7 AS STRING) || '.0' AS version FROM {supplier}""",
+    "v_graph_edges": """SELECT 'g' || CAST(s_suppkey % 3 AS STRING) AS graph_id, 'pkg_' || CAST((s_suppkey - s_suppkey % 3) AS STRING) AS src,
+  'pkg_' || CAST((s_suppkey * s_suppkey + 7) % (SELECT count(*) FROM {supplier}) - ((s_suppkey * s_suppkey + 7) % (SELECT count(*) FROM {supplier})) % 3 AS STRING) AS dst FROM {supplier}""",
+    "v_graph_direct": """SELECT 'g' || CAST(s_suppkey % 3 AS STRING) AS graph_id, 'pkg_' || CAST((s_suppkey - s_suppkey % 3) AS STRING) AS name FROM {supplier} WHERE s_suppkey % 3 < 2 AND s_suppkey % 8 = 0""",
+    "v_paths": """SELECT CASE doc_id % 5 WHEN 0 THEN 'vendor/' WHEN 1 THEN 'node_modules/' ELSE 'app/' END || source || '/' || CAST(doc_id AS STRING) || CASE doc_id % 11 WHEN 0 THEN '/.env' WHEN 1 THEN '/server.KEY' WHEN 2 THEN '/env.py' WHEN 3 THEN '/.env.local'
+  WHEN 4 THEN '/id.pem.txt' WHEN 5 THEN '/store.jks' WHEN 6 THEN '/AuthTokens.ts' WHEN 7 THEN '/my_credentials' WHEN 8 THEN '/keys/a.txt' WHEN 9 THEN '/x.p12' ELSE '/notes.md' END AS path FROM {documents}""",
+    "v_spellings": """SELECT doc_id, CASE doc_id % 14 WHEN 0 THEN 'mit' WHEN 1 THEN 'GPL2' WHEN 2 THEN 'LGPL-3.0' WHEN 3 THEN 'WTFPL' WHEN 4 THEN 'Apache-2.0' WHEN 5 THEN 'GPL' WHEN 6 THEN 'agpl-3.0-or-later' WHEN 7 THEN 'BSD3'
+  WHEN 8 THEN 'CC0' WHEN 9 THEN 'MPL-2.0' WHEN 10 THEN 'bsd-2-clause' WHEN 11 THEN 'Unlicense' WHEN 12 THEN '' ELSE 'EPL-2.0' END AS licence FROM {documents}""",
+    "v_status": """SELECT source, CAST(sum(CASE WHEN doc_id % 97 = 5 THEN 1 ELSE 0 END) AS BIGINT) AS sast_high, CAST(sum(CASE WHEN doc_id % 83 = 7 THEN 1 ELSE 0 END) AS BIGINT) AS secrets_found,
+  CAST(sum(CASE WHEN doc_id % 61 = 3 THEN 1 ELSE 0 END) AS BIGINT) AS sast_medium, CAST(count(*) % 13 AS BIGINT) AS sca_unpinned FROM {documents} GROUP BY source""",
+    "v_ignores": """SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE CASE WHEN doc_id % 2 = 0 THEN '.env' || chr(10) ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN '*.key' || chr(10) ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN 'a/*.pem' || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 7 = 0 THEN '*.p12' || chr(10) || '*.secret' ELSE 'x' END END AS content FROM {documents}""",
+    "v_many_files": """SELECT path, content FROM {v_files} WHERE path <> '.gitignore'
+  UNION ALL SELECT 'c' || CAST(doc_id AS STRING) || '/Cargo.lock', '[[package]]' || chr(10) || 'name = "app' || CAST(doc_id AS STRING) || '"' || chr(10) || 'version = "0.' || CAST(doc_id % 9 AS STRING) || '.1"' || chr(10) || 'dependencies = [' || chr(10)
+    || ' "lib' || CAST(doc_id % 3 AS STRING) || ' 1.0.0 (registry)",' || chr(10) || ']' || chr(10) || chr(10) || '[[package]]' || chr(10) || 'name = "lib' || CAST(doc_id % 3 AS STRING) || '"' || chr(10) || 'version = "1.' || CAST(doc_id % 5 AS STRING) || '.0"' || chr(10) FROM {documents}
+  UNION ALL SELECT 'n' || CAST(doc_id AS STRING) || '/package-lock.json', '{"packages":{"":{},"node_modules/a' || CAST(doc_id % 6 AS STRING) || '":{"version":"' || CAST(doc_id % 8 AS STRING) || '.2.0","dependencies":{"b":"1"}},"node_modules/a' || CAST(doc_id % 6 AS STRING) || '/node_modules/b":{"version":"1.' || CAST(doc_id % 4 AS STRING) || '.0"}}}' FROM {documents}
+  UNION ALL SELECT 'g' || CAST(doc_id AS STRING) || '/go.sum', 'm/x' || CAST(doc_id % 5 AS STRING) || ' v1.' || CAST(doc_id % 7 AS STRING) || '.0 h1:q' || chr(10) || 'm/x' || CAST(doc_id % 5 AS STRING) || ' v1.9.9/go.mod h1:z' || chr(10) || 'm/y v0.' || CAST(doc_id % 3 AS STRING) || '.0/go.mod h1:w' || chr(10) FROM {documents}
+  UNION ALL SELECT 'r' || CAST(doc_id AS STRING) || '/requirements.txt', 'pkg' || CAST(doc_id % 9 AS STRING) || '==' || CAST(doc_id % 6 AS STRING) || '.1' || chr(10) || '# c' || chr(10) || chr(10) || 'other[x]>=' || CAST(doc_id % 4 AS STRING) || chr(10) || 'third~=2' || chr(10) || '-r base' || chr(10) || 'bare' || CAST(doc_id % 2 AS STRING) || chr(10) FROM {documents}
+  UNION ALL SELECT 'g' || CAST(doc_id AS STRING) || '/go.mod', 'module m' || chr(10) || 'require (' || chr(10) || 'm/x' || CAST(doc_id % 5 AS STRING) || ' v1' || chr(10) || 'm/y v0 // indirect' || chr(10) || ')' || chr(10) || 'require solo' || CAST(doc_id % 3 AS STRING) || ' v2' || chr(10) FROM {documents}
+  UNION ALL SELECT 'c' || CAST(doc_id AS STRING) || '/Cargo.toml', '[package]' || chr(10) || 'license = "' || CASE doc_id % 3 WHEN 0 THEN 'MIT' WHEN 1 THEN 'GPL2' ELSE 'BSD3' END || '"' || chr(10) || '[dependencies]' || chr(10) || 'lib' || CAST(doc_id % 3 AS STRING) || ' = "1"' || chr(10) FROM {documents}
+  UNION ALL SELECT 'n' || CAST(doc_id AS STRING) || '/package.json', '{"license":"APACHE2","dependencies":{"a' || CAST(doc_id % 6 AS STRING) || '":"1"},"devDependencies":{"d":"2"}}' FROM {documents}""",
     "v_manifests": """SELECT * FROM (VALUES
   ('Cargo.toml', 'MIT OR Apache-2.0', 12), ('web/package.json', 'GPL-3.0', 30), ('lib/Cargo.toml', 'MIT/LGPL-2.1', 4),
   ('cli/package.json', 'BSD2', 7), ('go.mod', NULL, 5), ('tools/Cargo.toml', NULL, 2), ('x/package.json', 'Artistic-2.0 AND MPL2', 1)) AS m(path, licence, n_deps)""",

@@ -6,7 +6,7 @@ import subprocess
 import pytest
 
 from lodeframe.functions.text import explode_lines
-from lodeframe.operators import activity, dependencies, history, scans
+from lodeframe.operators import activity, dependencies, graph, history, scans
 from lodeframe.plans import report
 from lodeframe.sources import git
 
@@ -52,6 +52,19 @@ def test_tables(spark, repo):
     assert git.read(spark, str(repo), "commits").filter("ts >= timestamp_ntz'2024-01-04 00:00:00'").count() == 1
 
 
+def test_ranges(spark, repo):
+    """The same rows by any number of partitions; line counts only where they are asked for."""
+    for t in ("commits", "file_changes", "blobs"):
+        one, many = (sorted(map(str, git.read(spark, str(repo), t, n).collect())) for n in (1, 7))
+        assert one == many and one
+    assert {r["insertions"] for r in git.read(spark, str(repo), "commits", linecounts=False).collect()} == {None}
+
+
+def test_empty_repository(spark, tmp_path):
+    subprocess.run(["git", "-C", str(tmp_path), "init", "-q"], check=True)
+    assert [git.read(spark, str(tmp_path), t).count() for t in ("commits", "file_changes", "blobs", "refs")] == [0, 0, 0, 0]
+
+
 def test_full_scan(spark, repo, tmp_path):
     commits, changes, blobs = (git.read(spark, str(repo), t) for t in ("commits", "file_changes", "blobs"))
     assert activity.top_contributors(commits).first()[:] == ("Ann", 2)
@@ -59,9 +72,17 @@ def test_full_scan(spark, repo, tmp_path):
     files = blobs.filter("content is not null")
     deps = dependencies.inventory(files)
     assert {(r["name"], r["version"]) for r in deps.collect()} == {("django", "1.0"), ("flask", "unpinned")}
-    rows = report.collected(report.elements(commits, changes, files, explode_lines(files), deps, dependencies.manifests(files).selectExpr("path", "licence", "size(deps) as n_deps"), "2024-02-01"))
+    manifests = dependencies.manifests(files).selectExpr("path", "licence", "size(deps) as n_deps")
+    ignore = files.filter("path = '.gitignore'").select("content")
+    tables = report.Tables(
+        commits, changes, git.read(spark, str(repo), "refs"), blobs, explode_lines(files), files, ignore, deps, deps, manifests, files, *graph.graphs(files), graph.imports(files), "2024-02-01"
+    )
+    rows = report.collected(report.elements(tables))
+    assert any(r["kind"] == "warning" and "gitignore" in r["label"] for r in rows)
+    assert {r["section"] for r in report.collected(report.elements(tables, ("graphs",)))} == {r["section"] for r in rows if r["seq"] >= 2400}
     summary = {"sast_high": 1, "status": "CRITICAL"}
     assert json.loads(report.to_json(rows, summary))["summary"] == summary
+    assert "## Static analysis: HIGH" in report.to_markdown(rows, summary) and "<svg" in report.to_html(rows, summary)
     assert "## Static analysis" in report.to_markdown(rows, summary) and "<details" in report.to_html(rows, summary) and "Python os.system" in report.to_text(rows)
     path = str(tmp_path / "history")
     for day in ("2024-01-05T00:00:00Z", "2024-01-06T00:00:00Z"):
@@ -90,6 +111,7 @@ def test_command_line(spark, repo, tmp_path, capsys):
     assert scan.main(args) == 0 and scan.main(args) == 0
     text = capsys.readouterr().out
     assert "Python os.system" in text and "CVE-2024-27351" in text and "→ Secrets found: 0 → 0" in text
+    assert "Trends" in text and "CVE count: ▁▁" in text and "No .gitignore file found" in text
     assert json.loads(out["json"].read_text())["summary"]["status"] == "PASS"
     assert out["pdf"].read_bytes().startswith(b"%PDF") and out["dot"].read_text().startswith("digraph")
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodeframe.functions import rule_tables as fixed
-from lodeframe.functions.text import explode_lines, human_size, java, outside, shortened, trimmed, without_colour
+from lodeframe.functions.text import explode_lines, human_size, java, needles, outside, shortened, trimmed, without_colour
 from lodeframe.functions.versions import version_less_than
 from lodeframe.operators import complexity, dependencies, graph, licences, scans
 
@@ -143,6 +143,75 @@ def test_graph(spark):
     assert '"a" -> "b"' in text and text.startswith("digraph")
 
 
+def ring(n):
+    return [(f"n{i:04}", f"n{(i + 1) % n:04}") for i in range(n)]
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_graphs_apart(spark, monkeypatch, most):
+    """Equal names of two graphs are different nodes, whether graphs go to a task each or over all of them."""
+    if most is not None:
+        monkeypatch.setattr(graph, "LOCAL_EDGES", most)
+    edges = spark.createDataFrame([("g", "a", "b"), ("h", "b", "a"), ("g", "b", "c"), ("g", "c", "b"), ("h", "b", "b")], "graph_id string, src string, dst string")
+    nodes = spark.createDataFrame([(g, x) for g in "gh" for x in "abcd"], "graph_id string, name string")
+    direct = spark.createDataFrame([("g", "b"), ("g", "out")], "graph_id string, name string")
+    assert {tuple(r) for r in graph.cycles(edges).select("graph_id", "component", "name").collect()} == {("g", "b", "b"), ("g", "b", "c")}
+    far = {tuple(r) for r in graph.reachable(nodes, edges, direct).select("graph_id", "name").collect()}
+    assert far == {("g", "b"), ("g", "c"), ("h", "c"), ("h", "d")}
+    rows = {r["graph_id"]: r for r in graph.graph_summary(nodes, edges, direct).collect()}
+    assert tuple(rows["g"])[1:] == (4, 3, 2, 1, 2, 2, 2) and tuple(rows["h"])[1:] == (4, 2, 0, 0, 0, 2, 2)
+
+
+def test_long_ring_and_chain(spark):
+    edges = spark.createDataFrame([*ring(1000), *((f"c{i:04}", f"c{i + 1:04}") for i in range(1000))], "src string, dst string")
+    got = graph.cycles(edges).collect()
+    assert len(got) == 1000 and {r["component"] for r in got} == {"n0000"}
+    nodes = edges.selectExpr("src as name")
+    start = spark.createDataFrame([("c0000",)], "name string")
+    assert graph.reachable(nodes, edges, start).count() == 1001 and graph.unreachable(nodes, edges, start).count() == 1000
+
+
+def test_ring_over_all(spark, monkeypatch):
+    """A ring and a chain with many more steps than any bound on rounds of old would be for their size."""
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+    edges = spark.createDataFrame([*ring(12), ("n0003", "tail"), ("tail", "end")], "src string, dst string")
+    got = graph.cycles(edges).collect()
+    assert len(got) == 12 and {r["component"] for r in got} == {"n0000"}
+    assert graph.reachable(edges.selectExpr("src as name"), edges, spark.createDataFrame([("n0005",)], "name string")).count() == 14
+
+
+def test_last_version_counts(spark):
+    lock = "".join(f'[[package]]\nname = "x"\nversion = "{v}"\n\n' for v in ("1.9.0", "1.10.0"))
+    npm = '{"packages":{"":{},"node_modules/b/node_modules/a":{"version":"2.0.0","peerDependencies":{"p":"1"}},"node_modules/a":{"version":"10.0.0","devDependencies":{"d":"1"}}}}'
+    files = spark.createDataFrame([("Cargo.lock", lock), ("package-lock.json", npm), ("requirements.txt", "r==2\nr==10\n")], "path string, content string")
+    nodes, edges, _ = graph.graphs(files)
+    assert {(r["name"], r["version"]) for r in nodes.collect()} == {("x", "1.10.0"), ("a", "2.0.0"), ("r", "10")}
+    assert {(r["src"], r["dst"]) for r in edges.collect()} == {("a", "p"), ("a", "d")}
+
+
+def test_one_pass_finds_what_the_scans_find(spark, small):
+    from lodeframe.plans.catalog import LINES
+
+    lines = LINES(spark, small).unionByName(spark.createDataFrame([(f"src/x{e}", i, t) for i, (e, t) in enumerate(HITS.values())], "path string, line_no int, line string"))
+    lines = lines.unionByName(spark.createDataFrame([("a.py", 1, "ſECRET = CURſor.execute(ſ)"), ("a.py", 2, "PaſsWORD api_KEY"), ("k.env", 3, "A" * 40), ("a.go", 4, "x = a.B(c)")], "path string, line_no int, line string"))
+    found = scans.line_scans(lines)
+    of = lambda scan, *columns: sorted(map(tuple, found.filter(F.col("scan") == scan).select(*columns).collect()))
+    rows = lambda df, *columns: sorted(map(tuple, df.select(*columns).collect()))
+    assert of("secrets", "path", "line_no", "rule") == rows(scans.secrets(lines), "path", "line_no", "pattern")
+    assert of("dangerous", "path", "line_no", "rule") == rows(scans.dangerous_patterns(lines), "path", "line_no", "pattern")
+    assert of("sast", "path", "line_no", "rule", "severity") == rows(scans.sast_report(lines), "path", "line_no", "rule", "severity")
+    assert of("addresses", "path", "line_no", "nth", "rule") == rows(scans.hardcoded_ips(lines), "path", "line_no", "nth", "ip")
+    # and without the literals that come first
+    plain = lines.filter(scans.code_file(F.col("path"), ()) & ~F.col("line").rlike(scans.COMMENT)).select("path", "line_no", "line", F.explode(scans.hits(fixed.SAST)).alias("hit"))
+    assert of("sast", "path", "line_no", "rule") == rows(plain, "path", "line_no", "hit.rule")
+
+
+def test_needles():
+    assert needles(r"pickle\.(loads?|Unpickler)\(") == (("pickle.",), False)
+    assert needles(r"(?i)(Password|secret)\s*=") == (("password", "secret"), True)
+    assert needles(r"a?[bc]*") == ((), False) and needles(r"(abc|d?)") == ((), False) and needles(r"(?:xy){2}z") == (("xy",), False)
+
+
 def test_graphs_of_files(spark, small):
     from lodeframe.sources.views import view
 
