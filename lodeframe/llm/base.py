@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField
 
 #: Bytes of a side that may be broadcast; beyond it the join shuffles both sides.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 32 << 20
 #: Bytes of text that a numpy pass looks at together (a single longer text is its own pass).
 PASS_BYTES = 1 << 19
 

@@ -33,7 +33,7 @@ BLOCKS = 16
 #: Orders beside the first that candidates have to pass.
 FURTHER_ORDERS = 2
 #: Shingles of the texts that are compared with one copy of another text.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 16
 
 
 def prefix_size(n, similar: tuple[int, int] = SIMILAR):
