@@ -71,14 +71,13 @@ class Lines:
         return Paragraphs(self, bounds, (size >= MIN_WORDS) | (lone[owner] & (size > 0)))
 
     def runs(self) -> tuple[np.ndarray, ...]:
-        """Runs of windows of PASSAGE words with one band key: text, first and last window (by first word in the text), where
-        the run starts and ends in code points, and key."""
+        """Runs of windows of PASSAGE words with one band key: text, first and last window (by first word in the text), and key."""
         words, first = self.words, self.first
         h, n = words.hash, len(words.hash)
         grams = PASSAGE - WORDS + 1
         sizes = np.diff(first)
         if not len(sizes) or sizes.max() < PASSAGE:
-            return tuple(np.zeros(0, np.int64) for _ in range(6))
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
         gram = np.zeros(n, U)
         for j in range(WORDS):
             gram[: n - j] += h[j:] * seeds(23, 64)[j]
@@ -94,9 +93,7 @@ class Lines:
         ends[:-1] &= fresh[1:] | ~whole[1:]
         last = np.flatnonzero(ends)
         text = np.searchsorted(first, at, side="right") - 1
-        base = self.chars[self.offsets[text] - self.lo]
-        start, end = self.chars[words.start[at] - self.lo] - base, self.chars[words.end[last + PASSAGE - 1] - self.lo] - base
-        return text, at - first[text], last - first[text], start, end, key[at]
+        return text, at - first[text], last - first[text], key[at]
 
 
 class Paragraphs:
@@ -114,6 +111,8 @@ class Paragraphs:
         self.start, self.end = chars[start - lo] - chars[text_start - lo], chars[end - lo] - chars[text_start - lo]
         self.at, self.to = start, end
         counts = np.diff(first)[chosen]
+        self.first_word = first[:-1][chosen] - lines.first[self.row]
+        self.last_word = self.first_word + counts - 1
         part = copy(lines.words)
         part.hash, part.first = lines.words.hash[ragged(first[:-1][chosen], counts)], np.r_[0, np.cumsum(counts)]
         self.flat, self.first = shingles(part, WORDS)
@@ -152,8 +151,8 @@ UNITS = "id bigint, paragraph bigint, at bigint, last bigint, start bigint, end
 
 
 def units(rows: DataFrame, joined: bool) -> Kept:
-    """The one pass over all texts: of every paragraph (id, paragraph, start, end, n, key, bands, text), and if joined, with a
-    null paragraph, of every run of windows (id, at, last, start, end, key)."""
+    """The one pass over all texts: of every paragraph (id, paragraph, first and last word, start, end, n, key, bands, text), and
+    if joined, with a null paragraph, of every run of windows (id, first and last window, key)."""
     names = [x.split()[0] for x in UNITS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,68 +162,72 @@ def units(rows: DataFrame, joined: bool) -> Kept:
                 lines = Lines(column.slice(a, b - a))
                 p = lines.paragraphs(joined)
                 n = len(p.size)
-                none, ints = pa.nulls(n, pa.int64()), [pa.array(x.astype(np.int64)) for x in (p.number, p.start, p.end, p.size, p.key)]
+                ints = [pa.array(x.astype(np.int64)) for x in (p.number, p.first_word, p.last_word, p.start, p.end, p.size, p.key)]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(p.bands().ravel().view(np.int64)))
                 texts = pa.array([lines.data[i:j].tobytes() for i, j in zip(p.at.tolist(), p.to.tolist(), strict=True)], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(p.row + a)), ints[0], none, none, *ints[1:], bands, texts], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(p.row + a)), *ints, bands, texts], names)
                 if joined:
-                    text, at, last, start, end, key = lines.runs()
+                    text, at, last, key = lines.runs()
                     n = len(text)
-                    none, ints = pa.nulls(n, pa.int64()), [pa.array(x.astype(np.int64)) for x in (at, last, start, end)]
+                    none, ints = pa.nulls(n, pa.int64()), [pa.array(x.astype(np.int64)) for x in (at, last)]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(text + a)), none, *ints, none, pa.array(key.view(np.int64)), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.string())], names
+                        [batch.column(0).take(pa.array(text + a)), none, *ints, none, none, none, pa.array(key.view(np.int64)), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.string())], names
                     )
 
     return Kept(rows.mapInArrow(run, UNITS), "units")
 
 
 class Cover:
-    """Runs of text that are reported already: from (start, end, removed) of one document's paragraphs. Neighbouring runs of
-    one sort are joined."""
+    """Words of one document that are reported already: from (at, last, removed) of its paragraphs."""
 
     def __init__(self, known: list[dict]):
         self.runs = {}
         for removed in (True, False):
             joined: list[list[int]] = []
-            for a, b in sorted((k["start"], k["end"]) for k in known if k["removed"] == removed):
-                if joined and a <= joined[-1][1] + 1:
+            for a, b in sorted((k["at"], k["last"] + 1) for k in known if k["removed"] == removed):
+                if joined and a <= joined[-1][1]:
                     joined[-1][1] = max(joined[-1][1], b)
                 else:
                     joined.append([a, b])
             self.runs[removed] = np.array(joined, np.int64).reshape(-1, 2)
 
-    def holds(self, removed: bool, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Which of the spans lie in a run."""
-        runs = self.runs[removed]
-        if not len(runs):
-            return np.zeros(len(start), bool)
-        i = np.searchsorted(runs[:, 0], start, side="right") - 1
-        return (i >= 0) & (end <= runs[np.maximum(i, 0), 1])
-
     def touches(self, removed: bool, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Which of the spans have a character in a run."""
+        """Which of the spans have a word in a paragraph of this sort."""
         runs = self.runs[removed]
         if not len(runs):
             return np.zeros(len(start), bool)
         i = np.searchsorted(runs[:, 1], start, side="right")  # the first run that ends behind the start
         return (i < len(runs)) & (runs[np.minimum(i, len(runs) - 1), 0] < end)
 
+    def room(self, removed: bool, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The longest part of each span that has no word in such a paragraph."""
+        runs = self.runs[removed]
+        if not len(runs):
+            return end - start
+        a, b = np.r_[-1, runs[:, 1]], np.r_[runs[:, 0], np.iinfo(np.int64).max]  # the gaps between runs
+        i, j = np.searchsorted(b, start, side="right"), np.searchsorted(a, end) - 1
+        first, last = np.minimum(b[np.minimum(i, len(b) - 1)], end) - np.maximum(a[i], start), np.minimum(b[np.maximum(j, 0)], end) - np.maximum(a[np.maximum(j, 0)], start)
+        most = np.where(i <= j, np.maximum(first, last), 0)
+        for x in np.flatnonzero(j - i > 1).tolist():  # spans over several gaps
+            most[x] = max(most[x], (b[i[x] + 1 : j[x]] - a[i[x] + 1 : j[x]]).max())
+        return np.maximum(most, 0)
+
 
 def flagged(runs: DataFrame, known: DataFrame) -> Kept:
-    """(id, at, last, key, live, listed) of runs of windows: those that aren't live lie in a removed paragraph, listed ones in
-    one that stays."""
-    by_id = runs.groupBy("id").agg(F.collect_list(F.struct("at", "last", "start", "end", "key")).alias("runs"))
+    """(id, at, last, key, live, listed) of runs of windows: live ones have room for a window outside of removed paragraphs,
+    listed ones none outside of those that stay."""
+    by_id = runs.groupBy("id").agg(F.collect_list(F.struct("at", "last", "key")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(1).flatten()
-            at, last, start, end, key = (np.asarray(flat.field(k)) for k in range(5))
+            at, last, key = (np.asarray(flat.field(k)) for k in range(3))
             ends = np.cumsum(np.asarray(batch.column(1).value_lengths()), dtype=np.int64)
             live, listed, a = np.ones(len(at), bool), np.zeros(len(at), bool), 0
             for b, known in zip(ends.tolist(), batch.column(2).to_pylist(), strict=True):
                 if known:
-                    cover = Cover(known)
-                    live[a:b], listed[a:b] = ~cover.holds(True, start[a:b], end[a:b]), cover.holds(False, start[a:b], end[a:b])
+                    cover, span = Cover(known), (at[a:b], last[a:b] + PASSAGE)
+                    live[a:b], listed[a:b] = cover.room(True, *span) >= PASSAGE, cover.room(False, *span) < PASSAGE
                 a = b
             owner = pa.array(np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *(pa.array(x) for x in (at, last, key, live, listed))], ["id", "at", "last", "key", "live", "listed"])
@@ -234,7 +237,8 @@ def flagged(runs: DataFrame, known: DataFrame) -> Kept:
 
 def every_window(rows: DataFrame, near: DataFrame) -> Kept:
     """(id, version, at, start, end, key, other, live, listed) of the windows in the runs that near (id, runs, known) names, as
-    two hashes of their words. Live ones have no character in a removed paragraph. version tells texts of one id apart."""
+    two hashes of their words. Live ones have no word in a removed paragraph, listed ones have one in a paragraph that stays.
+    version tells texts of one id apart."""
     names = ["id", "version", "at", "start", "end", "key", "other", "live", "listed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,14 +267,15 @@ def every_window(rows: DataFrame, near: DataFrame) -> Kept:
                 chars = np.r_[0, np.cumsum((data[lo:hi] & 0xC0) != 0x80)]
                 base = chars[offsets[unit] - lo]
                 start, end = chars[words.start[at] - lo] - base, chars[words.end[at + PASSAGE - 1] - lo] - base
+                place = at - words.first[unit]
                 live, listed = np.ones(len(at), bool), np.zeros(len(at), bool)
                 cuts = np.searchsorted(unit, np.arange(b - a + 1))
                 for i, known in enumerate(batch.column(3).slice(a, b - a).to_pylist()):
                     if known:
                         cover, here = Cover(known), slice(cuts[i], cuts[i + 1])
-                        live[here], listed[here] = ~cover.touches(True, start[here], end[here]), cover.holds(False, start[here], end[here])
+                        live[here], listed[here] = ~cover.touches(True, place[here], place[here] + PASSAGE), cover.touches(False, place[here], place[here] + PASSAGE)
                 owner = pa.array(unit + a)
-                ints = [pa.array(x.astype(np.int64)) for x in (at - words.first[unit], start, end)]
+                ints = [pa.array(x.astype(np.int64)) for x in (place, start, end)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(4).take(owner), *ints, *(pa.array(k.view(np.int64)) for k in keys), pa.array(live), pa.array(listed)], names)
 
     some = rows.join(checked_broadcast(near.select("id")), "id", "left_semi")
@@ -280,8 +285,8 @@ def every_window(rows: DataFrame, near: DataFrame) -> Kept:
 
 def holders(windows: DataFrame, *keys: str) -> DataFrame:
     """(keys, keep, n, several, loose): the smallest id that holds a window outside of removed paragraphs, how many occurrences
-    there are, whether other ids hold it outside of them too, and whether one lies outside of all paragraphs. Only windows
-    of two or more ids."""
+    there are, whether other ids hold it outside of them too, and whether one lies outside of all paragraphs that have copies.
+    Only windows of two or more ids."""
     lives = F.when(F.col("live"), F.col("id"))
     found = windows.groupBy(*keys).agg(
         F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(lives).alias("keep"), F.max(lives).alias("last"), F.count("*").alias("n"), F.max(F.expr("live and not listed")).alias("loose")
@@ -291,17 +296,17 @@ def holders(windows: DataFrame, *keys: str) -> DataFrame:
 
 def shared_passages(rows: DataFrame, runs: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """(id, start, end, n_members, keep) of the runs of PASSAGE or more words that other documents hold too. runs: of units().
-    What has a character in a removed one of `paragraphs` (id, start, end, removed) is reported already, and so is what besides
-    lies in one that stays only.
+    What has a word in a removed one of `paragraphs` (id, at, last, removed: by words) is reported already, and so is what besides
+    has one in one that stays only.
 
     keep is the smallest id that holds a window outside of removed paragraphs, so that of every window one stays. Neighbouring
     windows with the same keeper are one run; where keep changes another run begins, which overlaps the one before.
     n_members is the least number of occurrences of a run's windows.
     """
     shared = Kept(runs.groupBy("key").agg(F.min("id").alias("keep"), F.max("id").alias("last")).filter("keep < last").select("key"), "shared")
-    met = runs.select("id", "at", "last", "start", "end", "key").join(checked_broadcast(shared.df), "key")
+    met = runs.select("id", "at", "last", "key").join(checked_broadcast(shared.df), "key")
     # A document's runs and paragraphs are as many as its words at most.
-    known = paragraphs.groupBy("id").agg(F.collect_list(F.struct("start", "end", "removed")).alias("known"))
+    known = paragraphs.groupBy("id").agg(F.collect_list(F.struct("at", "last", "removed")).alias("known"))
     flags = flagged(met, known)
     shared.drop()
     open_ = Kept(holders(flags.df, "key").filter("several or loose").select("key"), "open")
@@ -353,7 +358,7 @@ def usable(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def clusters(made: Kept) -> DataFrame:
-    """(id, paragraph, start, end, n_members, keep, removed) of every paragraph of units() that has a near copy."""
+    """(id, paragraph, at, last, start, end, n_members, keep, removed) of every paragraph of units() that has a near copy."""
     near = made.df.filter("paragraph is not null")
     groups = near.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "paragraph")).alias("keep"), F.first("n").cast("int").alias("n"), F.first("bands").alias("bands"))
     once = Kept(groups, "once")
@@ -396,7 +401,7 @@ def clusters(made: Kept) -> DataFrame:
     sizes = named.df.groupBy("cluster").agg(F.sum("copies").alias("n_members"), F.min("keep").alias("keep")).filter("n_members > 1")
     by_key = named.df.select("key", "cluster").join(sizes, "cluster").select("key", "n_members", "keep")
     stays = (F.col("id") == F.col("keep.id")) & (F.col("paragraph") == F.col("keep.paragraph"))
-    out = Kept(near.select("id", "paragraph", "start", "end", "key").join(by_key, "key").select("id", "paragraph", "start", "end", "n_members", "keep", (~stays).alias("removed")), "clusters")
+    out = Kept(near.select("id", "paragraph", "at", "last", "start", "end", "key").join(by_key, "key").select("id", "paragraph", "at", "last", "start", "end", "n_members", "keep", (~stays).alias("removed")), "clusters")
     for t in (once, label, named):
         t.drop()
     return out.df
@@ -429,11 +434,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = usable(docs, id_col, text_col)
     made = units(rows, True)
     found = clusters(made)
-    more = shared_passages(rows, made.df.filter("paragraph is null"), found.select("id", "start", "end", "removed"))
+    more = shared_passages(rows, made.df.filter("paragraph is null"), found.select("id", "at", "last", "removed"))
     made.drop()
     keep = F.struct(F.col("keep").alias("id"), F.lit(None).cast("bigint").alias("paragraph"))
     passages = more.select("id", F.lit(None).cast("bigint").alias("paragraph"), "start", "end", "n_members", keep.alias("keep"), (F.col("id") != F.col("keep")).alias("removed"))
-    return told(found.unionByName(passages), id_col)
+    return told(found.drop("at", "last").unionByName(passages), id_col)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
