@@ -341,15 +341,29 @@ class Index:
         return max(1, min(visits, ranks[wanted - 1])) if wanted and len(ranks) >= wanted and not self.trees else visits
 
     def search(self, queries: DataFrame, visits: int, k: int) -> tuple[DataFrame, Kept]:
-        """(query_id, rank, vec_id, score) of the best of the visited leaves, and the visits (id, node, nth)."""
-        width = self.width
+        """(query_id, rank, vec_id, score) of the best of the visited leaves, and the visits (id, node, nth).
+
+        The first few leaves of a query, the square root of all, tell how near its k-th neighbour is at least; the others give
+        only what is as near."""
         wanted = Kept(self.opened(queries, visits, k), "wanted")
-        asked = wanted.df.groupBy("node").agg(F.count("*").alias("asked"))
+        first = math.isqrt(max(0, visits - 1)) + 1
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        best = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        near = Kept(best(self.compared(wanted.df.filter(F.col("nth") <= first), queries.withColumn("least", F.lit(-2.0)), k)), "near")
+        reached = near.df.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+        bounded = queries.join(reached, "id", "left").select("id", "vec", F.coalesce("least", F.lit(-2.0)).alias("least"))
+        rest = self.compared(wanted.df.filter(F.col("nth") > first), bounded, k)
+        return best(near.df.drop("rank").unionByName(rest)), wanted
+
+    def compared(self, visits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, vec_id, score): of every leaf and block, the k nearest to each query (id, vec, least) that visits it, if
+        they are as near as least."""
+        width = self.width
+        asked = visits.groupBy("node").agg(F.count("*").alias("asked"))
         parts = self.sizes[-1].df.join(asked, "node").select("node", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("asked") / BLOCK).cast("int").alias("groups"))
         blocks = checked_broadcast(parts)
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        left = wanted.df.join(blocks, "node").select("id", "node", each("blocks").alias("block"), part("groups").alias("group")).join(checked_broadcast(queries), "id")
+        left = visits.join(blocks, "node").select("id", "node", each("blocks").alias("block"), F.pmod(F.xxhash64("id"), "groups").cast("int").alias("group")).join(checked_broadcast(queries), "id")
         right = self.filed.df.join(blocks, "node").select("id", "vec", "node", F.pmod(F.xxhash64("id", "vec"), "blocks").cast("int").alias("block"), each("groups").alias("group"))
 
         def compare(q: pa.Table, x: pa.Table) -> pa.Table:
@@ -357,13 +371,12 @@ class Index:
             if q.num_rows and x.num_rows:
                 q_ids, ids = q["id"].to_numpy(), x["id"].to_numpy()
                 row, at, score = nearest(q_ids, matrix(q["vec"], width), ids, matrix(x["vec"], width), k)
-                columns = (q_ids[row], ids[at], score)
+                near = score >= q["least"].to_numpy()[row]
+                columns = (q_ids[row[near]], ids[at[near]], score[near])
             return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
         keys = ["node", "block", "group"]
-        found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), wanted
+        return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
 
     def queries(self, every: int) -> DataFrame:
         return self.filed.df.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
