@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 #: Folders of the intermediate tables that are there, in the order they were made.
 _KEPT: dict[str, None] = {}
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Whether shuffle files go when the query that made them ends; else they stay until the driver happens to collect its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def file_system(spark: SparkSession, path: str):
@@ -96,7 +98,12 @@ class Kept:
             files.mkdirs(place)
             files.deleteOnExit(place)
         _KEPT[self.path] = None
-        df.write.option("compression", "zstd").parquet(self.path)
+        before = self.spark.conf.get(CLEAN_UP, "false")
+        self.spark.conf.set(CLEAN_UP, "true")  # nothing reads them once the table is written
+        try:
+            df.write.option("compression", "zstd").parquet(self.path)
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

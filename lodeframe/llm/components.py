@@ -87,10 +87,11 @@ def linked(
     narrow, close: if given, narrow(ids) gives (id, v) for the ids that are still open after the hubs in a bucket of BUSY or
     more, and close(x, y) says by x("v") and y("v") (null for the others) whether two of them can be a link. popular: buckets
     are no elements of a set, so neither an id's own part nor the buckets that two share say anything about their
-    similarity; hubs are ids whose buckets are large.
+    similarity; hubs are ids whose buckets are large; and no row repeats, so that rows count ids.
     """
     # Counted before they are joined back: a bucket of very many ids collapses before the shuffle, and a join can be split.
-    meeting = Kept(rows.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("bucket"), "meeting")
+    several = [F.lit(0).alias("lo"), (F.count("*") - 1).alias("hi")] if popular else [F.min("id").alias("lo"), F.max("id").alias("hi")]
+    meeting = Kept(rows.groupBy("bucket").agg(*several).filter("lo < hi").select("bucket"), "meeting")
     met = Kept(rows.join(checked_broadcast(meeting.df), "bucket", "left_semi"), "shared")
     meeting.drop()
     shared = Kept(met.df.join(met.df.groupBy("id").agg(F.count("*").cast("int").alias("s")), "id"), "shared")

@@ -11,7 +11,8 @@ mostly have the same minima, so that a text has few keys. Windows of colliding k
 hashes); equal ones are one cluster, of which the first occurrence stays, and those that overlap are one passage, which is
 reported from its first to its last word.
 
-One pass over all texts makes paragraphs, keys and the paragraphs' texts; only texts with colliding windows are read again.
+One pass over all texts makes paragraphs and keys; only texts with paragraphs that are compared, or with colliding windows, are
+read again.
 """
 
 from __future__ import annotations
@@ -109,7 +110,6 @@ class Paragraphs:
         text_start = offsets[self.row]
         self.number = np.searchsorted(lines.bounds, start) - np.searchsorted(lines.bounds, text_start)
         self.start, self.end = chars[start - lo] - chars[text_start - lo], chars[end - lo] - chars[text_start - lo]
-        self.at, self.to = start, end
         counts = np.diff(first)[chosen]
         self.first_word = first[:-1][chosen] - lines.first[self.row]
         self.last_word = self.first_word + counts - 1
@@ -147,12 +147,12 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-UNITS = "id bigint, paragraph bigint, at bigint, last bigint, start bigint, end bigint, n bigint, key bigint, bands array<bigint>, text string"
+UNITS = "id bigint, paragraph bigint, at bigint, last bigint, start bigint, end bigint, n bigint, key bigint, bands array<bigint>"
 
 
 def units(rows: DataFrame, joined: bool) -> Kept:
-    """The one pass over all texts: of every paragraph (id, paragraph, first and last word, start, end, n, key, bands, text), and
-    if joined, with a null paragraph, of every run of windows (id, first and last window, key)."""
+    """The one pass over all texts: of every paragraph (id, paragraph, first and last word, start, end, n, key, bands), and if
+    joined, with a null paragraph, of every run of windows (id, first and last window, key)."""
     names = [x.split()[0] for x in UNITS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +164,13 @@ def units(rows: DataFrame, joined: bool) -> Kept:
                 n = len(p.size)
                 ints = [pa.array(x.astype(np.int64)) for x in (p.number, p.first_word, p.last_word, p.start, p.end, p.size, p.key)]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(p.bands().ravel().view(np.int64)))
-                texts = pa.array([lines.data[i:j].tobytes() for i, j in zip(p.at.tolist(), p.to.tolist(), strict=True)], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(p.row + a)), *ints, bands, texts], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(p.row + a)), *ints, bands], names)
                 if joined:
                     text, at, last, key = lines.runs()
                     n = len(text)
                     none, ints = pa.nulls(n, pa.int64()), [pa.array(x.astype(np.int64)) for x in (at, last)]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(text + a)), none, *ints, none, none, none, pa.array(key.view(np.int64)), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.string())], names
+                        [batch.column(0).take(pa.array(text + a)), none, *ints, none, none, none, pa.array(key.view(np.int64)), pa.nulls(n, pa.list_(pa.int64()))], names
                     )
 
     return Kept(rows.mapInArrow(run, UNITS), "units")
@@ -294,8 +293,9 @@ def holders(windows: DataFrame, *keys: str) -> DataFrame:
     return found.filter("lo < hi and keep is not null").select(*keys, "keep", "n", F.expr("keep < last").alias("several"), "loose")
 
 
-def shared_passages(rows: DataFrame, runs: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """(id, start, end, n_members, keep) of the runs of PASSAGE or more words that other documents hold too. runs: of units().
+def shared_passages(rows: DataFrame, made: Kept, paragraphs: DataFrame) -> DataFrame:
+    """(id, start, end, n_members, keep) of the runs of PASSAGE or more words that other documents hold too. made: units(rows), dropped
+    as soon as it isn't needed.
     What has a word in a removed one of `paragraphs` (id, at, last, removed: by words) is reported already, and so is what besides
     has one in one that stays only.
 
@@ -303,12 +303,14 @@ def shared_passages(rows: DataFrame, runs: DataFrame, paragraphs: DataFrame) ->
     windows with the same keeper are one run; where keep changes another run begins, which overlaps the one before.
     n_members is the least number of occurrences of a run's windows.
     """
+    runs = made.df.filter("paragraph is null")
     shared = Kept(runs.groupBy("key").agg(F.min("id").alias("keep"), F.max("id").alias("last")).filter("keep < last").select("key"), "shared")
     met = runs.select("id", "at", "last", "key").join(checked_broadcast(shared.df), "key")
     # A document's runs and paragraphs are as many as its words at most.
     known = paragraphs.groupBy("id").agg(F.collect_list(F.struct("at", "last", "removed")).alias("known"))
     flags = flagged(met, known)
-    shared.drop()
+    for t in (shared, made):
+        t.drop()
     open_ = Kept(holders(flags.df, "key").filter("several or loose").select("key"), "open")
     hits = flags.df.join(checked_broadcast(open_.df), "key").groupBy("id").agg(F.collect_list(F.struct("at", "last")).alias("runs"))
     near = Kept(hits.join(known, "id", "left").select("id", "runs", "known"), "near")
@@ -339,6 +341,31 @@ def shared_passages(rows: DataFrame, runs: DataFrame, paragraphs: DataFrame) ->
     return out.df
 
 
+def pieces(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """(id, text) of the paragraphs whose keys and places near (id, places) names, by key. A place of a text that has no such
+    paragraph, as another row of its id has it, gives none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = texts_of(batch, "text")
+            data, offsets = bytes_of(column), offsets_of(column)
+            for i, places in enumerate(batch.column(1)):
+                key, start, end = (np.asarray(places.values.field(k)) for k in range(3))
+                text = data[offsets[i] : offsets[i + 1]]
+                at = np.r_[np.flatnonzero((text & 0xC0) != 0x80), len(text)]
+                fits = end < len(at)
+                key, start, end = key[fits], at[start[fits]], at[end[fits]]
+                texts = pa.array([text[x:y].tobytes() for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()).cast(pa.string())
+                same = np.zeros(len(key), bool)
+                for a, b, flat, first in sets_of(texts, WORDS):
+                    same[a:b] = set_keys(flat, first)[0] == key[a:b]
+                chosen = pa.array(np.flatnonzero(same))
+                yield pa.RecordBatch.from_arrays([pa.array(key).take(chosen), texts.take(chosen)], ["id", "text"])
+
+    some = rows.join(checked_broadcast(near.select("id")), "id", "left_semi")
+    return some.join(checked_broadcast(near), "id").select("text", "places").mapInArrow(run, "id bigint, text string")
+
+
 def elements(texts: DataFrame) -> DataFrame:
     """(id, element): the shingles of each text."""
 
@@ -357,8 +384,8 @@ def usable(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
 
 
-def clusters(made: Kept) -> DataFrame:
-    """(id, paragraph, at, last, start, end, n_members, keep, removed) of every paragraph of units() that has a near copy."""
+def clusters(rows: DataFrame, made: Kept) -> DataFrame:
+    """(id, paragraph, at, last, start, end, n_members, keep, removed) of every paragraph of units(rows) that has a near copy."""
     near = made.df.filter("paragraph is not null")
     groups = near.groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("id", "paragraph")).alias("keep"), F.first("n").cast("int").alias("n"), F.first("bands").alias("bands"))
     once = Kept(groups, "once")
@@ -371,8 +398,11 @@ def clusters(made: Kept) -> DataFrame:
     kept: list[Kept] = []
 
     def fetch(ids: DataFrame) -> DataFrame:
-        texts = near.select(F.col("key").alias("id"), "text").join(checked_broadcast(ids), "id", "left_semi")
-        kept.append(Kept(texts.groupBy("id").agg(F.min("text").alias("text")), "texts"))
+        found = near.select("key", F.struct("id", "start", "end").alias("place")).join(checked_broadcast(ids.withColumnRenamed("id", "key")), "key", "left_semi")
+        first = found.groupBy("key").agg(F.min("place").alias("place"))
+        places = Kept(first.groupBy("place.id").agg(F.collect_list(F.struct("key", "place.start", "place.end")).alias("places")), "places")
+        kept.append(Kept(pieces(rows, places.df).groupBy("id").agg(F.min("text").alias("text")), "texts"))
+        places.drop()
         return kept[-1].df
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -421,8 +451,9 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     part. Other columns are ignored. Ids must be integers. Sets of shingles are told apart by 64-bit keys.
     """
     small_batches(docs.sparkSession)
-    made = units(usable(docs, id_col, text_col), joined)
-    out = told(clusters(made), id_col)
+    rows = usable(docs, id_col, text_col)
+    made = units(rows, joined)
+    out = told(clusters(rows, made), id_col)
     made.drop()
     return out
 
@@ -433,9 +464,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     small_batches(docs.sparkSession)
     rows = usable(docs, id_col, text_col)
     made = units(rows, True)
-    found = clusters(made)
-    more = shared_passages(rows, made.df.filter("paragraph is null"), found.select("id", "at", "last", "removed"))
-    made.drop()
+    found = clusters(rows, made)
+    more = shared_passages(rows, made, found.select("id", "at", "last", "removed"))
     keep = F.struct(F.col("keep").alias("id"), F.lit(None).cast("bigint").alias("paragraph"))
     passages = more.select("id", F.lit(None).cast("bigint").alias("paragraph"), "start", "end", "n_members", keep.alias("keep"), (F.col("id") != F.col("keep")).alias("removed"))
     return told(found.drop("at", "last").unionByName(passages), id_col)

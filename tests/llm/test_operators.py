@@ -774,3 +774,40 @@ def test_short_lines(spark):
     pairs = [(1, 2, texts[1]), (7, 8, "one"), (9, 10, block), (3, 4, texts[3])]
     want = sorted([(a, t, 2, a, False) for a, _, t in pairs] + [(b, {2: texts[2], 4: texts[4], 8: "One"}.get(b, t), 2, a, True) for a, b, t in pairs])
     assert got == want
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Once an intermediate table is written, the shuffles that made it take no disk any more."""
+    import time
+
+    from lodeframe.llm.base import Kept
+
+    clean_up = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files = lambda: sum(f.getName().startswith("shuffle_") for f in iter_of(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before, setting = files(), spark.conf.get(clean_up, "false")
+    made = [Kept(spark.range(50_000).selectExpr("id", f"hash(id) % {997 + i} as k").groupBy("k").count(), "counts") for i in range(4)]
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and [t.df.count() for t in made] == [2 * (997 + i) - 1 for i in range(4)]
+    assert spark.conf.get(clean_up, "false") == setting
+
+
+def iter_of(seq):
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
+def test_paragraph_texts_are_not_kept(spark):
+    """Units hold no texts; those that are compared are read by place, in code points, also where rows share an id."""
+    rng = random.Random(71)
+    base = [f"é{x}𝄞" for x in fresh_words(rng, 60).split()]
+    near = [*base[:30], "ß", *base[31:]]
+    texts = [(4, "x"), (4, f"ü𝄞\n{' '.join(base)}\n{fresh_words(rng, 30)}"), (4, fresh_words(rng, 90)), (9, f"{' '.join(near)}"), (9, f"𝄞 {fresh_words(rng, 40)}")]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    made = substring_dedup.units(substring_dedup.usable(df, "doc_id", "text"), True)
+    assert "text" not in made.df.columns
+    got = sorted(tuple(r) for r in substring_dedup.repeated_paragraphs(df).collect())
+    assert got == [(4, 1, 3, 3 + len(" ".join(base)), 2, 4, 1, False), (9, 0, 0, len(" ".join(near)), 2, 4, 1, True)]
