@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +120,30 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(BATCH_ROWS, str(rows))
 
 
+#: In a worker: the operator whose tasks it serves, and what empties the memos that they leave for the next ones.
+_SERVED: dict[str, Callable[[], None] | None] = {}
+
+
+def serve(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """To be called in a worker when a task of operator begins. Workers outlive stages: at the first task of another operator,
+    the last one's memos and the memory that it has freed go back to the system, else they lie beside the new one's."""
+    if operator not in _SERVED:
+        for last in _SERVED.values():
+            if last:
+                last()
+        give_back()
+        _SERVED.clear()
+    _SERVED[operator] = forget
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system (where the C library can do so)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def width(field: StructField) -> Column:
     """Bytes of a value, roughly."""
     name, kind = F.col(field.name), field.dataType

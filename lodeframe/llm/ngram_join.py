@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.base import Kept, bytes_of, checked_broadcast, offsets_of, passes, small_batches, table, texts_of
+from lodeframe.llm.base import Kept, bytes_of, checked_broadcast, offsets_of, passes, serve, small_batches, table, texts_of
 from lodeframe.llm.components import linked
 from lodeframe.llm.shingles import U, Words, mix, seeds, set_keys, shingles
 
@@ -53,6 +53,7 @@ def signatures(docs: DataFrame, k: int) -> Kept:
     """One pass: (id, h1, h2, n) of every row (block null), and compressed sketch parts (id null, block set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("ngram_join")
         counts = np.zeros(COUNTERS, np.int64)
         names = ["id", "h1", "h2", "n", "block", "part"]
         for batch in batches:
@@ -78,6 +79,7 @@ def sketch_of(parts: DataFrame) -> np.ndarray:
     """The summed counters. Parts are added up on the executors, block by block; the driver gets BLOCKS arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("ngram_join")
         unpack, sums = zstandard.ZstdDecompressor(), {}
         for batch in batches:
             for block, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -106,6 +108,7 @@ def prefixes(docs: DataFrame, k: int, counts: np.ndarray, similar: tuple[int, in
     sent = spark.sparkContext.broadcast(frequency_classes(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("ngram_join")
         classes = sent.value
         by, further = seeds(31, 1)[0], seeds(37, FURTHER_ORDERS)
         for batch in batches:
@@ -183,6 +186,7 @@ def verifier(docs: DataFrame, sizes: DataFrame, k: int, similar: tuple[int, int]
     num, den = similar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("ngram_join")
         mine = np.zeros(0, U)
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)

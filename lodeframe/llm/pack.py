@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.base import small_batches, table, texts_of
+from lodeframe.llm.base import serve, small_batches, table, texts_of
 from lodeframe.llm.shingles import mix, ragged
 from lodeframe.llm.token_count import merger
 
@@ -105,6 +105,12 @@ def tokenizer(path: str) -> Ids:
     return Ids(path)
 
 
+def forget() -> None:
+    """Empties what a worker keeps from task to task."""
+    tokenizer.cache_clear()
+    merger.cache_clear()
+
+
 @cache
 def projection() -> np.ndarray:
     return np.random.default_rng(7).standard_normal((BINS, DIMENSIONS))
@@ -162,6 +168,7 @@ def tokenized(docs: DataFrame, path: str, bounds: list[int] | None) -> DataFrame
     cuts = np.array(bounds or [], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("pack", forget)
         for batch in batches:
             found = [np.append(x, np.uint32(END)) for x in tokenizer(path).of(texts_of(batch, "text").to_pylist())]
             if not found:
@@ -253,6 +260,7 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("pack", forget)
         packer = Packer(TaskContext.get().partitionId())
         kinds = [pa.int64()] * 6
         id_kind = None

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.base import small_batches, table, texts_of
+from lodeframe.llm.base import serve, small_batches, table, texts_of
 
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
@@ -267,6 +267,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> SpanModel:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("pii")
         counts: Counter = Counter()
         for batch in batches:
             for text in texts_of(batch, "text").to_pylist():
@@ -294,6 +295,7 @@ def find_spans(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text_c
     names = ["id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_added", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("pii")
         accepts = model.accepts()
         for batch in batches:
             out = []
@@ -328,6 +330,7 @@ def redact(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFra
         return "".join([*out, text[done:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("pii")
         accepts = model.accepts()
         for batch in batches:
             columns = list(batch.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lodeframe.llm.base import Kept, bytes_of, crc_fold, offsets_of, passes, small_batches, table, texts_of
+from lodeframe.llm.base import Kept, bytes_of, crc_fold, offsets_of, passes, serve, small_batches, table, texts_of
 from lodeframe.llm.shingles import U, Words, byte_values, mix, powers
 
 #: Labelled rows that are learnt from at most: a documented bound.
@@ -75,20 +75,20 @@ def slots(hashes: np.ndarray, n: int) -> np.ndarray:
     return (hashes % U(n)).astype(np.int64)
 
 
-def neighbour_sums(column: pa.Array, place: np.ndarray, sign: np.ndarray) -> Iterator[np.ndarray]:
-    """For every pass over the texts, each word slot's sum of the index vectors of the words up to NEAR beside it."""
+def add_neighbours(total: np.ndarray, column: pa.Array, place: np.ndarray, sign: np.ndarray) -> None:
+    """Adds to each word slot's part of total the index vectors of the words up to NEAR beside it. In place, a direction and
+    a distance at a time, so that a pass over the texts needs little memory beside total."""
+    sign = sign.astype(total.dtype)
     for a, b in passes(column):
         part = column.slice(a, b - a)
         words = Words(bytes_of(part), offsets_of(part), False)
         w = slots(words.hash, BUCKETS)
         unit = np.repeat(np.arange(b - a), words.counts())
-        at, more = [], []
         for d in range(1, NEAR + 1):
             same = unit[d:] == unit[:-d]
             left, right = w[:-d][same], w[d:][same]
             for x, y in ((left, right), (right, left)):
-                at.append((x[:, None] * WIDTH + place[y]).ravel()), more.append(sign[y].ravel())
-        yield np.bincount(np.concatenate(at), np.concatenate(more), BUCKETS * WIDTH)
+                np.add.at(total, (x[:, None] * WIDTH + place[y]).ravel(), sign[y].ravel())
 
 
 def word_vectors(texts: DataFrame) -> np.ndarray:
@@ -100,17 +100,18 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
     small_batches(texts.sparkSession)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("quality")
         place, sign = index_entries(BUCKETS, WIDTH, 5)
         total = np.zeros(BUCKETS * WIDTH, np.float64)
         for batch in batches:
-            for sums in neighbour_sums(texts_of(batch, "text"), place, sign):
-                total += sums
+            add_neighbours(total, texts_of(batch, "text"), place, sign)
         if total.any():
             pack = zstandard.ZstdCompressor(level=1)
             for block, x in enumerate(np.split(total.astype(np.int64), BLOCKS)):
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pack.compress(x.tobytes())], pa.binary())], ["block", "part"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("quality")
         unpack, sums = zstandard.ZstdDecompressor(), {}
         for batch in batches:
             for block, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -221,6 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sent = spark.sparkContext.broadcast((vectors, shapes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("quality")
         vectors, shapes = sent.value
         for batch in batches:
             x = features(texts_of(batch, "text"), vectors, shapes)
@@ -252,6 +254,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serve("quality")
         for batch in batches:
             p = sent.value.scores(texts_of(batch, text_col))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*batch.schema.names, "score"])

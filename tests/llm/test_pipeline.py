@@ -111,3 +111,60 @@ def test_run(spark, small, stages):
     whole = lambda rows: sorted({(r["doc_id"], r["doc_tokens"]) for r in rows})
     rows = got.collect()
     assert whole(rows) == whole(stages["packing"][1]) and sum(r["length"] for r in rows) == sum(r["length"] for r in stages["packing"][1]) and len(set(map(key, rows))) == len(rows)
+
+
+@pytest.fixture
+def tasks(spark, monkeypatch):
+    """Gets the functions that plans run in Python workers, as the plans are made."""
+    taken, kind = [], type(spark.range(1))
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **b: taken.append(f) or real(self, f, *a, **b))
+    return taken
+
+
+def test_workers_forget_the_last_stage(spark, tasks):
+    """What packing remembers for its next tasks is gone once a worker serves another stage, not before."""
+    pytest.importorskip("tokenizers")
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    from lodeframe.llm import ngram_join, pack, pii, quality
+
+    docs = spark.createDataFrame([], "id bigint, text string, tie bigint")
+    pack.tokenized(docs, public_tokenizers.path("word_bpe_49k.json"), None)
+    quality.score(docs, quality.Model(np.zeros(0), np.zeros(0), 0.5, None), "id")
+    ngram_join.prefixes(docs.select("id", "text"), 5, np.zeros(ngram_join.COUNTERS), ngram_join.SIMILAR)
+    pii.redact(docs, pii.fit({}))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"]), pa.array([5])], ["id", "text", "tie"])
+    remembered = lambda: pack.tokenizer.cache_info().currsize
+    packing, *others = tasks
+    assert len(others) == 3
+    for other in others:
+        first = list(packing(iter([batch])))
+        assert remembered() == 1 and list(packing(iter([batch]))) == first and remembered() == 1
+        list(other(iter([])))
+        assert remembered() == 0
+        assert list(packing(iter([batch]))) == first
+    pack.forget()
+
+
+def test_word_sums_need_little_memory(spark, tasks):
+    """A task that adds up word vectors holds its sums and little more, however many words a pass has."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lodeframe.llm import quality
+
+    quality.word_vectors(spark.createDataFrame([("a b c",)], "text string"))
+    texts = pa.array([" ".join(f"{i % 7}{j:x}" for j in range(2000)) for i in range(100)])
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    list(tasks[0](iter([batch])))
+    tracemalloc.start()
+    try:
+        assert len(list(tasks[0](iter([batch])))) == quality.BLOCKS
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 5 * quality.BUCKETS * quality.WIDTH * 8
