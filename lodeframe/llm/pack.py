@@ -13,7 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, pairwise, repeat
+from itertools import chain, compress, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm.base import serve, small_batches, table, texts_of
+from lodeframe.llm.base import give_back, serve, small_batches, table, texts_of
 from lodeframe.llm.shingles import mix, ragged
 from lodeframe.llm.token_count import merger
 
@@ -34,6 +34,9 @@ END = 1
 BOUND_ROWS = 128
 #: Words whose ids a worker remembers: only a memo.
 MEMO = 1_000_000
+#: Slots, by hash, that say which words a worker has met. A word is remembered from the second batch that has it on, so that
+#: words that never come again take no memory.
+MET = 1 << 22
 DIMENSIONS, BITS, BINS = 3, 10, 1024
 #: Texts of these characters only (no controls, no marks, nothing that normalization would change) are folded, split at
 #: white space and merged word by word here; all other texts go to the library whole.
@@ -55,12 +58,19 @@ class Ids:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.met = np.zeros(MET, bool)
         self.flat = np.zeros(1 << 16, np.uint32)
         self.first = np.zeros(1 << 16, np.int64)
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str]) -> dict[str, int]:
+        """Where the ids of these words (distinct, not known) are, until words are learnt again; those met before are known
+        from now on."""
         if not words:
-            return
+            return {}
+        slot = np.fromiter(map(hash, words), np.int64, len(words)) & (MET - 1)
+        met = self.met[slot]
+        self.met[slot] = True
+        words = [*compress(words, met.tolist()), *compress(words, (~met).tolist())]
         pieces = [[w] if w.isalpha() else PIECE.findall(w) for w in words]
         ids, sizes = self.merger.merge(list(chain.from_iterable(pieces)))
         n, at = len(self.known), int(self.first[len(self.known)])
@@ -71,7 +81,10 @@ class Ids:
             self.first = np.r_[self.first, np.zeros_like(self.first)]
         self.flat[at : at + len(ids)] = ids
         self.first[n + 1 : n + 1 + len(words)] = at + ends
-        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        found = dict(zip(words, range(n, n + len(words)), strict=True))
+        lasting = int(np.count_nonzero(met))
+        self.known.update(zip(words[:lasting], range(n, n + lasting), strict=True))
+        return found
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.lower().split() if not UNUSUAL.search(t) and not any(s in t for s in self.merger.specials) else None for t in texts]
@@ -83,15 +96,12 @@ class Ids:
         missing = np.flatnonzero(w < 0)
         if len(missing):
             absent = [flat_words[i] for i in missing.tolist()]
-            fresh = list(set(absent))
-            if len(known) + len(fresh) > MEMO:
+            fresh = set(absent)
+            if len(known) + len(fresh) > MEMO:  # it's emptied: the other words of these texts are needed as well
                 self.forget()
-            self.learn(fresh)
-            if self.known is known:
-                w[missing] = np.fromiter(map(known.__getitem__, absent), np.int64, len(absent))
-            else:  # it was emptied: the other words of these texts are needed as well
-                self.learn(list({x for x in flat_words if x not in self.known}))
-                w = np.fromiter(map(self.known.__getitem__, flat_words), np.int64, len(flat_words))
+                missing, absent, fresh = np.arange(len(w)), flat_words, set(flat_words)
+            found = self.learn(list(fresh))
+            w[missing] = np.fromiter(map(found.__getitem__, absent), np.int64, len(absent))
         start = self.first[w]
         length = self.first[w + 1] - start
         flat = self.flat[ragged(start, length)]
@@ -102,7 +112,9 @@ class Ids:
 
 @cache
 def tokenizer(path: str) -> Ids:
-    return Ids(path)
+    ids = Ids(path)
+    give_back()  # what reading the file took
+    return ids
 
 
 def forget() -> None:

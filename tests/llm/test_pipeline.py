@@ -168,3 +168,18 @@ def test_word_sums_need_little_memory(spark, tasks):
     finally:
         tracemalloc.stop()
     assert most < 5 * quality.BUCKETS * quality.WIDTH * 8
+
+
+def test_packing_remembers_what_comes_again():
+    """A worker that packs keeps the words that batch after batch has, not those that come once; ids are the library's."""
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    from lodeframe.llm import pack
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids, library = pack.Ids(path), tokenizers.Tokenizer.from_file(path)
+    for i in range(12):
+        texts = [f"always there {'x' * (i % 3)}", " ".join(f"once{i}and{j}" for j in range(500)), "", "né là́ there"]
+        assert [x.tolist() for x in ids.of(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {"always", "there"} <= ids.known.keys() and len(ids.known) < 300
