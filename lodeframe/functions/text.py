@@ -28,17 +28,17 @@ def explode_lines(blobs: DataFrame) -> DataFrame:
     return rows.select("path", (F.col("pos") + 1).alias("line_no"), "line")
 
 
-def needles(pattern: str) -> tuple[tuple[str, ...], bool]:
-    """Literals of which any text that the pattern fits holds at least one, and whether they go by lower case. None if no such
-    literals can be told."""
+def literals(pattern: str) -> tuple[list[tuple[str, ...]], bool]:
+    """Sets of literals, of each of which any text that the pattern fits holds at least one, and whether they go by lower case. No
+    sets if none can be told."""
     try:
         parsed = sre_parse.parse(pattern)
     except re.error:
-        return (), False
-    folded = bool(parsed.state.flags & re.IGNORECASE)
+        return [], False
+    by_lower = bool(parsed.state.flags & re.IGNORECASE)
 
-    def of(sequence) -> tuple[str, ...]:
-        nonlocal folded
+    def of(sequence) -> list[tuple[str, ...]]:
+        nonlocal by_lower
         found, run = [], ""
         for op, value in [*sequence, (None, None)]:
             if op is sre_parse.LITERAL:
@@ -48,17 +48,51 @@ def needles(pattern: str) -> tuple[tuple[str, ...], bool]:
                 found.append((run,))
             run = ""
             if op is sre_parse.SUBPATTERN:
-                folded = folded or bool(value[1] & re.IGNORECASE)
-                found.append(of(value[3]))
+                by_lower = by_lower or bool(value[1] & re.IGNORECASE)
+                found += of(value[3])
             elif op in (sre_parse.MAX_REPEAT, sre_parse.MIN_REPEAT) and value[0] > 0:
-                found.append(of(value[2]))
+                found += of(value[2])
             elif op is sre_parse.BRANCH:
-                each = [of(b) for b in value[1]]
-                found.append(tuple(x for e in each for x in e) if all(each) else ())
-        return max(found, key=lambda f: (min(map(len, f), default=0), -len(f)), default=())
+                each = [best(of(b)) for b in value[1]]
+                found += [tuple(x for e in each for x in e)] if all(each) else []
+        return found
 
     found = of(parsed)
-    return tuple(sorted({x.lower() if folded else x for x in found})), folded
+    return [tuple(sorted({x.lower() if by_lower else x for x in f})) for f in found], by_lower
+
+
+def best(found: list[tuple[str, ...]]) -> tuple[str, ...]:
+    """The set whose shortest literal is longest."""
+    return max(found, key=lambda f: (min(map(len, f), default=0), -len(f)), default=())
+
+
+def needles(pattern: str) -> tuple[tuple[str, ...], bool]:
+    """Literals of which any text that the pattern fits holds at least one, and whether they go by lower case. None if no such
+    literals can be told."""
+    found, by_lower = literals(pattern)
+    return best(found), by_lower
+
+
+def there(pattern: str) -> str:
+    """A pattern that is found in the same texts, for rlike. A long run of ASCII characters of a class is looked for from the run's
+    first character only, and the class is spelt out, for which Java looks characters up in a table."""
+    try:
+        parsed = list(sre_parse.parse(pattern))
+    except re.error:
+        return java(pattern)
+    op, value = parsed[0] if parsed else (None, None)
+    if op is not sre_parse.MAX_REPEAT or any(o is not sre_parse.MAX_REPEAT or v[0] for o, v in parsed[1:]) or re.search(r"\(\?", pattern):
+        return java(pattern)
+    least, most, inner = value[0], value[1], list(value[2])
+    if least < 2 or most is not sre_parse.MAXREPEAT or len(inner) != 1 or inner[0][0] is not sre_parse.IN:
+        return java(pattern)
+    chars = []
+    for kind, x in inner[0][1]:
+        if kind not in (sre_parse.LITERAL, sre_parse.RANGE) or max(x if kind is sre_parse.RANGE else (x,)) > 127:
+            return java(pattern)
+        chars += range(x[0], x[1] + 1) if kind is sre_parse.RANGE else [x]
+    spelt = "[" + "".join(f"\\x{c:02x}" for c in sorted(set(chars))) + "]"
+    return f"(?<!{spelt}){spelt}{{{least}}}"
 
 
 def trimmed(text: Column) -> Column:

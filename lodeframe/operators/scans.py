@@ -1,46 +1,27 @@
 """Line and path scans with fixed patterns. Inputs are lines (path, line_no, line), blobs (path, size, content), commits and
 file_changes. Patterns are literals of one projection, so each is compiled once a task and nothing is joined or shuffled.
 
-A line is first held against literals that a rule's matches can't do without (told from its pattern), by the endings that the
-rule is for; only what holds one is held against the regular expressions."""
+A rule is tried on lines of files with its endings, and its regular expression only on those that hold a literal which its matches
+can't do without (told from its pattern)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.functions import rule_tables as fixed
-from lodeframe.functions.text import ends_with_any, java, needles, not_a_test, outside, shortened, trimmed
+from lodeframe.functions.text import ends_with_any, java, literals, needles, not_a_test, outside, shortened, there, trimmed
 from lodeframe.operators.activity import newest
 
 COMMENT = r"(?U)^\s*(//|#|/\*|\*)"
 
 
-def likely(rules: Sequence[tuple]) -> Column:
-    """Whether a line (with low, its lower case, and wide, whether it's more than ASCII) may fit one of the rules."""
-    by_endings: dict[tuple[str, bool], set[str] | None] = {}
-    for _, _, endings, pattern, _ in rules:
-        found, folded = needles(pattern)
-        key = (endings, folded)
-        if not found:
-            by_endings[endings, False] = by_endings[endings, True] = None
-        elif by_endings.get(key, set()) is not None:
-            by_endings[key] = by_endings.get(key, set()) | set(found)
-    out = F.lit(False)
-    for (endings, folded), found in by_endings.items():
-        fits = ends_with_any(F.col("path"), endings)
-        if found is not None:
-            # Lower case by Unicode isn't what patterns go by, so lines with more than ASCII are looked at anyway.
-            has = F.exists(F.array(*map(F.lit, sorted(found))), lambda x: F.col("low" if folded else "line").contains(x))  # noqa: B023
-            fits = fits & (has | F.col("wide") if folded else has)
-        out = out | fits
-    return out
-
-
 def hits(rules: Sequence[tuple]) -> Column:
-    """The rules that a line fits, as structs in their order."""
+    """The rules that a line fits, as structs in their order, by their patterns alone."""
 
     def hit(no: int, rule: tuple) -> Column:
         name, severity, endings, pattern, description = rule
@@ -52,18 +33,67 @@ def hits(rules: Sequence[tuple]) -> Column:
     return F.array_compact(F.array(*[hit(no, r) for no, r in enumerate(rules)]))
 
 
-def prepared(lines: DataFrame) -> DataFrame:
-    return lines.withColumns({"low": F.lower("line"), "wide": F.octet_length("line") != F.char_length("line")})
+def folded(line: Column) -> Column:
+    """A line in the lower case that patterns which disregard case go by: `ſ`, `ı`, `İ` and the Kelvin sign fit ASCII letters too."""
+    plain = line
+    for other, letter in ("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"):
+        plain = F.replace(plain, F.lit(other), F.lit(letter))
+    has = line.contains("\u0130") | line.contains("\u0131") | line.contains("\u017f")
+    return F.lower(F.when(has, plain).otherwise(line))
+
+
+def fits(rule: tuple, line: Column, low: Column) -> Column:
+    """Whether a line (low: folded) fits a rule, whatever its path. The pattern is tried only on lines that hold a literal which it
+    can't do without."""
+    name, _, _, pattern, _ = rule
+    found, by_low = needles(pattern)
+    out = line.rlike(there(pattern))
+    if found:
+        # A literal that holds another one adds nothing.
+        least = [x for x in found if not any(y != x and y in x for y in found)]
+        out = reduce(or_, [(low if by_low else line).contains(x) for x in least]) & out
+    return out & ~line.contains("SafeLoader") if "yaml.load" in name else out
+
+
+#: Signs that are rare in prose. Rules that can't do without one are looked at only on lines that hold it.
+SIGNS = ("(", "=", "{", ":")
+
+
+def fitting(rules: Sequence[tuple], line: Column, low: Column) -> Column:
+    """The numbers of the rules that a line fits. Only the rules for the path's ending are tried."""
+    none = F.array().cast("array<int>")
+    signs = [next((s for s in SIGNS if any(all(s in x for x in f) for f in literals(r[3])[0])), None) for r in rules]
+    out = none
+    for e in sorted({e for r in rules for e in r[2].split()}, key=lambda e: (len(e), e)):
+        own = [no for no, r in enumerate(rules) if e.endswith(tuple(r[2].split()))]
+        parts = []
+        for sign in (None, *SIGNS):
+            if some := [F.when(fits(rules[no], line, low), F.lit(no)) for no in own if signs[no] == sign]:
+                part = F.array_compact(F.array(*some))
+                parts.append(part if sign is None else F.when(line.contains(sign), part).otherwise(none))
+        out = F.when(F.col("path").endswith(e), F.concat(*parts)).otherwise(out)
+    return out
+
+
+def with_low(line: Column, make: Callable[[Column], Column]) -> Column:
+    """make(folded line), which is worked out once: as a column it would be put in wherever it's named, and worked out each time."""
+    return F.element_at(F.transform(F.array(folded(line)), make), 1)
+
+
+def told(rules: Sequence[tuple], no: Column) -> Column:
+    """A rule by its number: struct(rule, severity, description)."""
+    return F.get(F.array(*[F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("severity"), F.lit(r[4]).alias("description")) for r in rules]), no)
 
 
 def findings(lines: DataFrame, rules: Sequence[tuple], code: bool = False) -> DataFrame:
     """A row for each line and rule that fits: path, line_no, line, rule_no, rule, severity, description. code: not on lines
     that are comments."""
     known = lines.filter(ends_with_any(F.col("path"), sorted({e for r in rules for e in r[2].split()})))
-    known = prepared(known).filter(likely(rules))
+    found = with_low(F.col("line"), lambda low: fitting(rules, F.col("line"), low))
+    rows = known.select("path", "line_no", "line", F.explode(found).alias("rule_no"))
     if code:
-        known = known.filter(~F.col("line").rlike(COMMENT))
-    return known.select("path", "line_no", "line", F.explode(hits(rules)).alias("hit")).select("path", "line_no", "line", "hit.*")
+        rows = rows.filter(~F.col("line").rlike(COMMENT))
+    return rows.withColumn("of", told(rules, F.col("rule_no"))).select("path", "line_no", "line", "rule_no", "of.*")
 
 
 def no_sample(line: Column) -> Column:
@@ -75,24 +105,30 @@ def line_scans(lines: DataFrame, ignored: Iterable[str] = ()) -> DataFrame:
     rule, severity and description (of addresses, the address as rule). Each scan finds what its own function does."""
     path, line = F.col("path"), F.col("line")
     place = {
-        "secrets": (fixed.SECRETS, outside(path, fixed.SKIP_SECRETS, ignored), no_sample(line)),
-        "dangerous": (fixed.DANGEROUS, outside(path, fixed.SKIP_DANGEROUS, ignored) & not_a_test(path), F.lit(True)),
-        "sast": (fixed.SAST, code_file(path, ignored), ~line.rlike(COMMENT)),
-        "remediation": (fixed.SAST_REMEDIATION, code_file(path, ignored), ~line.rlike(COMMENT)),
+        "secrets": (fixed.SECRETS, outside(path, fixed.SKIP_SECRETS, ignored)),
+        "dangerous": (fixed.DANGEROUS, outside(path, fixed.SKIP_DANGEROUS, ignored) & not_a_test(path)),
+        "sast": (fixed.SAST, code_file(path, ignored)),
+        "remediation": (fixed.SAST_REMEDIATION, code_file(path, ignored)),
     }
-    empty = F.array().cast("array<struct<rule_no:int,rule:string,severity:string,description:string>>")
-    of = lambda scan, found: F.transform(found, lambda x: F.struct(F.lit(scan).alias("scan"), x["rule_no"].alias("nth"), x["rule"].alias("rule"), x["severity"].alias("severity"), x["description"].alias("description")))
-    near = address_line(path, line, ignored)
-    any_ = near & line.contains(".")
-    found = []
-    for scan, (rules, where, how) in place.items():
-        any_ = any_ | (where & likely(rules))
-        found.append(of(scan, F.when(where & how, hits(rules)).otherwise(empty)))
+    of = lambda scan, nth, ip: F.struct(F.lit(scan).alias("scan"), nth.alias("nth"), ip.alias("ip"))
     none = F.lit(None).cast("string")
-    ips = F.transform(addresses(line), lambda x, i: F.struct(i.alias("rule_no"), x.alias("rule"), none.alias("severity"), none.alias("description")))
-    found.append(of("addresses", F.when(near, F.filter(ips, lambda x: ~x["rule"].isin(*fixed.SAFE_ADDRESSES))).otherwise(empty)))
-    rows = prepared(lines).filter(any_).select("path", "line_no", "line", F.explode(F.concat(*found)).alias("hit"))
-    return rows.select("path", "line_no", "line", "hit.*")
+
+    def found(low: Column) -> Column:
+        each = []
+        for scan, (rules, where) in place.items():
+            fit = F.when(where, fitting(rules, line, low)).otherwise(F.array().cast("array<int>"))
+            each.append(F.transform(fit, lambda no: of(scan, no, none)))  # noqa: B023
+        return F.concat(*each)
+
+    ips = F.when(address_line(path, line, ignored) & line.rlike(java(r"\d\.\d")), addresses(line)).otherwise(F.array().cast("array<string>"))
+    ips = F.filter(F.transform(ips, lambda x, i: of("addresses", i, x)), lambda x: ~x["ip"].isin(*fixed.SAFE_ADDRESSES))
+    rows = lines.select("path", "line_no", "line", F.explode(F.concat(with_low(line, found), ips)).alias("hit")).select("path", "line_no", "line", "hit.*")
+    scan = F.col("scan")
+    rows = rows.filter(F.when(scan == "secrets", no_sample(line)).when(scan.isin("sast", "remediation"), ~line.rlike(COMMENT)).otherwise(True))
+    rule = F.struct(F.col("ip").alias("rule"), none.alias("severity"), none.alias("description"))
+    for name, (rules, _) in place.items():
+        rule = F.when(scan == name, told(rules, F.col("nth"))).otherwise(rule)
+    return rows.withColumn("of", rule).select("path", "line_no", "line", "scan", "nth", "of.*")
 
 
 def secrets(lines: DataFrame, ignored: Iterable[str] = ()) -> DataFrame:
@@ -135,7 +171,7 @@ def addresses(line: Column) -> Column:
 
 def hardcoded_ips(lines: DataFrame, ignored: Iterable[str] = ()) -> DataFrame:
     """Every address on a line, but for the harmless ones; parts are not range-checked."""
-    kept = lines.filter(address_line(F.col("path"), F.col("line"), ignored) & F.col("line").contains("."))
+    kept = lines.filter(address_line(F.col("path"), F.col("line"), ignored) & F.col("line").rlike(java(r"\d\.\d")))
     found = kept.select("path", "line_no", F.posexplode(addresses(F.col("line"))).alias("nth", "ip"))
     return found.filter(~F.col("ip").isin(*fixed.SAFE_ADDRESSES)).select("path", "line_no", "nth", "ip")
 

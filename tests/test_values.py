@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodeframe.functions import rule_tables as fixed
-from lodeframe.functions.text import explode_lines, human_size, java, needles, outside, shortened, trimmed, without_colour
+from lodeframe.functions.text import explode_lines, human_size, java, needles, outside, shortened, there, trimmed, without_colour
 from lodeframe.functions.versions import version_less_than
 from lodeframe.operators import complexity, dependencies, graph, licences, scans
 
@@ -206,6 +206,29 @@ def test_one_pass_finds_what_the_scans_find(spark, small):
     assert of("sast", "path", "line_no", "rule") == rows(plain, "path", "line_no", "hit.rule")
 
 
+def test_patterns_wait_for_their_literals(spark, monkeypatch):
+    # On the first line Java runs out of stack in the pattern, which has to be left alone there.
+    monkeypatch.setattr(fixed, "SAST", [("slow", "HIGH", ".py", r"(a|b)*needle\(", "")])
+    lines = spark.createDataFrame([("src/a.py", 1, "ab" * 100_000), ("src/a.py", 2, "abneedle(")], "path string, line_no int, line string")
+    assert [r["line_no"] for r in scans.line_scans(lines).filter("scan = 'sast'").collect()] == [2]
+
+
+def test_folded_as_patterns_do(spark):
+    one = spark.range(128, 0x30000).filter("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    fit = one.filter(F.col("c").rlike(java("(?i)^(" + "|".join("abcdefghijklmnopqrstuvwxyz") + ")$")))
+    got = fit.select("c", F.concat(F.lit("x"), scans.folded(F.col("c")), F.lit("y")).rlike("^x[a-z]y$").alias("plain")).collect()
+    assert {r["c"] for r in got} >= {"\u017f", "\u212a"} and all(r["plain"] for r in got)
+
+
+def test_there(spark):
+    runs = ["a" * 39, "a" * 40, "-" + "b/" * 20 + "==", "é" + "c" * 41, "d" * 39 + "=" + "d" * 39, "", "e" * 39 + " " + "f" * 40]
+    pattern = r"[A-Za-z0-9+/]{40,}={0,2}"
+    df = spark.createDataFrame([(x,) for x in runs], "x string")
+    assert there(pattern) != java(pattern) and df.filter(F.col("x").rlike(there(pattern)) != F.col("x").rlike(java(pattern))).count() == 0
+    for other in (r"[a-z]{2,}x", r"(?i)[a-z]{2,}", r"[^a]{3,}", r"\w{3,}", "[a-z]{2,4}", "("):
+        assert there(other) == java(other)
+
+
 def test_needles():
     assert needles(r"pickle\.(loads?|Unpickler)\(") == (("pickle.",), False)
     assert needles(r"(?i)(Password|secret)\s*=") == (("password", "secret"), True)
