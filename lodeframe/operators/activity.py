@@ -23,6 +23,18 @@ def newest(commits: DataFrame, n: int) -> DataFrame:
     return commits.orderBy(F.desc("ts"), "oid").limit(n)
 
 
+def newest_of_all(commits: DataFrame, as_of: str, among: int = 1000) -> DataFrame:
+    """The newest commits, and the newest of the last year that aren't merges: all that the sections on the newest commits need."""
+    all_ = newest(commits, among)
+    authored = newest(commits.filter(last_year(as_of) & (F.col("parent_count") <= 1)), among)
+    return all_.unionByName(authored.join(F.broadcast(all_.select("oid")), "oid", "left_anti"))
+
+
+def changes_of(some: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changes of some few commits."""
+    return changes.join(F.broadcast(some.select("oid")), "oid", "left_semi")
+
+
 def top(df: DataFrame, by: str, name: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(by), name).limit(n)
 

@@ -106,12 +106,20 @@ def complexity_functions(blobs: DataFrame, ignored: Iterable[str] = ()) -> DataF
 
 
 def complexity_top(blobs: DataFrame, n: int = 20, ignored: Iterable[str] = ()) -> DataFrame:
-    return complexity_functions(blobs, ignored).orderBy(F.desc("complexity"), "path", "line").limit(n)
+    return top_of(complexity_functions(blobs, ignored), n)
+
+
+def top_of(functions: DataFrame, n: int = 20) -> DataFrame:
+    return functions.orderBy(F.desc("complexity"), "path", "line").limit(n)
 
 
 def complexity_summary(blobs: DataFrame, ignored: Iterable[str] = (), threshold: int = THRESHOLD) -> DataFrame:
     """One row: functions, mean complexity, functions above the threshold."""
-    return complexity_functions(blobs, ignored).agg(F.count("*").alias("functions"), F.coalesce(F.avg("complexity"), F.lit(0.0)).alias("average"), F.count_if(F.col("complexity") > threshold).alias("above"))
+    return summary_of(complexity_functions(blobs, ignored), threshold)
+
+
+def summary_of(functions: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    return functions.agg(F.count("*").alias("functions"), F.coalesce(F.avg("complexity"), F.lit(0.0)).alias("average"), F.count_if(F.col("complexity") > threshold).alias("above"))
 
 
 def complexity_by_language(blobs: DataFrame, ignored: Iterable[str] = ()) -> DataFrame:

@@ -98,8 +98,8 @@ def first_of(rows: DataFrame, sections: list[tuple[int, str]]) -> DataFrame:
 
 
 def elements(t: Tables, groups: Iterable[str] = GROUPS) -> DataFrame:
-    """All sections of the groups, in the order of a full scan. Lines are gone through once for all their scans, and every other
-    input once for each section."""
+    """All sections of the groups, in the order of a full scan. Lines are gone through once for all their scans, changes once for
+    all sections on the newest commits, code once for its functions, and every other input once for each section."""
     parts: list[DataFrame] = []
     rows: list[DataFrame] = []
     sections: list[tuple[int, str]] = []
@@ -108,6 +108,9 @@ def elements(t: Tables, groups: Iterable[str] = GROUPS) -> DataFrame:
         sections.append((no, section))
         rows.append(listed(df, section, no, order, shown))
 
+    if {ACTIVITY, SECURITY} & set(groups):
+        late = settled(activity.newest_of_all(t.commits, t.as_of))
+        touched = settled(activity.changes_of(late, t.changes))
     if ACTIVITY in groups:
         c, f = t.commits, t.changes
         parts += [
@@ -123,9 +126,9 @@ def elements(t: Tables, groups: Iterable[str] = GROUPS) -> DataFrame:
         add(activity.largest_files(t.blobs).withColumn("size", human_size(F.col("size"))), "Largest files", 700, ["path"])
         add(activity.most_changed_files(c, f, t.as_of), "Most changed files", 750, ["path"])
         add(activity.bug_fix_files(c, f), "Files of fixes", 760, ["path"])
-        add(activity.code_churn(c, f), "Churn", 770, ["path"])
-        add(activity.lines_per_author(c, f, t.as_of), "Lines by author", 780, ["author"])
-        add(activity.stale_files(c, f), "Stale files", 790, ["last_change", "path"])
+        add(activity.code_churn(late, touched), "Churn", 770, ["path"])
+        add(activity.lines_per_author(late, touched, t.as_of), "Lines by author", 780, ["author"])
+        add(activity.stale_files(late, touched), "Stale files", 790, ["last_change", "path"])
     if {SECURITY, ANALYSIS, GRAPHS} & set(groups):
         found = settled(scans.line_scans(t.lines, t.ignored))
         of = lambda scan: found.filter(F.col("scan") == scan)
@@ -135,15 +138,16 @@ def elements(t: Tables, groups: Iterable[str] = GROUPS) -> DataFrame:
         add(scans.sensitive_files(t.blobs, t.ignored), "Sensitive files", 1150, ["path"])
         add(of("addresses").select("path", "line_no", "nth", F.col("rule").alias("ip")), "Hardcoded addresses", 1200, ["path", "line_no", "nth"])
         add(scans.secret_commits(t.commits), "Commits about secrets", 1300, ["hash"])
-        add(scans.sensitive_commits(t.commits, t.changes), "Commits on sensitive files", 1350, ["hash"])
+        add(scans.sensitive_commits(late, touched), "Commits on sensitive files", 1350, ["hash"])
         add(scans.gitignore_coverage(t.ignore), "Ignored files", 1400, ["entry"])
         missing = t.ignore.agg(F.count("*").alias("n")).filter("n = 0")
         parts.append(missing.select(*element("Ignored files", 1399, "warning", "No .gitignore file found", "")))
     if ANALYSIS in groups:
         add(licences.compliance(t.manifests), "Licences", 2000, ["path"])
         add(licences.licence_files(t.licence_texts), "Licence files", 2050, ["path"])
-        parts.append(stats(complexity.complexity_summary(t.code, t.ignored), "Complexity", 2060))
-        add(complexity.complexity_top(t.code, ignored=t.ignored), "Complex functions", 2070, ["path", "line"])
+        functions = settled(complexity.complexity_functions(t.code, t.ignored))
+        parts.append(stats(complexity.summary_of(functions), "Complexity", 2060))
+        add(complexity.top_of(functions), "Complex functions", 2070, ["path", "line"])
         sast = of("sast").select("path", "line_no", "rule", "severity", "nth")
         by = sast.groupBy("severity").agg(F.count("*").alias("n"))
         parts.append(by.select(*element("Static analysis", 2100, "stat", F.col("severity"), F.col("n"))))

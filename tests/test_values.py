@@ -213,6 +213,37 @@ def test_patterns_wait_for_their_literals(spark, monkeypatch):
     assert [r["line_no"] for r in scans.line_scans(lines).filter("scan = 'sast'").collect()] == [2]
 
 
+def test_report_reads_once_for_several_sections(spark, small):
+    from dataclasses import replace
+
+    from lodeframe.plans import report
+    from lodeframe.plans.catalog import AS_OF
+    from lodeframe.sources.views import view
+
+    of = lambda name: view(spark, small, name)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(df):
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    none = of("v_blobs").select("path", "content").limit(0)
+    ignore = none.select("content")
+    deps, manifests, nodes, edges, direct = (of(v) for v in ("v_deps", "v_manifests", "v_graph_nodes", "v_graph_edges", "v_graph_direct"))
+    lines = spark.createDataFrame([], "path string, line_no int, line string")
+    t = report.Tables(of("v_commits"), of("v_file_changes"), of("v_refs"), of("v_blobs"), lines, of("v_sources"), ignore, deps, deps, manifests, none, nodes, edges, direct, of("v_imports"), AS_OF)
+    n = t.changes.count()
+    report.elements(replace(t, changes=counted(t.changes)), [report.ACTIVITY, report.SECURITY]).count()
+    assert n <= seen.value <= 3 * n
+    seen.value = 0
+    report.elements(replace(t, code=counted(t.code)), [report.ANALYSIS]).count()
+    assert seen.value == t.code.count()
+
+
 def test_folded_as_patterns_do(spark):
     one = spark.range(128, 0x30000).filter("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
     fit = one.filter(F.col("c").rlike(java("(?i)^(" + "|".join("abcdefghijklmnopqrstuvwxyz") + ")$")))
